@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, columns, shared_dir, slices
+from .common import batch, columns, shared_dir, slices, small_batches, written
 
 #: Fixed values of the Zstandard and WARC-Zstandard formats.
 FRAME = 0xFD2FB528
@@ -30,6 +30,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 #: An empty skippable frame (magic 0x184D2A50, length 0), as text.
 SEPARATOR = "P*M\x18\0\0\0\0"
+#: Repeated payloads (some 100 bytes each) that are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -100,9 +102,13 @@ def archive(records: Iterator[bytes], *, dictionary_size: int, sample_bytes: int
 
 def write_archives(pages: DataFrame, path: str, *, revisit_from: int = 0, dictionary_size: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> None:
     """Archives of page_id, url and html under `path`. The table of repeated payloads has a row per payload that occurs twice."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload"))
     repeated = rows.groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= revisit_from)).drop("n")
+    repeated = written(repeated, "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
     rows = rows.join(repeated, ["sha", "size"], "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < F.col("first"), F.col("first")))
     schema = pa.schema([("frame", pa.binary())])
 
