@@ -1,54 +1,107 @@
-"""Byte-level BPE ids by the tokenizers library, with every white-space piece encoded once.
+"""Byte-level BPE ids by the tokenizers library, with every piece between spaces encoded once.
 
-The tokenizer cuts a text before a space that follows a character other than white space, and no token crosses that cut, so a text
-may be cut at such spaces and the ids of its pieces joined. Texts with other runs of white space are encoded whole. A worker keeps
-the ids of the pieces it has seen, up to a bound in number and in piece length; then it starts afresh.
+The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and no token
+crosses that cut; so a text may be cut at such spaces and the ids of its pieces joined. Texts with a space inside or at the end of a
+longer run of white space are encoded whole. Likewise letters after a space are a word of their own, and so is a lone mark after
+them; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the whole
+tokenizer. A worker keeps the ids of the first pieces it meets, up to a bound in number: frequent pieces come early. The other pieces
+of a batch are encoded once for that batch.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 
-#: Pieces a worker remembers, and the longest of them in characters: at most some 200 MB.
-KEPT, LONGEST = 600_000, 64
+#: Pieces that a worker keeps, at most some 60 MB, and the longest of them in characters.
+KEPT, LONGEST = 250_000, 64
+#: Words that are encoded as one text.
+RUN = 2000
 
-_open: dict[str, Encoder] = {}
+_ODD = re.compile(r"\s \s|\s \Z")
+_MARKS = frozenset(".,;:!?")
+_open: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        #: Ids as bytes: of a piece after a space, and of one at the start of a text.
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u4" if len(vocabulary) > 1 << 16 else "<u2")
+        #: Bytes of each token: a byte-level vocabulary has one character for each byte.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        # Fixed rule of byte-level vocabularies: a visible character stands for itself, each other byte for the next one from 256 on.
+        seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in seen]
+        self.letters = {b: chr(b if b in seen else 256 + hidden.index(b)) for b in range(256)}
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.mark = {m: x.tobytes() for m, x in zip(_MARKS, self.ids(self.tokenizer, list(_MARKS)), strict=True)}
+        #: The ids, as bytes, of a piece after a space.
         self.after: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of letters after a space."""
+        out: dict[str, bytes] = {}
+        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        space, width = self.letters[32], self.dtype.itemsize
+        for i in range(0, len(runs), 8):
+            raw = [" ".join(r).encode() for r in runs[i : i + 8]]
+            texts = [space + r.decode("latin-1").replace(" ", "\0").translate(self.letters | {0: " " + space}) for r in raw]
+            for run, r, ids in zip(runs[i : i + 8], raw, self.ids(self.words, texts), strict=True):
+                ends = np.append(np.flatnonzero(np.frombuffer(r, np.uint8) == 32) + 1, len(r) + 1)
+                at = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * width).tolist()
+                body = ids.tobytes()
+                out.update(zip(run, [body[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
+        return out
+
+    def learn(self, new: set[str]) -> list[str]:
+        """Puts the ids of these pieces in place, and names those that are more than this worker keeps."""
+        plain, marked, other = [], [], []
+        for p in new:
+            if p.isalpha():
+                plain.append(p)
+            elif p[-1:] in self.mark and p[:-1].isalpha():
+                marked.append(p)
+            else:
+                other.append(p)
+        kept = self.after
+        stems = ({p[:-1] for p in marked} - kept.keys()).difference(plain)
+        found = self.word_ids([*plain, *stems])
+        for p in marked:
+            stem = p[:-1]
+            found[p] = (found.get(stem) or kept[stem]) + self.mark[p[-1]]
+        found.update(zip(other, [x.tobytes() for x in self.ids(self.tokenizer, [f" {p}" for p in other])], strict=True))
+        room = KEPT - len(kept)
+        kept.update(found)
+        names = list(found)
+        return names[max(0, room) :] if room < len(names) else [p for p in names if len(p) > LONGEST]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
+        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
         cut = [t.split(" ") if t else [] for t in texts]
-        odd = [i for i, p in enumerate(cut) if p and ("" in p or any(map(str.isspace, (x[-1] for x in p))))]
         for i in odd:
             cut[i] = []
-        new = set().union(*(p[1:] for p in cut)) - self.after.keys()
-        if len(self.after) + len(new) > KEPT:
-            self.after = {}
-            new = set().union(*(p[1:] for p in cut))
-        pieces = list(new)
-        once: dict[str, bytes] = {}
-        for piece, ids in zip(pieces, self.whole([f" {p}" for p in pieces]), strict=True):
-            (self.after if len(piece) <= LONGEST else once)[piece] = ids
-        known = {**self.after, **once} if once else self.after
-        first = iter(self.whole([p[0] for p in cut if p]))
-        rest = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        out = []
-        for i, p in enumerate(cut):
-            out.append(next(first) + b"".join([known[x] for x in p[1:]]) if p else rest.get(i, b""))
+        heads = [p.pop(0) for p in cut if p]
+        extra = self.learn(set().union(*cut) - self.after.keys())
+        first = iter(self.ids(self.tokenizer, heads))
+        whole = {i: x.tobytes() for i, x in zip(odd, self.ids(self.tokenizer, [texts[i] for i in odd]), strict=True)}
+        look = self.after.__getitem__
+        out = [whole[i] if i in whole else next(first).tobytes() + b"".join(map(look, p)) if t else b"" for i, (t, p) in enumerate(zip(texts, cut, strict=True))]
+        for p in extra:
+            del self.after[p]
         return out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, columns, shared_dir, slices, spans, written
+from .common import batch, columns, shared_dir, slices, small_batches, spans, written
 from .encoding import default_path, encoder
 
 MAGIC = b"EFTOKEN1"
@@ -132,6 +132,7 @@ def shards(data) -> Iterator[Shard]:
 def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = 4_000_000, partitions: int | None = None) -> None:
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     schema = pa.schema([("shard", pa.binary())])
