@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chain, columns, slices, spans
+from .common import batch, chain, columns, slices, small_batches, spans
 
 WINDOW = 10
 #: Windows that one broadcast may hold: some 500 MB at the most, in the form below.
@@ -124,6 +124,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_
 
 
 def _joined(docs: DataFrame, keep: list[str], benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = docs.select(*keep, F.lit(0).cast("long").alias("__n"), F.array().cast("array<int>").alias("__runs"), F.array().cast("array<string>").alias("__items"))
     first = True

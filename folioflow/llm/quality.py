@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, slices
+from .common import columns, crc_mod, slices, small_batches
 
 WIDTH, BLOCK = 4, 128
 THRESHOLD = 0.3
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fold=None, rows: int = SAMPLE_R
 
 def scored(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """All columns of docs and `__score`."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, crc_mod, slices, spans
+from .common import batch, columns, crc_mod, slices, small_batches, spans
 from .quality import labelled_sample, sigmoid
 
 THRESHOLD = 0.7
-SAMPLE_ROWS, SAMPLE_LONGEST, MOST_WORDS = 6000, 60_000, 4000
+SAMPLE_ROWS, SAMPLE_LONGEST, MOST_WORDS = 5000, 20_000, 4000
 
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,24 +33,32 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
-def features(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    for n in _BEGINNINGS:
-        words |= {w[:n] + "+" for w in words if len(w) > n and w[-1] != "+"}
-    return words
+def features(words: set[str]) -> set[str]:
+    """Words and their beginnings."""
+    return words.union(*({w[:n] + "+" for w in words if len(w) > n} for n in _BEGINNINGS))
+
+
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
 
 
 class NoisyOr:
     def __init__(self):
         self.weights: dict[str, float] = {}
+        #: First three letters of all features: other words needn't be looked at closely.
+        self.starts: set[str] = set()
         self.bias = -9.0
         self.prior: float | None = None
 
+    def telling(self, text: str) -> set[str]:
+        starts = self.starts
+        return self.weights.keys() & features({w for w in words_of(text) if w[:3] in starts})
+
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """Start, end and probability of each sentence."""
         out = []
         for m in _SENTENCE.finditer(text or ""):
-            z = self.bias + sum(map(self.weights.get, self.weights.keys() & features(m[0])))
+            z = self.bias + sum(map(self.weights.get, self.telling(m[0])))
             out.append((*m.span(), float(sigmoid(z))))
         return out
 
@@ -58,7 +66,7 @@ class NoisyOr:
         if self.prior is not None:
             return self.prior
         text = text or ""
-        if self.weights.keys().isdisjoint(features(text)):
+        if not self.telling(text):
             n = max(1, sum(1 for _ in _SENTENCE.finditer(text)))
             return float(-np.expm1(n * np.log1p(-sigmoid(self.bias))))
         return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text))))
@@ -68,11 +76,15 @@ class NoisyOr:
         if not len(y) or y.min() == y.max():
             self.prior = float(y.mean()) if len(y) else 0.0
             return self
-        bags = [[features(m) for m in _SENTENCE.findall(t or "")] or [set()] for t in texts]
         have, lack = Counter(), Counter()
-        for bag, label in zip(bags, y, strict=True):
-            (have if label else lack).update(set().union(*bag))
-        tells = {w: n * (np.log((n + 0.5) / y.sum()) - np.log((lack[w] + 0.5) / (len(y) - y.sum()))) for w, n in have.items() if n >= 3}
+        for t, label in zip(texts, y, strict=True):
+            if label:
+                have.update(features(words_of(t or "")))
+        have = Counter({w: n for w, n in have.items() if n >= 3})
+        for t, label in zip(texts, y, strict=True):
+            if not label:
+                lack.update(have.keys() & features(words_of(t or "")))
+        tells = {w: n * (np.log((n + 0.5) / y.sum()) - np.log((lack[w] + 0.5) / (len(y) - y.sum()))) for w, n in have.items()}
         for w in sorted(tells):  # a beginning that says no more than a longer one, or than the only word that has it, goes
             for n in _BEGINNINGS:
                 short = w[:n] + "+"
@@ -80,9 +92,9 @@ class NoisyOr:
                     tells.pop(short, None)
         known = {w: i for i, w in enumerate(sorted(tells, key=lambda w: (-tells[w], w))[:most_words]) if tells[w] > 0}
         rows, owner, cells, cols = 0, [], [], []
-        for d, bag in enumerate(bags):
-            for s in bag:
-                found = [known[w] for w in s if w in known]
+        for d, t in enumerate(texts):
+            for sentence in _SENTENCE.findall(t or "") or [""]:
+                found = [known[w] for w in known.keys() & features(words_of(sentence))]
                 cells += [rows] * len(found)
                 cols += found
                 owner.append(d)
@@ -105,6 +117,7 @@ class NoisyOr:
             w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
         self.bias = float(b)
         self.weights = {x: float(w[i]) for x, i in known.items() if w[i]}
+        self.starts = {x.removesuffix("+")[:3] for x in self.weights}
         return self
 
 
@@ -115,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fold=None, rows: int = SAMPLE_R
 
 def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """doc_id and score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -129,6 +143,7 @@ def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
 
 def locate(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
     """Of documents with at least `threshold`, the sentences that are likelier toxic than not: place in characters, text, score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("sentence", pa.string()), ("score", pa.float64())])
 
