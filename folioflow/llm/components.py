@@ -7,6 +7,7 @@ which adaptive execution splits at a hub. Nothing is collected but a count and a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def with_roots(components: DataFrame) -> DataFrame:
     """The components with a row for each root itself."""
     return components.unionByName(components.select(F.col("component").alias("node"), "component").distinct())
+
+
+def local_groups(links: np.ndarray) -> np.ndarray:
+    """Of each vertex of a symmetric matrix, the first vertex of its component."""
+    n = len(links)
+    root = np.full(n, -1)
+    for s in range(n):
+        if root[s] < 0:
+            root[s] = s
+            front = np.array([s])
+            while len(front):
+                front = np.flatnonzero(links[front].any(0) & (root < 0))
+                root[front] = s
+    return root

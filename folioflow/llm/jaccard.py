@@ -7,11 +7,14 @@ annulus the shingle universe into so many parts that two sets within the radius
 agree on a part share a cell. Sets with too many empty parts for that argument share a cell, besides, for each shingle in the prefix
 that two such sets must share.
 
-In each cell the smallest set is the pivot. Sets measure their exact distance to the pivots of all their cells; those within the
-radius join the pivot's region and so one component. A cell is done when its sets are all in one component. In the others regions
-meet: a new pivot is chosen, and measured against it are only sets of other components whose distances to earlier pivots differ by no
-more than the radius (the triangle inequality rules out the rest). When few are left, all pairs that pass every window are measured.
-Equal sets are collapsed beforehand and never compared. No candidate, partner or cell is dropped at any size.
+In each cell the smallest set is the pivot. A set belongs to the Voronoi region of the pivot it shares most cells with; its distance
+to it is measured exactly, and within the radius the two are linked. A cell whose sets are all in one component by now is done. The
+sets of the others fall into areas that no open cell crosses, and in an area regions are split into rings, one radius wide, around
+their pivot. Rings of an area meet in pairs: the innermost with itself needs no work (all there are linked to the pivot), rings of
+one region two or more apart need none (triangle inequality), nor do blocks too different in size; all others are joined in blocks
+of bounded size, each in one task by a product of incidence matrices, exactly. What leaves a task is a star for each local group and
+not its pairs, so a group of thousands of near copies makes rows in proportion to its size. Equal sets are collapsed beforehand. No
+candidate, partner or cell is dropped at any size.
 
 Words: A-Z lower-cased, runs of [^\x20\x09-\x0D]. With fewer words than a shingle has, the whole sequence is one shingle. Sets are of
 64-bit hashes. Texts without words, null texts among them, have the empty set and link with nothing. A null id counts in no
@@ -26,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
-from .common import batch, columns, mix, shared_dir, slices, small_batches, sorted_unique, spans, words, written
-from .components import components, with_roots
+from .common import batch, columns, mix, slices, small_batches, sorted_unique, words, written
+from .components import components, local_groups, with_roots
 
 WORDS, PERCENT = 4, 85
 #: Ratio between the bounds of size annuli, and the smallest size at which unequal sets can be linked at 50 % or more.
@@ -41,8 +43,8 @@ RATIO, FIRST = 1.6, 2
 HELD, BUCKET_BYTES = 600_000, 16 << 20
 #: Ids that are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Pivots tried in a cell before the pairs that pass all windows are measured.
-ROUNDS = 4
+#: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
+BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 150_000, 512, 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,7 +73,7 @@ def shingles(tokens: list[bytes], hashes: Hashes, k: int = WORDS) -> np.ndarray:
 
 def fingerprint(s: np.ndarray) -> int:
     """One signed 64-bit number for a set."""
-    return int((mix(s + _STEP).sum(dtype=np.uint64) + np.uint64(len(s)) * _STEP).view(np.int64))
+    return int(np.append(mix(s + _STEP), mix(np.array([len(s)], np.uint64))).sum(dtype=np.uint64).view(np.int64))
 
 
 class Cells:
@@ -233,45 +235,111 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "p long, x long, common long, total long")
 
 
+def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns_at_once: int = 4096) -> np.ndarray:
+    """Which sets of a and b are linked: intersections from products of 0/1 matrices over the hashes that both sides hold."""
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(sorted_unique(all_a), sorted_unique(all_b), assume_unique=True)
+    common = np.zeros((len(a), len(b)), dtype=np.float32)
+    if len(both):
+        placed = []
+        for side, lengths in ((all_a, sizes[0]), (all_b, sizes[1])):
+            at = np.minimum(np.searchsorted(both, side), len(both) - 1)
+            hit = both[at] == side
+            col, row = at[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]
+            order = np.argsort(col, kind="stable")
+            placed.append((row[order], col[order]))
+        for start in range(0, len(both), columns_at_once):
+            dense = []
+            for (row, col), n in zip(placed, (len(a), len(b)), strict=True):
+                i, j = np.searchsorted(col, (start, start + columns_at_once))
+                m = np.zeros((n, min(columns_at_once, len(both) - start)), dtype=np.float32)
+                m[row[i:j], col[i:j] - start] = 1
+                dense.append(m)
+            common += dense[0] @ dense[1].T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def joined_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """u, v: a star for each local group of linked sets of a pair of blocks."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            for r in range(b.num_rows):
+                nodes = [np.array(col[c][r].as_py(), np.int64) for c in ("a_nodes", "b_nodes")]
+                sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in col[c][r].values] for c in ("a_sets", "b_sets")]
+                near = block_links(*sets, percent)
+                if col["i"][r].as_py() == col["j"][r].as_py():
+                    full, names = near, nodes[0]
+                else:
+                    p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                    full = np.zeros((len(p) + len(q),) * 2, dtype=bool)
+                    full[: len(p), len(p) :] = near[np.ix_(p, q)]
+                    full[len(p) :, : len(p)] = near[np.ix_(p, q)].T
+                    names = np.concatenate((nodes[0][p], nodes[1][q]))
+                root = names[local_groups(full)] if len(names) else names
+                other = root != names
+                yield batch(schema, names[other], root[other])
+
+    side = lambda k, s: blocks.select(F.col("block").alias(k), F.col("nodes").alias(f"{s}_nodes"), F.col("sets").alias(f"{s}_sets"))
+    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("i", "j", "a_nodes", "b_nodes", "a_sets", "b_sets")
+    return written(both.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "i", "j").mapInArrow(task, "u long, v long"), "joined")
+
+
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: links enough to connect all sets that are connected. members: cell, node, pivot."""
-    radius = (100 - percent) / 100 + 1e-9
-    apart = F.lit(1.0) - F.col("common") / F.col("total")
-    near = F.col("common") * 100 >= F.col("total") * percent
+    radius = (100 - percent) / 100
     sizes = sets.select("node", "size")
-    first = members.filter("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("x")).distinct()
-    within = sizes.select(F.col("node").alias("p"), F.col("size").alias("ps")), sizes.select(F.col("node").alias("x"), F.col("size").alias("xs"))
-    first = first.join(within[0], "p").join(within[1], "x").filter(F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent)
-    found = written(measured(first, sets).withColumn("d", apart).withColumn("near", near), "distances")
-    all_links = found.filter("near").select("p", "x")
-    labels = with_roots(components(all_links))
-    table = members.join(found.select(F.col("p").alias("pivot"), F.col("x").alias("node"), "d"), ["pivot", "node"], "left")
-    # Pairs too different in size weren't measured: their distance is at least that of their sizes, and they can't be linked; 1 says "far".
-    table = table.select("cell", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d1"), (F.col("node") == F.col("pivot")).alias("done"))
-    for turn in itertools.count(2):
-        table = table.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        state = table.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(~F.col("done"), F.col("node"))).alias("q"), F.count(F.lit(1)).alias("n"))
-        open_cells = state.filter("lo <> hi and q is not null and n > 2")
-        table = written(table.join(open_cells.select("cell", "q", "n"), "cell"), f"open{turn}")
-        todo, cells = table.agg(F.count(F.lit(1)), F.countDistinct("cell")).first()
-        if not todo:
-            return all_links
-        ds = [c for c in table.columns if c[0] == "d" and c[1:].isdigit()]
-        window = lambda x, y: [F.coalesce(F.abs(F.col(f"{x}.{c}") - F.col(f"{y}.{c}")) <= radius, F.lit(True)) for c in ds]
-        left, right = table.alias("a"), table.alias("b")
-        rule = [F.col("a.cell") == F.col("b.cell"), ~F.col("b.done"), F.col("a.component") != F.col("b.component")]
-        last = turn > ROUNDS or todo <= 40 * cells
-        rule += [F.col("a.node") < F.col("b.node"), ~F.col("a.done")] if last else [F.col("a.node") == F.col("a.q"), F.col("b.node") != F.col("a.q")]
-        pairs = left.join(right, [*rule, *window("a", "b")]).select(F.col("a.node").alias("p"), F.col("b.node").alias("x")).distinct()
-        pairs = pairs.join(within[0], "p").join(within[1], "x").filter(F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent)
-        got = written(measured(pairs, sets).withColumn("d", apart).withColumn("near", near), "distances")
-        all_links = all_links.unionByName(got.filter("near").select("p", "x"))
-        if last:
-            return all_links
-        labels = with_roots(components(all_links))
-        new = f"d{turn}"
-        one = got.select(F.col("p").alias("q"), F.col("x").alias("node"), F.col("d").alias(new))
-        table = table.join(one, ["q", "node"], "left").withColumn(new, F.when(F.col("node") == F.col("q"), 0.0).otherwise(F.col(new))).withColumn("done", F.col("done") | (F.col("node") == F.col("q"))).drop("q", "n")
+    shared = members.filter("node <> pivot").groupBy(F.col("pivot").alias("p"), F.col("node").alias("x")).count()
+    nearest = shared.groupBy("x").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
+    one, two = sizes.select(F.col("node").alias("p"), F.col("size").alias("ps")), sizes.select(F.col("node").alias("x"), F.col("size").alias("xs"))
+    nearest = written(nearest.join(one, "p").join(two, "x").withColumn("fit", F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent), "nearest")
+    found = measured(nearest.filter("fit"), sets)
+    # Rings are counted in whole numbers: ring k >= 1 holds distances over k radii and up to k + 1.
+    steps = F.ceil((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))) - 1
+    near = F.col("common") * 100 >= F.col("total") * percent
+    found = written(found.withColumn("ring", F.when(near, 0).otherwise(F.greatest(steps, F.lit(1)))), "distances")
+    stars = found.filter("ring = 0").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    labels = with_roots(components(stars))
+
+    table = members.select("cell", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_cells = table.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).filter("lo <> hi")
+    cross = written(members.select("cell", "node").join(open_cells.select("cell", "least"), "cell").select("node", "least").distinct(), "open")
+    if cross.isEmpty():
+        return stars
+    areas = with_roots(components(cross)).withColumnRenamed("component", "area")
+
+    place = found.select(F.col("x").alias("node"), F.col("p").alias("owner"), "ring")
+    spots = areas.join(sizes, "node").join(place, "node", "left").withColumn("owner", F.coalesce("owner", "node")).withColumn("ring", F.when(F.col("owner") == F.col("node"), 0).otherwise(F.col("ring")))
+    spots = written(spots, "spots")
+    regions = spots.groupBy("area", "owner").agg(F.sum("size").alias("whole")).withColumn("large", F.col("whole") >= OWN_BLOCK).drop("whole")
+    spots = spots.join(regions, ["area", "owner"]).withColumn("owner", F.when(F.col("large"), F.col("owner"))).withColumn("ring", F.when(F.col("large"), F.col("ring"))).drop("large")
+    keys = ["area", "owner", "ring", "scale"]
+    spots = written(spots.withColumn("scale", F.floor(F.log("size") / float(-np.log(percent / 100))).cast("int")), "placed")
+    totals = spots.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("split"))
+    safe = lambda df, s: df.select(*[F.col(k).alias(f"{s}_{k}") for k in keys], *[c for c in df.columns if c not in keys])
+    dealt = spots.join(safe(totals, "t"), [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("split")))
+    dealt = dealt.withColumn("block", F.xxhash64(*keys, "salt")).select("node", "block", *keys, "size")
+    dealt = written(dealt, "dealt")
+    boxes = written(dealt.groupBy("block", *keys).agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "boxes")
+    blocks = written(dealt.select("node", "block").join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "members")).alias("s")).select("block", F.col("s.node").alias("nodes"), F.col("s.members").alias("sets")), "blocks")
+    a, b = boxes.alias("a"), boxes.alias("b")
+    ring = F.abs(F.col("a.ring") - F.col("b.ring"))
+    idle = (F.col("a.owner") == F.col("b.owner")) & ((F.col("a.ring") + F.col("b.ring") == 0) | (ring >= 2))
+    reach = F.least("a.hi", "b.hi") * 100 >= F.greatest("a.lo", "b.lo") * percent
+    pairs = a.join(b, [F.col("a.area") == F.col("b.area"), F.col("a.block") <= F.col("b.block"), reach, ~F.coalesce(idle, F.lit(False))])
+    pairs = written(pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")), "pairs")
+    spark = members.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")  # a row holds two blocks
+    try:
+        return stars.unionByName(joined_blocks(pairs, blocks, percent))
+    finally:
+        spark.conf.set(key, before)
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
