@@ -2,7 +2,7 @@
 
 The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and no token
 crosses that cut; so a text may be cut at such spaces and the ids of its pieces joined. Texts with a space inside or at the end of a
-longer run of white space are encoded whole. Likewise letters after a space are a word of their own, and so is a lone mark after
+longer run of white space are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
 them; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the whole
 tokenizer. A worker keeps the ids of the first pieces it meets, up to a bound in number: frequent pieces come early. The other pieces
 of a batch are encoded once for that batch.
@@ -10,18 +10,21 @@ of a batch are encoded once for that batch.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker keeps, at most some 60 MB, and the longest of them in characters.
-KEPT, LONGEST = 250_000, 64
+KEPT, LONGEST = 200_000, 64
 #: Words that are encoded as one text.
 RUN = 2000
 
 _ODD = re.compile(r"\s \s|\s \Z")
-_MARKS = frozenset(".,;:!?")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -44,7 +47,8 @@ class Encoder:
         self.letters = {b: chr(b if b in seen else 256 + hidden.index(b)) for b in range(256)}
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.mark = {m: x.tobytes() for m, x in zip(_MARKS, self.ids(self.tokenizer, list(_MARKS)), strict=True)}
+        #: The ids of marks after a word.
+        self.ends: dict[str, bytes] = {}
         #: The ids, as bytes, of a piece after a space.
         self.after: dict[str, bytes] = {}
 
@@ -66,43 +70,56 @@ class Encoder:
                 out.update(zip(run, [body[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         return out
 
-    def learn(self, new: set[str]) -> list[str]:
-        """Puts the ids of these pieces in place, and names those that are more than this worker keeps."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of these pieces after a space; keeps what there is room for."""
         plain, marked, other = [], [], []
         for p in new:
             if p.isalpha():
                 plain.append(p)
-            elif p[-1:] in self.mark and p[:-1].isalpha():
-                marked.append(p)
+            elif (stem := p.rstrip(_MARKS)).isalpha():
+                marked.append((p, stem, p[len(stem) :]))
             else:
                 other.append(p)
         kept = self.after
-        stems = ({p[:-1] for p in marked} - kept.keys()).difference(plain)
+        stems = ({m[1] for m in marked} - kept.keys()).difference(plain)
         found = self.word_ids([*plain, *stems])
-        for p in marked:
-            stem = p[:-1]
-            found[p] = (found.get(stem) or kept[stem]) + self.mark[p[-1]]
+        ends = list({m[2] for m in marked} - self.ends.keys())
+        end_ids = dict(zip(ends, [x.tobytes() for x in self.ids(self.tokenizer, ends)], strict=True))
+        if len(self.ends) < 1000:
+            self.ends.update(end_ids)
+        for p, stem, end in marked:
+            found[p] = (found.get(stem) or kept[stem]) + (end_ids.get(end) or self.ends[end])
         found.update(zip(other, [x.tobytes() for x in self.ids(self.tokenizer, [f" {p}" for p in other])], strict=True))
-        room = KEPT - len(kept)
-        kept.update(found)
-        names = list(found)
-        return names[max(0, room) :] if room < len(names) else [p for p in names if len(p) > LONGEST]
+        if (room := KEPT - len(kept)) > 0:
+            kept.update(itertools.islice(((p, x) for p, x in found.items() if len(p) <= LONGEST), room))
+        return found
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
         odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        cut = [t.split(" ") if t else [] for t in texts]
+        plain = [t or "" for t in texts]
         for i in odd:
-            cut[i] = []
-        heads = [p.pop(0) for p in cut if p]
-        extra = self.learn(set().union(*cut) - self.after.keys())
-        first = iter(self.ids(self.tokenizer, heads))
-        whole = {i: x.tobytes() for i, x in zip(odd, self.ids(self.tokenizer, [texts[i] for i in odd]), strict=True)}
-        look = self.after.__getitem__
-        out = [whole[i] if i in whole else next(first).tobytes() + b"".join(map(look, p)) if t else b"" for i, (t, p) in enumerate(zip(texts, cut, strict=True))]
-        for p in extra:
-            del self.after[p]
-        return out
+            plain[i] = ""
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        starts = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        kept = self.after
+        found = self.learn([p for p in pieces if p not in kept])
+        parts = [found[p] if p in found else kept[p] for p in pieces]
+        at[starts[:-1]] = len(parts) + np.arange(len(texts))  # the first piece of a text has no space before it
+        heads = cut.values.take(pa.array(starts[:-1])).to_pylist() if len(texts) else []
+        parts += [x.tobytes() for x in self.ids(self.tokenizer, heads)]
+        each = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        where = np.cumsum(each) - each
+        counts = each[at]
+        ends = np.cumsum(counts)
+        out = np.frombuffer(b"".join(parts), self.dtype)[np.repeat(where[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = (np.concatenate(([0], ends))[starts] * self.dtype.itemsize).tolist()
+        result = [out[i:j] for i, j in itertools.pairwise(bounds)]
+        for i, x in zip(odd, self.ids(self.tokenizer, [texts[i] for i in odd]), strict=True):
+            result[i] = x.tobytes()
+        return result
 
 
 def encoder(path: str) -> Encoder:
