@@ -37,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before the interpreter
             return
 
@@ -48,7 +46,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame, written once as a Parquet table in the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing to come reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

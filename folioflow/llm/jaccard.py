@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
-from .common import batch, columns, mix, slices, small_batches, sorted_unique, words, written
+from .common import batch, columns, discard, mix, slices, small_batches, sorted_unique, words, written
 from .components import components, local_groups, with_roots
 
 WORDS, PERCENT = 4, 85
@@ -261,9 +261,29 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns_
     return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
 
 
-def joined_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: a star for each local group of linked sets of a pair of blocks."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+STAR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def star(near: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    root = names[local_groups(near)] if len(names) else names
+    other = root != names
+    return batch(STAR, names[other], root[other])
+
+
+def within_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """u, v: a star for each local group of linked sets of a block."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for nodes, sets in zip(b.column(0), b.column(1), strict=True):
+                one = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.values]
+                yield star(block_links(one, one, percent), np.array(nodes.as_py(), np.int64))
+
+    return blocks.select("nodes", "sets").mapInArrow(task, "u long, v long")
+
+
+def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """u, v: the same for each pair of different blocks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,21 +292,15 @@ def joined_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFram
                 nodes = [np.array(col[c][r].as_py(), np.int64) for c in ("a_nodes", "b_nodes")]
                 sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in col[c][r].values] for c in ("a_sets", "b_sets")]
                 near = block_links(*sets, percent)
-                if col["i"][r].as_py() == col["j"][r].as_py():
-                    full, names = near, nodes[0]
-                else:
-                    p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                    full = np.zeros((len(p) + len(q),) * 2, dtype=bool)
-                    full[: len(p), len(p) :] = near[np.ix_(p, q)]
-                    full[len(p) :, : len(p)] = near[np.ix_(p, q)].T
-                    names = np.concatenate((nodes[0][p], nodes[1][q]))
-                root = names[local_groups(full)] if len(names) else names
-                other = root != names
-                yield batch(schema, names[other], root[other])
+                p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                full = np.zeros((len(p) + len(q),) * 2, dtype=bool)
+                full[: len(p), len(p) :] = near[np.ix_(p, q)]
+                full[len(p) :, : len(p)] = near[np.ix_(p, q)].T
+                yield star(full, np.concatenate((nodes[0][p], nodes[1][q])))
 
     side = lambda k, s: blocks.select(F.col("block").alias(k), F.col("nodes").alias(f"{s}_nodes"), F.col("sets").alias(f"{s}_sets"))
-    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("i", "j", "a_nodes", "b_nodes", "a_sets", "b_sets")
-    return written(both.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "i", "j").mapInArrow(task, "u long, v long"), "joined")
+    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a_nodes", "b_nodes", "a_sets", "b_sets")
+    return both.mapInArrow(task, "u long, v long")
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -315,10 +329,14 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     place = found.select(F.col("x").alias("node"), F.col("p").alias("owner"), "ring")
     spots = areas.join(sizes, "node").join(place, "node", "left").withColumn("owner", F.coalesce("owner", "node")).withColumn("ring", F.when(F.col("owner") == F.col("node"), 0).otherwise(F.col("ring")))
     spots = written(spots, "spots")
+    # Regions with enough shingles have blocks of their own, by ring and size; small areas are one block.
     regions = spots.groupBy("area", "owner").agg(F.sum("size").alias("whole")).withColumn("large", F.col("whole") >= OWN_BLOCK).drop("whole")
-    spots = spots.join(regions, ["area", "owner"]).withColumn("owner", F.when(F.col("large"), F.col("owner"))).withColumn("ring", F.when(F.col("large"), F.col("ring"))).drop("large")
+    wide = spots.groupBy("area").agg(F.sum("size").alias("whole")).withColumn("wide", F.col("whole") >= OWN_BLOCK).drop("whole")
+    spots = spots.join(regions, ["area", "owner"]).join(wide, "area")
     keys = ["area", "owner", "ring", "scale"]
-    spots = written(spots.withColumn("scale", F.floor(F.log("size") / float(-np.log(percent / 100))).cast("int")), "placed")
+    scale = F.floor(F.log("size") / float(-np.log(percent / 100))).cast("int")
+    spots = spots.select("node", "size", "area", F.when(F.col("large"), F.col("owner")).alias("owner"), F.when(F.col("large"), F.col("ring")).alias("ring"), F.when(F.col("wide"), scale).alias("scale"))
+    spots = written(spots, "placed")
     totals = spots.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("split"))
     safe = lambda df, s: df.select(*[F.col(k).alias(f"{s}_{k}") for k in keys], *[c for c in df.columns if c not in keys])
     dealt = spots.join(safe(totals, "t"), [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("split")))
@@ -330,14 +348,17 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ring = F.abs(F.col("a.ring") - F.col("b.ring"))
     idle = (F.col("a.owner") == F.col("b.owner")) & ((F.col("a.ring") + F.col("b.ring") == 0) | (ring >= 2))
     reach = F.least("a.hi", "b.hi") * 100 >= F.greatest("a.lo", "b.lo") * percent
-    pairs = a.join(b, [F.col("a.area") == F.col("b.area"), F.col("a.block") <= F.col("b.block"), reach, ~F.coalesce(idle, F.lit(False))])
+    pairs = a.join(b, [F.col("a.area") == F.col("b.area"), F.col("a.block") < F.col("b.block"), reach, ~F.coalesce(idle, F.lit(False))])
     pairs = written(pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")), "pairs")
     spark = members.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "4")  # a row holds two blocks
     try:
-        return stars.unionByName(joined_blocks(pairs, blocks, percent))
+        alone = blocks.join(boxes.filter("owner is not null and ring = 0").select("block"), "block", "left_anti")
+        found = [written(x, "joined") for x in (within_blocks(alone, percent), between_blocks(pairs, blocks, percent))]
+        discard(blocks)
+        return stars.unionByName(found[0]).unionByName(found[1])
     finally:
         spark.conf.set(key, before)
 
@@ -348,12 +369,14 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     seen = survey(docs, words, percent, buckets)
-    info = seen.filter(F.col("bucket").isNull()).select("doc_id", "n", "node")
+    info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "n", "node"), "info")
     classes = written(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
     members = written(shared_cells(seen), "cells")
+    discard(seen)
     wanted = members.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id"), "node")
     sets = sets_of(docs, written(wanted, "wanted"), words)
     roots = with_roots(components(links(members, sets, percent)))
+    discard(sets, members)
     named = roots.join(classes, "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     found = named.join(least, "component").select("node", "least")
