@@ -1,8 +1,8 @@
 """Byte-level BPE ids by the tokenizers library, with every piece between spaces encoded once.
 
-The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and no token
-crosses that cut; so a text may be cut at such spaces and the ids of its pieces joined. Texts with a space inside or at the end of a
-longer run of white space are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
+The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and around a
+line break between two such characters, and no token crosses a cut; so a text may be cut there and the ids of its pieces joined. Texts
+with three characters of white space together, or with two at the end, are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
 them; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the whole
 tokenizer. A worker keeps the ids of the first pieces it meets, up to a bound in number: frequent pieces come early. The other pieces
 of a batch are encoded once for that batch.
@@ -23,7 +23,9 @@ KEPT, LONGEST = 200_000, 64
 #: Words that are encoded as one text.
 RUN = 2000
 
-_ODD = re.compile(r"\s \s|\s \Z")
+#: Stands for a line break before a piece; a text that has this private-use character is encoded whole.
+_BREAK = "\ue000"
+_ODD = re.compile(rf"\s\s\s|\s\s\Z|{_BREAK}")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 _open: dict[str, "Encoder"] = {}
 
@@ -47,6 +49,7 @@ class Encoder:
         self.letters = {b: chr(b if b in seen else 256 + hidden.index(b)) for b in range(256)}
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.line = self.ids(self.tokenizer, ["\n"])[0].tobytes()
         #: The ids of marks after a word.
         self.ends: dict[str, bytes] = {}
         #: The ids, as bytes, of a piece after a space.
@@ -55,16 +58,17 @@ class Encoder:
     def ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def word_ids(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words of letters after a space."""
+    def word_ids(self, words: list[str], space: str) -> dict[str, bytes]:
+        """The ids of words of letters after `space`: the letter of a space, or nothing."""
         out: dict[str, bytes] = {}
         runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
-        space, width = self.letters[32], self.dtype.itemsize
+        width = self.dtype.itemsize
         for i in range(0, len(runs), 8):
             raw = [" ".join(r).encode() for r in runs[i : i + 8]]
             texts = [space + r.decode("latin-1").replace(" ", "\0").translate(self.letters | {0: " " + space}) for r in raw]
             for run, r, ids in zip(runs[i : i + 8], raw, self.ids(self.words, texts), strict=True):
-                ends = np.append(np.flatnonzero(np.frombuffer(r, np.uint8) == 32) + 1, len(r) + 1)
+                gaps = np.append(np.flatnonzero(np.frombuffer(r, np.uint8) == 32), len(r))
+                ends = gaps + 1 if space else gaps - np.arange(len(gaps))
                 at = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * width).tolist()
                 body = ids.tobytes()
                 out.update(zip(run, [body[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
@@ -72,17 +76,26 @@ class Encoder:
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of these pieces after a space; keeps what there is room for."""
-        plain, marked, other = [], [], []
+        plain, marked, other, broken = [], [], [], []
         for p in new:
-            if p.isalpha():
+            if p.isalpha() and p[0] != _BREAK:
                 plain.append(p)
+            elif p[:1] == _BREAK:
+                broken.append(p)
             elif (stem := p.rstrip(_MARKS)).isalpha():
                 marked.append((p, stem, p[len(stem) :]))
             else:
                 other.append(p)
         kept = self.after
         stems = ({m[1] for m in marked} - kept.keys()).difference(plain)
-        found = self.word_ids([*plain, *stems])
+        found = self.word_ids([*plain, *stems], self.letters[32])
+        if broken:
+            split = [(p, p[1:].rstrip(_MARKS)) for p in broken]
+            first = self.word_ids(list({q for _, q in split if q.isalpha()}), "")
+            tails = list({p[1 + len(q) :] if q in first else p[1:] for p, q in split})
+            tail_ids = dict(zip(tails, [x.tobytes() for x in self.ids(self.tokenizer, tails)], strict=True))
+            for p, q in split:
+                found[p] = self.line + (first[q] + tail_ids[p[1 + len(q) :]] if q in first else tail_ids[p[1:]])
         ends = list({m[2] for m in marked} - self.ends.keys())
         end_ids = dict(zip(ends, [x.tobytes() for x in self.ids(self.tokenizer, ends)], strict=True))
         if len(self.ends) < 1000:
@@ -97,7 +110,7 @@ class Encoder:
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
         odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        plain = [t or "" for t in texts]
+        plain = [t.replace("\n", f" {_BREAK}") if t else "" for t in texts]
         for i in odd:
             plain[i] = ""
         cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
@@ -126,9 +139,11 @@ class Encoder:
         """The number of ids of a short text, from the pieces kept where they are."""
         if _ODD.search(text):
             return len(self.ids(self.tokenizer, [text])[0])
+        if "\n" in text:
+            text = text.replace("\n", f" {_BREAK}")
         head, *rest = text.split(" ")
         kept = self.after
-        new = [f" {p}" for p in rest if p not in kept]
+        new = [f"\n{p[1:]}" if p[:1] == _BREAK else f" {p}" for p in rest if p not in kept]
         known = sum(len(kept[p]) for p in rest if p in kept) // self.dtype.itemsize
         return known + sum(map(len, self.ids(self.tokenizer, [head, *new] if head else new)))
 
