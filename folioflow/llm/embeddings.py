@@ -25,7 +25,7 @@ from .common import batch, columns, written
 from .components import components, local_groups, with_roots
 
 #: Rows for the principal axes (they only order vectors; any axes give the same links), leading axes, vectors a block, fan-out.
-SAMPLE, AXES, BLOCK, FAN, LEAF = 4000, 12, 1024, 8, 96
+SAMPLE, AXES, BLOCK, FAN, LEAF = 4000, 12, 1024, 64, 96
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
