@@ -5,7 +5,8 @@ and every document would be a boundary document of every region. So the space is
 do tell: sizes into annuli around the empty set, each with a window of larger documents that can still reach a smaller one; in an
 annulus the shingle universe into so many parts that two sets within the radius must agree on one part that isn't empty. Sets that
 agree on a part share a cell. Sets with too many empty parts for that argument share a cell, besides, for each shingle in the prefix
-that two such sets must share.
+that two such sets must share. Linked sets differ in so few parts that they share a known number of cells; sets that share fewer with
+all others together go.
 
 In each cell the smallest set is the pivot. A set belongs to the Voronoi region of the pivot it shares most cells with; its distance
 to it is measured exactly, and within the radius the two are linked. A cell whose sets are all in one component by now is done. The
@@ -93,18 +94,19 @@ class Cells:
         self.parts = [d + 3 + d // 6 for d in self.most_apart]
         self.edges: dict[int, np.ndarray] = {}
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each annulus or window the set is in: its cells, and the least number of them it shares with any set it is linked to."""
         n = len(s)
         if n < FIRST:
-            return np.zeros(0, np.uint64)
+            return []
         g = int(np.searchsorted(self.bounds, n, side="right")) - 1
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ _STEP))))
         found = [self._group(s, sums, g)]
         if g and -(-self.percent * n // 100) < self.bounds[g]:
             found.append(self._group(s, sums, g - 1))
-        return np.concatenate(found)
+        return found
 
-    def _group(self, s: np.ndarray, sums: np.ndarray, g: int) -> np.ndarray:
+    def _group(self, s: np.ndarray, sums: np.ndarray, g: int) -> tuple[np.ndarray, int]:
         m = self.parts[g]
         if m not in self.edges:
             self.edges[m] = np.array([(j << 64) // m for j in range(1, m)], dtype=np.uint64)
@@ -112,10 +114,11 @@ class Cells:
         full = at[1:] > at[:-1]
         value = (sums[at[1:]] - sums[at[:-1]])[full] + (np.flatnonzero(full).astype(np.uint64) + np.uint64(g << 32)) * _STEP
         out = mix(value)
-        if m - int(full.sum()) >= m - self.most_apart[g]:
+        need = int(full.sum()) - self.most_apart[g]
+        if need <= 0:
             prefix = len(s) - -(-self.percent * len(s) // 100) + 1
             out = np.concatenate((out, mix(s[:prefix] + np.uint64((g + 1) << 40))))
-        return out
+        return out, max(1, need)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -126,11 +129,11 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """A row per document (bucket null) with its set's size and fingerprint, and blobs of (signature, fingerprint) by bucket.
     A task sends the signatures of one fingerprint once."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("needs", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells, seen = Hashes(), Cells(percent), set()
-        held, nodes, size = [], [], 0
+        held, nodes, needs, size = [], [], [], 0
 
         def send() -> pa.RecordBatch:
             sig = np.concatenate(held)
@@ -140,7 +143,7 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             at = bucket_bounds(sig, buckets)
             rows = [(b, pack_sorted(sig[i:j]), pack(owner[i:j])) for b, (i, j) in enumerate(itertools.pairwise(at.tolist())) if j > i]
             n = len(rows)
-            return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [pack(np.array(nodes, np.int64))] * n, [None] * n, [None] * n, [None] * n)
+            return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [pack(np.array(nodes, np.int64))] * n, [pack(np.array(needs, np.int32))] * n, [None] * n, [None] * n, [None] * n)
 
         for b in batches:
             for part in slices(b, "text"):
@@ -153,43 +156,57 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                     prints.append(f)
                     if len(s) >= FIRST and f not in seen:
                         seen.add(f)
-                        held.append(cells.of(s))
-                        nodes.append(f)
-                        size += len(held[-1])
+                        for sigs, need in cells.of(s):
+                            held.append(sigs)
+                            nodes.append(f)
+                            needs.append(need)
+                            size += len(sigs)
                         if size >= HELD:
                             yield send()
-                            held, nodes, size = [], [], 0
+                            held, nodes, needs, size = [], [], [], 0
                 nothing = [None] * len(ids)
-                yield batch(schema, nothing, nothing, nothing, nothing, ids, sizes, prints)
+                yield batch(schema, nothing, nothing, nothing, nothing, nothing, ids, sizes, prints)
         if held:
             yield send()
 
-    kind = "bucket int, sigs binary, owners binary, nodes binary, doc_id long, n long, node long"
+    kind = "bucket int, sigs binary, owners binary, nodes binary, needs binary, doc_id long, n long, node long"
     return written(docs.select("doc_id", "text").mapInArrow(task, kind), "survey")
 
 
-def shared_cells(survey: DataFrame) -> DataFrame:
-    """cell, node, pivot: the sets of every cell that holds two or more."""
-    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64())])
+def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
+    """cell, node, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
+    Two linked sets of an annulus differ in so few parts that they agree on a number of cells; a set with fewer shared cells goes, and
+    with it the cells it shared with one other. Each turn only drops what can't be linked, so their number doesn't matter."""
+    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("need", pa.int32())])
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        sigs, owners = [], []
-        for s, o, n in zip(*(table.column(c).to_pylist() for c in ("sigs", "owners", "nodes")), strict=True):
+        sigs, nodes, needs = [], [], []
+        for s, o, n, k in zip(*(table.column(c).to_pylist() for c in ("sigs", "owners", "nodes", "needs")), strict=True):
+            owner = unpack(o)
             sigs.append(unpack_sorted(s))
-            owners.append(unpack(n)[unpack(o)])
-        sig, node = np.concatenate(sigs), np.concatenate(owners)
+            nodes.append(unpack(n)[owner])
+            needs.append(unpack(k)[owner])
+        sig, node, need = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(needs)
         order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+        sig, node, need = sig[order], node[order], need[order]
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node = sig[new], node[new]
+        sig, node, need = sig[new], node[new], need[new]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         lengths = np.diff(np.append(first, len(sig)))
         keep = np.repeat(lengths > 1, lengths)
-        pivot = np.repeat(node[first], lengths)
-        return pa.Table.from_batches([batch(schema, _signed(sig[keep]), node[keep], pivot[keep])])
+        return pa.Table.from_batches([batch(schema, _signed(sig[keep]), node[keep], need[keep])])
 
-    blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "sigs", "owners", "nodes")
-    return blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, node long, pivot long")
+    blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "sigs", "owners", "nodes", "needs")
+    members = written(blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, node long, need int"), "cells")
+    for _ in range(turns):
+        # A set has one need in its annulus and one in the window below; the smaller one and all its cells together are safe.
+        fit = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
+        kept = members.select("cell", "node", "need").join(fit, "node", "left_semi")
+        live = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n")
+        smaller = written(kept.join(live, "cell").select("cell", "node", "need", "pivot"), "cells")
+        discard(members)
+        members = smaller
+    return members.select("cell", "node", "pivot")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -371,12 +388,12 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     seen = survey(docs, words, percent, buckets)
     info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "n", "node"), "info")
     classes = written(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
-    members = written(shared_cells(seen), "cells")
+    members = shared_cells(seen)
     discard(seen)
     wanted = members.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id"), "node")
     sets = sets_of(docs, written(wanted, "wanted"), words)
     roots = with_roots(components(links(members, sets, percent)))
-    discard(sets, members)
+    discard(sets)
     named = roots.join(classes, "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     found = named.join(least, "component").select("node", "least")
