@@ -28,6 +28,8 @@ from .encoding import default_path, encoder
 
 MAGIC = b"EFTOKEN1"
 SEPARATOR = "\n"
+#: Bytes of text for each file, about.
+FILE_BYTES = 32 << 20
 #: Every this many-th value has its place in the high bits noted.
 STEP = 256
 
@@ -129,11 +131,12 @@ def shards(data) -> Iterator[Shard]:
         at = shard.end + len(SEPARATOR)
 
 
-def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = 4_000_000, partitions: int | None = None) -> None:
+def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = 1_000_000, partitions: int | None = None) -> None:
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = partitions or max(spark.sparkContext.defaultParallelism * 2, -(-total // FILE_BYTES))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     schema = pa.schema([("shard", pa.binary())])
 
