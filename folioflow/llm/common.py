@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -62,7 +63,28 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on from task to task and from query to query."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(task):
+    """The task, releasing memory when it ends."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 300) -> None:
     """Fewer rows in each Arrow batch than Spark's default, unless the session has its own: whole texts are large rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
@@ -100,6 +122,20 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 8_000_000):
         start = end
 
 
+def gathered(batches, text: str, most: int = 8_000_000):
+    """The batches again, small ones together and large ones cut, at about `most` bytes of text each."""
+    held, size = [], 0
+    for b in batches:
+        for part in slices(b, text, most):
+            held.append(part)
+            size += part.column(part.schema.get_field_index(text)).nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size or held and sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chain, columns, slices, small_batches, spans
+from .common import batch, chain, columns, slices, small_batches, spans, tidy
 
 WINDOW = 10
 #: Windows that one broadcast may hold: some 500 MB at the most, in the form below.
@@ -163,7 +163,7 @@ def _scan(docs: DataFrame, windows, first: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=b.schema.names)
 
     del arrow
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(tidy(task), schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans
                 b = b.set_column(at, "text", fixed)
             yield b
 
-    return found.mapInArrow(task, found.schema).withColumnsRenamed(back).select(*names)
+    return found.mapInArrow(tidy(task), found.schema).withColumnsRenamed(back).select(*names)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, columns, written
+from .common import batch, columns, tidy, written
 from .components import components, local_groups, with_roots
 
 #: Rows for the principal axes (they only order vectors; any axes give the same links), leading axes, vectors a block, fan-out.
@@ -116,10 +116,10 @@ def blocks(vectors: DataFrame, turn, eps: float, block: int) -> DataFrame:
         if held:
             yield one()
 
-    rows = vectors.select("vec_id", "v").mapInArrow(keys, "vec_id long, dim int, key long, data binary")
+    rows = vectors.select("vec_id", "v").mapInArrow(tidy(keys), "vec_id long, dim int, key long, data binary")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "dim", "key", "vec_id").sortWithinPartitions("dim", "key", "vec_id")
-    return written(ordered.mapInArrow(cut, "at long, dim int, n int, lo array<double>, hi array<double>, ids binary, data binary"), "blocks")
+    return written(ordered.mapInArrow(tidy(cut), "at long, dim int, n int, lo array<double>, hi array<double>, ids binary, data binary"), "blocks")
 
 
 def near(eps: float):
@@ -180,7 +180,7 @@ def local_links(pairs: DataFrame, table: DataFrame, turn, cosine: float, eps: fl
 
     cols = lambda s: table.select(F.col("at").alias(f"{s}_at"), *([F.col("dim")] if s == "a" else []), F.col("ids").alias(f"{s}_ids"), F.col("data").alias(f"{s}_data"))
     both = pairs.join(cols("a"), "a_at").join(cols("b"), "b_at").select("a_at", "b_at", "dim", "a_ids", "b_ids", "a_data", "b_data")
-    return written(both.mapInArrow(task, "vec_id long, n long, root long"), "links")
+    return written(both.mapInArrow(tidy(task), "vec_id long, n long, root long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, block: int = BLOCK) -> DataFrame:

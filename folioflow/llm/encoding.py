@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps, at most some 60 MB, and the longest of them in characters.
-KEPT, LONGEST = 150_000, 64
+KEPT, LONGEST = 300_000, 64
 #: Words that are encoded as one text.
 RUN = 2000
 
@@ -27,6 +27,9 @@ RUN = 2000
 _BREAK = "\ue000"
 _ODD = re.compile(rf"\s\s\s|\s\s\Z|{_BREAK}")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+#: The same in Arrow's syntax, where white space has to be spelled out.
+_WHITE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
+_ODD_ARROW = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z|\x{{e000}}"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -107,21 +110,24 @@ class Encoder:
             kept.update(itertools.islice(((p, x) for p, x in found.items() if len(p) <= LONGEST), room))
         return found
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
+    def many(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
-        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        plain = [t.replace("\n", f" {_BREAK}") if t else "" for t in texts]
-        for i in odd:
-            plain[i] = ""
-        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()), "")
+        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_ARROW).to_numpy(zero_copy_only=False)).tolist()
+        whole = column.take(pa.array(odd, pa.int64())).to_pylist()
+        if odd:
+            mask = np.zeros(len(column), dtype=bool)
+            mask[odd] = True
+            column = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), column)
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", f" {_BREAK}"), " ")
         starts = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
         at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         kept = self.after
         found = self.learn([p for p in pieces if p not in kept])
         parts = [found[p] if p in found else kept[p] for p in pieces]
-        at[starts[:-1]] = len(parts) + np.arange(len(texts))  # the first piece of a text has no space before it
-        heads = cut.values.take(pa.array(starts[:-1])).to_pylist() if len(texts) else []
+        at[starts[:-1]] = len(parts) + np.arange(len(column))  # the first piece of a text has no space before it
+        heads = cut.values.take(pa.array(starts[:-1])).to_pylist() if len(column) else []
         parts += [x.tobytes() for x in self.ids(self.tokenizer, heads)]
         each = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         where = np.cumsum(each) - each
@@ -130,11 +136,10 @@ class Encoder:
         out = np.frombuffer(b"".join(parts), self.dtype)[np.repeat(where[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         bounds = (np.concatenate(([0], ends))[starts] * self.dtype.itemsize).tolist()
         result = [out[i:j] for i, j in itertools.pairwise(bounds)]
-        for i, x in zip(odd, self.ids(self.tokenizer, [texts[i] for i in odd]), strict=True):
+        for i, x in zip(odd, self.ids(self.tokenizer, whole), strict=True):
             result[i] = x.tobytes()
         return result
 
-
     def count(self, text: str) -> int:
         """The number of ids of a short text, from the pieces kept where they are."""
         if _ODD.search(text):

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
-from .common import batch, columns, discard, mix, slices, small_batches, sorted_unique, words, written
+from .common import batch, columns, discard, mix, release, slices, small_batches, sorted_unique, tidy, words, written
 from .components import components, local_groups, with_roots
 
 WORDS, PERCENT = 4, 85
 #: Ratio between the bounds of size annuli, and the smallest size at which unequal sets can be linked at 50 % or more.
 RATIO, FIRST = 1.6, 2
 #: Signatures a task holds before it sends them on; bytes of text for each bucket of signatures.
-HELD, BUCKET_BYTES = 600_000, 16 << 20
+HELD, BUCKET_BYTES = 400_000, 12 << 20
 #: Ids that are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
@@ -54,7 +54,7 @@ class Hashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -170,7 +170,7 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             yield send()
 
     kind = "bucket int, sigs binary, owners binary, nodes binary, needs binary, doc_id long, n long, node long"
-    return written(docs.select("doc_id", "text").mapInArrow(task, kind), "survey")
+    return written(docs.select("doc_id", "text").mapInArrow(tidy(task), kind), "survey")
 
 
 def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
@@ -194,7 +194,10 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         lengths = np.diff(np.append(first, len(sig)))
         keep = np.repeat(lengths > 1, lengths)
-        return pa.Table.from_batches([batch(schema, _signed(sig[keep]), node[keep], need[keep])])
+        out = pa.Table.from_batches([batch(schema, _signed(sig[keep]), node[keep], need[keep])])
+        del sigs, nodes, needs, sig, node, need, order
+        release()
+        return out
 
     blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "sigs", "owners", "nodes", "needs")
     members = written(blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, node long, need int"), "cells")
@@ -225,7 +228,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     yield batch(schema, *zip(*right, strict=True))
 
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "doc_id").select("node", "text")
-    return written(texts.mapInArrow(task, "node long, size long, members binary"), "sets")
+    return written(texts.mapInArrow(tidy(task), "node long, size long, members binary"), "sets")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,7 +252,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("p"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("x"), F.col("members").alias("b"))
     both = pairs.select("p", "x").join(right, "x").join(left, "p")
-    return both.mapInArrow(task, "p long, x long, common long, total long")
+    return both.mapInArrow(tidy(task), "p long, x long, common long, total long")
 
 
 def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns_at_once: int = 4096) -> np.ndarray:
@@ -296,7 +299,7 @@ def within_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                 one = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.values]
                 yield star(block_links(one, one, percent), np.array(nodes.as_py(), np.int64))
 
-    return blocks.select("nodes", "sets").mapInArrow(task, "u long, v long")
+    return blocks.select("nodes", "sets").mapInArrow(tidy(task), "u long, v long")
 
 
 def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +320,7 @@ def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFra
 
     side = lambda k, s: blocks.select(F.col("block").alias(k), F.col("nodes").alias(f"{s}_nodes"), F.col("sets").alias(f"{s}_sets"))
     both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a_nodes", "b_nodes", "a_sets", "b_sets")
-    return both.mapInArrow(task, "u long, v long")
+    return both.mapInArrow(tidy(task), "u long, v long")
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
-from .common import batch, columns, mix, slices, small_batches, spans, words, written
+from .common import batch, columns, mix, slices, small_batches, spans, tidy, words, written
 
 #: Tokens a chunk holds at least, bytes of text for each bucket of keys, steps of the histogram to a factor of two.
 CHUNK, BUCKET_BYTES, GRID = 1_500_000, 24 << 20, 8
@@ -107,7 +107,7 @@ def chunks(docs: DataFrame, by: int, scored: int, held: int, chunk: int) -> Data
                 yield close(kind)
 
     kinds = "chunk long, held boolean, doc_ids array<long>, lengths binary, folds binary, keys binary, ranks binary"
-    return written(docs.select("doc_id", "text").mapInArrow(task, kinds), "chunks")
+    return written(docs.select("doc_id", "text").mapInArrow(tidy(task), kinds), "chunks")
 
 
 def opened(b: pa.RecordBatch | pa.Table, r: int) -> Chunk:
@@ -131,7 +131,7 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
                     n = len(rows)
                     yield batch(schema, [kind] * n, [x[0] for x in rows], [b.column("chunk")[r].as_py()] * n, *[[x[k] for x in rows] for k in (1, 2, 3)])
 
-    return table.select("chunk", "lengths", "folds", "keys", "ranks").mapInArrow(task, "kind int, bucket int, chunk long, keys binary, train binary, held binary")
+    return table.select("chunk", "lengths", "folds", "keys", "ranks").mapInArrow(tidy(task), "kind int, bucket int, chunk long, keys binary, train binary, held binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, *, by: int = 7, scored: int = 2, held: int = 3, chunk
     found = answers(requests(table, buckets))
     sums = found.filter("chunk < 0").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, tokens = sums["types"] or 0, sums["tokens"] or 0
-    held_tokens = table.filter("held").select(F.col("lengths")).mapInArrow(_lengths, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    held_tokens = table.filter("held").select(F.col("lengths")).mapInArrow(tidy(_lengths), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     weights = learn_weights(table, found, tokens, types, held_tokens)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

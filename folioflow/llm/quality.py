@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, slices, small_batches
+from .common import columns, crc_mod, slices, small_batches, tidy
 
 WIDTH, BLOCK = 4, 128
 THRESHOLD = 0.3
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, model: ByteCnn) -> DataFrame:
                 got = [sent.value.score(t, tables) for t in columns(part, "text")[0]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, "__score"])
 
-    return docs.mapInArrow(task, docs.select("*", F.lit(0.0).alias("__score")).schema)
+    return docs.mapInArrow(tidy(task), docs.select("*", F.lit(0.0).alias("__score")).schema)
 
 
 def in_training():

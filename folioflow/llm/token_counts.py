@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, slices, small_batches
+from .common import batch, columns, gathered, small_batches, tidy
 from .encoding import Encoder, default_path, encoder
 
 #: Characters of a run, about, and those up to which an edit's text is counted piece by piece.
@@ -156,23 +156,22 @@ def edited_counts(docs: DataFrame, edits: str = "edits", *, tokenizer: str | Non
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
-            for part in slices(b, "text"):
-                out = []
-                ids, whole, changes = columns(part, "doc_id", "text", "edits")
-                cut = [runs(t or "") for t in whole]
-                counts = iter([len(x) // enc.dtype.itemsize for x in enc.many([p for c in cut for p in c])])
-                for d, t, c, todo in zip(ids, whole, cut, changes, strict=True):
-                    tree = TokenTree(t or "", enc, [next(counts) for _ in c])
-                    first = tree.n_tokens
-                    for e in todo or []:
-                        e = e or {}
-                        tree.edit(e.get("start"), e.get("end"), e.get("text"))
-                    out.append((d, len(todo or []), first, tree.n_tokens, tree.n_chars, tree.encoded, *[tree.whole()] * texts))
-                yield batch(schema, *zip(*out, strict=True))
+        for part in gathered(batches, "text", 4_000_000):
+            out = []
+            ids, whole, changes = columns(part, "doc_id", "text", "edits")
+            cut = [runs(t or "") for t in whole]
+            counts = iter([len(x) // enc.dtype.itemsize for x in enc.many([p for c in cut for p in c])])
+            for d, t, c, todo in zip(ids, whole, cut, changes, strict=True):
+                tree = TokenTree(t or "", enc, [next(counts) for _ in c])
+                first = tree.n_tokens
+                for e in todo or []:
+                    e = e or {}
+                    tree.edit(e.get("start"), e.get("end"), e.get("text"))
+                out.append((d, len(todo or []), first, tree.n_tokens, tree.n_chars, tree.encoded, *[tree.whole()] * texts))
+            yield batch(schema, *zip(*out, strict=True))
 
     rows = docs.select("doc_id", "text", F.col(edits).alias("edits"))
-    return rows.mapInArrow(task, "doc_id long, n_edits long, n_tokens_before long, n_tokens long, n_chars long, chars_encoded long" + ", text string" * texts)
+    return rows.mapInArrow(tidy(task), "doc_id long, n_edits long, n_tokens_before long, n_tokens long, n_chars long, chars_encoded long" + ", text string" * texts)
 
 
 def sample_edits(text: str = "text"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, columns, shared_dir, slices, small_batches, spans, written
+from .common import batch, columns, gathered, shared_dir, small_batches, spans, tidy, written
 from .encoding import default_path, encoder
 
 MAGIC = b"EFTOKEN1"
@@ -146,20 +146,18 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
         names: list[int | None] = []
         held: list[bytes] = []
         size = 0
-        for b in batches:
-            for part in slices(b, "text"):
-                doc_ids, texts = columns(part, "doc_id", "text")
-                for d, ids in zip(doc_ids, enc.many(texts), strict=True):
-                    names.append(d)
-                    held.append(ids + end)
-                    size += len(held[-1]) // enc.dtype.itemsize
-                    if size >= shard_ids:
-                        yield batch(schema, [pack(names, held, enc.dtype.itemsize)])
-                        names, held, size = [], [], 0
+        for part in gathered(batches, "text"):
+            for d, ids in zip(columns(part, "doc_id")[0], enc.many(part.column(1)), strict=True):
+                names.append(d)
+                held.append(ids + end)
+                size += len(held[-1]) // enc.dtype.itemsize
+                if size >= shard_ids:
+                    yield batch(schema, [pack(names, held, enc.dtype.itemsize)])
+                    names, held, size = [], [], 0
         if names:
             yield batch(schema, [pack(names, held, enc.dtype.itemsize)])
 
-    ordered.mapInArrow(task, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    ordered.mapInArrow(tidy(task), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read_store(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
@@ -179,7 +177,7 @@ def read_store(spark: SparkSession, path: str, *, ids: bool = False) -> DataFram
                     yield batch(schema, *one, doc_ids, bounds[:-1], np.diff(bounds), crc, *more)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = written(files.mapInArrow(task, "file string, shard int, first long, shard_tokens long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids), "read")
+    rows = written(files.mapInArrow(tidy(task), "file string, shard int, first long, shard_tokens long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids), "read")
     table = rows.filter(F.col("within") == 0).groupBy("file", "shard").agg(F.max("shard_tokens").alias("shard_tokens"))
     before = Window.orderBy("file", "shard").rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("base", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0))).drop("shard_tokens")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, crc_mod, slices, small_batches, spans
+from .common import batch, columns, crc_mod, slices, small_batches, spans, tidy
 from .quality import labelled_sample, sigmoid
 
 THRESHOLD = 0.7
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
                 ids, texts = columns(part, "doc_id", "text")
                 yield batch(schema, ids, [sent.value.score(t) for t in texts])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), "doc_id long, score double")
 
 
 def locate(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,7 +160,7 @@ def locate(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> Dat
                 if out:
                     yield batch(schema, *zip(*out, strict=True))
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, start long, end long, sentence string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), "doc_id long, start long, end long, sentence string, score double")
 
 
 def in_training():

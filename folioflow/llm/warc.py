@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, columns, shared_dir, slices, small_batches, written
+from .common import batch, columns, shared_dir, slices, small_batches, tidy, written
 
 #: Fixed values of the Zstandard and WARC-Zstandard formats.
 FRAME = 0xFD2FB528
@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, *, revisit_from: int = 0, dictio
         if out:
             yield batch(schema, out)
 
-    frames = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(task, "frame binary")
+    frames = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(task), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
@@ -201,7 +201,7 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = False) -> D
                     yield batch(schema, *zip(*out, strict=True))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(task, RECORDS + ", payload binary" * payload)
+    return files.mapInArrow(tidy(task), RECORDS + ", payload binary" * payload)
 
 
 def op2_warc_dictionary(spark, sf_dir: str) -> DataFrame:
