@@ -470,7 +470,7 @@ def chapter_timeline(spark, d):
 _ESC = r"regexp_replace({0}, '([\\=;#\n])', '\\\1', 'g')"
 
 
-@query(f"""WITH {_TIME} SELECT project_id, ';FFMETADATA1' || chr(10) || 'title=Book ' || project_id || chr(10) || 'artist=A\;B' || chr(10) || 'album=Book ' || project_id || chr(10) ||
+@query(f"""WITH {_TIME} SELECT project_id, ';FFMETADATA1' || chr(10) || 'title=Book ' || project_id || chr(10) || 'artist=A\\;B' || chr(10) || 'album=Book ' || project_id || chr(10) ||
 string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || CAST(round_even(round(start_s, 4) * 1000, 0) AS BIGINT) || chr(10) || 'END=' || CAST(round_even(round(start_s + length, 4) * 1000, 0) AS BIGINT) || chr(10) || 'title=' || {_ESC.format('title')}, chr(10) ORDER BY chapter_pos) || chr(10) AS metadata FROM marks GROUP BY project_id""")
 def ffmetadata(spark, d):
     books = projects(spark).withColumns({"title": F.concat(F.lit("Book "), "project_id"), "author": F.lit("A;B")})

@@ -53,7 +53,7 @@ class Corpus:
 
     def tables(self) -> dict[str, DataFrame]:
         found = workspace.load_tables(self.spark, self.path)
-        return {n: found.get(n, self.empty(n)) for n in TABLES if n != "audio_files"} | {"audio": found.get("audio", self.spark.createDataFrame([], "cache_key string, path string, wav binary"))}
+        return {n: found[n] if n in found else self.empty(n) for n in TABLES}
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])

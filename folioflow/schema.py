@@ -27,8 +27,10 @@ SEGMENTS = "project_id string, chapter_pos int, line_pos int, seg_pos int, segme
 SUGGESTIONS = "project_id string, chapter_pos int, line_pos int, sug_pos int, suggestion_id string, original string, suggested string, reason string, confidence double, status string"
 SPEAKERS = "project_id string, speaker_pos int, speaker_id string, name string, role string, voice_clip_id string, category string"
 VOICE_CLIPS = "project_id string, clip_pos int, voice_clip_id string, source_path string, label string"
+#: What sources.audio.read_audio gives.
 AUDIO_FILES = "cache_key string, path string, sample_rate int, channels int, sample_width int, frames long"
-TABLES = {"projects": PROJECTS, "chapters": CHAPTERS, "lines": LINES, "segments": SEGMENTS, "suggestions": SUGGESTIONS, "speakers": SPEAKERS, "voice_clips": VOICE_CLIPS, "audio_files": AUDIO_FILES}
+AUDIO = "cache_key string, path string, wav binary"
+TABLES = {"projects": PROJECTS, "chapters": CHAPTERS, "lines": LINES, "segments": SEGMENTS, "suggestions": SUGGESTIONS, "speakers": SPEAKERS, "voice_clips": VOICE_CLIPS, "audio": AUDIO}
 
 #: Reading order within a project.
 READING = ("chapter_pos", "line_pos", "seg_pos")

@@ -12,8 +12,8 @@ from ..functions import text as X
 
 
 def line_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """project_id (the file), line_pos is left to the batch: lines of new text files."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", "true").text(folder)
+    """project_id (the file), line_pos, text: the lines of new text files."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return raw.select(F.input_file_name().alias("project_id"), F.posexplode(F.split("value", "\n", -1)).alias("line_pos", "text"))
 
 
