@@ -139,7 +139,6 @@ def _joined(docs: DataFrame, keep: list[str], benchmark: DataFrame, window: int,
 def _scan(docs: DataFrame, windows, first: bool) -> DataFrame:
     """Unites what this block of windows finds with what the former found."""
     schema = docs.schema
-    arrow: list[pa.Schema] = []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,7 +161,6 @@ def _scan(docs: DataFrame, windows, first: bool) -> DataFrame:
                 kept = [b.column(i) for i in range(n - 3)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=b.schema.names)
 
-    del arrow
     return docs.mapInArrow(tidy(task), schema)
 
 
