@@ -45,7 +45,7 @@ HELD, BUCKET_BYTES = 400_000, 12 << 20
 #: Ids that are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
-BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 150_000, 512, 100_000
+BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 600_000, 1024, 600_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -373,7 +373,7 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = members.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "4")  # a row holds two blocks
+    spark.conf.set(key, "1")  # a row holds two blocks
     try:
         alone = blocks.join(boxes.filter("owner is not null and ring = 0").select("block"), "block", "left_anti")
         found = [written(x, "joined") for x in (within_blocks(alone, percent), between_blocks(pairs, blocks, percent))]
