@@ -6,6 +6,9 @@ the key columns, rank (order within a line), original, suggested, reason, confid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +117,25 @@ def spelling_candidates(lines: DataFrame, dictionary: DataFrame, protected: Data
     return fixed.select(*key, F.lit(3).alias("kind"), "pos", F.col("token").alias("original"), F.col("suggestion").alias("suggested"), F.lit("spellcheck").alias("reason"), F.lit(SPELLING).alias("confidence"), F.lit(False).alias("auto"))
 
 
-def candidates(lines: DataFrame, dictionary: DataFrame, protected: DataFrame | None = None, key=KEY) -> DataFrame:
-    """All candidates of all correctors, with rank. dictionary: word, freq."""
-    words = dictionary.select("word")
-    every = whitespace_candidates(lines, key).unionByName(dehyphenation_candidates(lines, words, protected, key)).unionByName(confusion_candidates(lines, words, protected, key)).unionByName(spelling_candidates(lines, dictionary, protected, key))
+#: What a corrector is: lines, dictionary (word, freq) and protected words in, candidates with kind and pos out.
+Corrector = Callable[..., DataFrame]
+
+
+def default_correctors() -> tuple[Corrector, ...]:
+    """White space, broken words, look-alikes, spelling: in the order their candidates stand in a line."""
+    words = lambda d: d.select("word")
+    return (
+        lambda lines, d, p, key: whitespace_candidates(lines, key),
+        lambda lines, d, p, key: dehyphenation_candidates(lines, words(d), p, key),
+        lambda lines, d, p, key: confusion_candidates(lines, words(d), p, key),
+        lambda lines, d, p, key: spelling_candidates(lines, d, p, key),
+    )
+
+
+def candidates(lines: DataFrame, dictionary: DataFrame, protected: DataFrame | None = None, key=KEY, correctors: tuple[Corrector, ...] | None = None) -> DataFrame:
+    """All candidates of all correctors, with rank. dictionary: word, freq. Every corrector sees the lines as they came."""
+    found = [c(lines, dictionary, protected, key) for c in correctors or default_correctors()]
+    every = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy(*key).orderBy("kind", "pos", "original")
     return every.withColumn("rank", F.row_number().over(order) - 1).drop("kind", "pos")
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import PreconditionError, SpeechProviderError
 from ..functions import text as X
 from .resolve import effective, unique_first
 from .voice import clip_paths
@@ -100,6 +101,20 @@ def synthesize(segments: DataFrame, speakers: DataFrame, clips: DataFrame, clip_
     return stamped(segments, work, results), results
 
 
+def render_segment(segments: DataFrame, segment_id: str, speakers: DataFrame, clips: DataFrame, clip_files: DataFrame, params: DataFrame, speech: Callable[[], Speech], loudness=None) -> tuple[DataFrame, bytes]:
+    """One segment rendered now, current or not: the segments with its stamp, and the sound. A missing voice or a provider's error is
+    raised, and then nothing is stamped."""
+    one = with_keys(segments.filter((F.col("segment_id") == segment_id) & X.is_renderable("text")), speakers, params)
+    work = distinct_work(one, clip_paths(speakers, clips, clip_files))
+    row = rendered(work, speech, loudness).first()
+    if row is None:
+        raise PreconditionError(f"segment {segment_id!r} has nothing to say or no voice")
+    if row["error"]:
+        raise SpeechProviderError(row["error"])
+    result = segments.sparkSession.createDataFrame([(row["key"], None)], "key string, error string")
+    return stamped(segments, one, result), bytes(row["wav"])
+
+
 def outcome(segments: DataFrame) -> DataFrame:
     """project_id, total, done, failed, status: completed unless everything that was tried failed."""
     s = X.is_rendered("audio_status")

@@ -596,3 +596,51 @@ def loudness_gain(spark, d):
 @query("SELECT vec_id, list_transform(embedding, lambda s: CAST(greatest(least(trunc(CAST(s AS DOUBLE) * 32767), 32767), -32768) AS INTEGER)) AS pcm FROM embeddings")
 def pcm_samples(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda s: X.pcm16(s.cast("double"))).alias("pcm"))
+
+
+# --- more of the tables ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LINES_SQL} SELECT project_id || '/' || chapter_pos AS project_id FROM lines GROUP BY 1 HAVING count(*) FILTER (length(text) > 40) = 0""")
+def silent_books(spark, d):
+    """Each document as a book whose lines count from 41 characters on: the books without a line."""
+    long_ = lines(spark, d).select(F.concat("project_id", F.lit("/"), F.col("chapter_pos").cast("string")).alias("project_id"), F.when(F.length("text") > 40, F.array("text")).alias("lines"))
+    return epub.silent_books(long_)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS project_id, coalesce(nullif(max(CASE WHEN turn = 0 THEN trim(substr(text, 1, conv_id % 4)) END), ''), 'Title ' || conv_id) AS title, 'Nobody' AS author FROM conversations GROUP BY conv_id""")
+def merged_metadata(spark, d):
+    talk = table(spark, d, "conversations")
+    old = talk.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("project_id"), F.concat(F.lit("Title "), F.col("conv_id").cast("string")).alias("title"), F.lit("Nobody").alias("author"))
+    new = talk.filter("turn = 0").select(F.col("conv_id").cast("string").alias("project_id"), F.trim(F.expr("substring(text, 1, cast(conv_id % 4 as int))")).alias("title"), F.lit("").alias("author"))
+    return epub.merged_metadata(old, new)
+
+
+_RUNS = """runs AS (SELECT CAST(event_id AS VARCHAR) AS project_id, ['parse', 'correct', 'attribute', 'review', 'synthesize', 'assemble'][1 + event_id % 6] AS stage, ['completed', 'needs_review', 'stopped', 'failed', 'completed'][1 + event_id % 5] AS status, event_type AS message FROM events)"""
+
+
+@query(f"""WITH {_RUNS} SELECT project_id, CASE WHEN status = 'completed' AND stage <> 'assemble' THEN 'stopped' ELSE status END AS kind,
+CASE status WHEN 'completed' THEN CASE WHEN stage <> 'assemble' THEN 'stopped after ' || stage ELSE 'complete' END WHEN 'needs_review' THEN '2 attributions' WHEN 'stopped' THEN 'stopped' ELSE 'failed: ' || message END AS summary FROM runs""")
+def run_outcomes(spark, d):
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % by + 1).cast("int"))
+    runs = table(spark, d, "events").select(F.col("event_id").cast("string").alias("project_id"), pick(gate.STAGES, 6).alias("stage"), pick(("completed", "needs_review", "stopped", "failed", "completed"), 5).alias("status"), F.col("event_type").alias("message"))
+    return gate.outcome(runs, runs.select("project_id", F.lit("2 attributions").alias("summary")), until="parse")
+
+
+@query("SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('man', 'woman', 'boy', 'girl', 'unknown') THEN lower(trim(event_type)) ELSE 'unknown' END AS category, CASE WHEN value >= 0.75 THEN 'approved' ELSE 'needs_review' END AS status FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' Man ' WHEN 1 THEN 'GIRL' ELSE event_type END AS event_type, value FROM events)")
+def coerced_categories(spark, d):
+    i = F.col("event_id")
+    word = F.when(i % 4 == 0, " Man ").when(i % 4 == 1, "GIRL").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", X.coerce_category(word).alias("category"), X.review_status("value").alias("status"))
+
+
+@query(f"""WITH {SEG_SQL}, o AS (SELECT *, split_part(text, ' ', 1) AS original FROM segments)
+SELECT segment_id AS suggestion_id, 'Talk ' || chapter_pos AS chapter_title, line_pos AS line_order, text AS line_text, original, true AS is_pending FROM o""")
+def suggestion_rows(spark, d):
+    return views.suggestion_rows(offered(spark, d), *placed(spark, d)).select("suggestion_id", "chapter_title", "line_order", "line_text", "original", "is_pending")
+
+
+@query("SELECT DISTINCT printf('silence_%04dms_%dhz_%dch_%db.wav', CAST(l_linenumber AS INTEGER) * 100, 8000 + l_linenumber, 1, 2) AS file_name FROM lineitem")
+def silence_files(spark, d):
+    n = F.col("l_linenumber").cast("int")
+    return table(spark, d, "lineitem").select(n.alias("l_linenumber")).distinct().select(timeline.silence_name(n / 10, n + 8000, F.lit(1), F.lit(2)).alias("file_name"))

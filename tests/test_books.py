@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.config import Config
-from folioflow.errors import AssemblyError, EbookParseError, LanguageProviderError, MigrationError, SerializationError, WorkspaceError
+from folioflow.errors import AssemblyError, ConfigError, EbookParseError, LanguageProviderError, MigrationError, PreconditionError, SerializationError, SpeechProviderError, WorkspaceError
 from folioflow.operators import actions, attribute, gate, render, resolve, timeline, views, voice
-from folioflow.plans import cli
+from folioflow.plans import cli, providers
 from folioflow.plans.session import Corpus, Providers
 from folioflow.schema import SEGMENTS, SPEAKERS, SUGGESTIONS, VERSION, VOICE_CLIPS, check_version
 from folioflow.sources import audio, epub, m4b, workspace
@@ -270,6 +270,11 @@ def test_rendering_is_incremental(spark):
     assert {r["segment_id"] for r in render.unrendered(out, keys).collect()} == {"s2", "s4"}
     changed = spark.createDataFrame([("p", '{"seed":1}')], "project_id string, params string")
     assert render.worklist(out, who, changed, keys).count() == 4
+    one, wav = render.render_segment(s, "s1", who, has, there, params, speech)
+    assert len(wav) > 200 and {r["segment_id"] for r in one.filter("audio_status = 'completed'").collect()} == {"s1"}
+    for bad, error in (("s4", SpeechProviderError), ("s2", PreconditionError), ("s3", PreconditionError)):
+        with pytest.raises(error):
+            render.render_segment(s, bad, who, has, there, params, speech)
     again = actions.reroll_audio(out, ["s0"], 5)
     assert {r["segment_id"] for r in render.worklist(again, who, params, keys).collect()} == {"s0", "s2", "s4"}
 
@@ -396,6 +401,13 @@ def test_a_book_from_epub_to_audiobook(spark, tmp_path, capsys):
     assert call("speakers") == cli.OK and "Alice (woman): woman (default)" in capsys.readouterr().out
 
 
+def test_providers_by_name():
+    providers.register_language("Scripted", lambda c: Scripted())
+    assert isinstance(providers.language(Config(), "scripted", needed=True)(), Scripted)
+    with pytest.raises(ConfigError, match="no speech provider"):
+        providers.speech(Config())
+
+
 def test_stages_and_outcomes(spark):
     done = spark.createDataFrame([("p", {"parse": "completed", "correct": "completed"}), ("q", {s: "completed" for s in gate.STAGES})], "project_id string, stage_status map<string,string>")
     assert {r["project_id"]: r["next_stage"] for r in gate.next_stage(done).collect()} == {"p": "attribute", "q": None}
