@@ -82,9 +82,12 @@ def confusion_candidates(lines: DataFrame, dictionary: DataFrame, protected: Dat
     """The first swap of a look-alike that makes an unknown word a known one."""
     each = first_tokens(lines, X.ocr_tokens, key).filter(F.length("token") >= 3)
     each = unprotected(not_in(each, dictionary, ("word",)), protected)
-    tried = each.select(*key, "pos", F.col("token").alias("original"), F.explode(confusion_variants()).alias("v")).select(*key, "pos", "original", "v.*", X.fold("v.fixed").alias("word"))
+    # Each form is tried once, however many lines hold it.
+    by = [] if protected is None else [x for x in protected.columns if x != "word"]
+    tried = each.select(*by, "token").distinct().select(*by, F.col("token").alias("original"), F.explode(confusion_variants()).alias("v")).select(*by, "original", "v.*", X.fold("v.fixed").alias("word"))
     good = unprotected(tried.join(dictionary, "word", "left_semi"), protected)
-    best = good.groupBy(*key, "pos", "original").agg(F.min_by("fixed", F.struct("rank", "at")).alias("suggested"))
+    fixed = good.groupBy(*by, "original").agg(F.min_by("fixed", F.struct("rank", "at")).alias("suggested"))
+    best = each.withColumnRenamed("token", "original").join(fixed, [*by, "original"])
     return best.select(*key, F.lit(2).alias("kind"), "pos", "original", "suggested", F.lit("ocr-artifact").alias("reason"), F.lit(LOOKALIKE).alias("confidence"), F.lit(False).alias("auto"))
 
 
