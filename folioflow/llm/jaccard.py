@@ -45,7 +45,9 @@ HELD, BUCKET_BYTES = 400_000, 12 << 20
 #: Ids that are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
-BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 600_000, 1024, 600_000
+BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 300_000, 768, 300_000
+#: Sets of a cell in one row.
+PIECE = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,10 +176,11 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
-    """cell, node, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
+    """cell, weight, node, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
     Two linked sets of an annulus differ in so few parts that they agree on a number of cells; a set with fewer shared cells goes, and
     with it the cells it shared with one other. Each turn only drops what can't be linked, so their number doesn't matter."""
-    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("need", pa.int32())])
+    kinds = [("cell", pa.int64()), ("piece", pa.int32()), ("nodes", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32())), ("weight", pa.int64())]
+    schema = pa.schema(kinds)
 
     def of_bucket(table: pa.Table) -> pa.Table:
         sigs, nodes, needs = [], [], []
@@ -194,22 +197,39 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         lengths = np.diff(np.append(first, len(sig)))
         keep = np.repeat(lengths > 1, lengths)
-        out = pa.Table.from_batches([batch(schema, _signed(sig[keep]), node[keep], need[keep])])
-        del sigs, nodes, needs, sig, node, need, order
+        node, need, lengths = node[keep], need[keep], lengths[lengths > 1]
+        del sigs, nodes, needs, sig, order, new, keep
+        if not len(lengths):
+            return pa.Table.from_batches([], schema)
+        # Cells with the same sets are one cell with a weight; long ones go in pieces, which are the same for the same sets.
+        starts = np.cumsum(lengths) - lengths
+        print_ = mix(np.add.reduceat(mix(node.view(np.uint64) + need.astype(np.uint64) * _STEP), starts) + lengths.astype(np.uint64))
+        _, at, weight = np.unique(print_, return_index=True, return_counts=True)
+        pieces = -(-lengths[at] // PIECE)
+        which = np.repeat(np.arange(len(at)), pieces)
+        piece = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        low = starts[at][which] + piece * PIECE
+        high = np.minimum(low + PIECE, (starts + lengths)[at][which])
+        offsets = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
+        take = np.repeat(low - offsets[:-1], high - low) + np.arange(offsets[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[take], t)) for v, t in ((node, pa.int64()), (need, pa.int32()))]
+        out = pa.Table.from_batches([batch(schema, _signed(print_[at][which]), piece, *lists, weight[which])])
         release()
         return out
 
     blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "sigs", "owners", "nodes", "needs")
-    members = written(blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, node long, need int"), "cells")
+    found = blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, piece int, nodes array<long>, needs array<int>, weight long")
+    found = found.groupBy("cell", "piece").agg(F.any_value("nodes").alias("nodes"), F.any_value("needs").alias("needs"), F.sum("weight").alias("weight"))
+    members = written(found.select("cell", "weight", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("needs").alias("need")))), "cells")
     for _ in range(turns):
         # A set has one need in its annulus and one in the window below; the smaller one and all its cells together are safe.
-        fit = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
-        kept = members.select("cell", "node", "need").join(fit, "node", "left_semi")
+        fit = members.groupBy("node").agg(F.sum("weight").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
+        kept = members.select("cell", "weight", "node", "need").join(fit, "node", "left_semi")
         live = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n")
-        smaller = written(kept.join(live, "cell").select("cell", "node", "need", "pivot"), "cells")
+        smaller = written(kept.join(live, "cell").select("cell", "weight", "node", "need", "pivot"), "cells")
         discard(members)
         members = smaller
-    return members.select("cell", "node", "pivot")
+    return members.select("cell", "weight", "node", "pivot")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -324,10 +344,10 @@ def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFra
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links enough to connect all sets that are connected. members: cell, node, pivot."""
+    """u, v: links enough to connect all sets that are connected. members: cell, weight, node, pivot."""
     radius = (100 - percent) / 100
     sizes = sets.select("node", "size")
-    shared = members.filter("node <> pivot").groupBy(F.col("pivot").alias("p"), F.col("node").alias("x")).count()
+    shared = members.filter("node <> pivot").groupBy(F.col("pivot").alias("p"), F.col("node").alias("x")).agg(F.sum("weight").alias("count"))
     nearest = shared.groupBy("x").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
     one, two = sizes.select(F.col("node").alias("p"), F.col("size").alias("ps")), sizes.select(F.col("node").alias("x"), F.col("size").alias("xs"))
     nearest = written(nearest.join(one, "p").join(two, "x").withColumn("fit", F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent), "nearest")

@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
         names: list[int | None] = []
         held: list[bytes] = []
         size = 0
-        for part in gathered(batches, "text"):
+        for part in gathered(batches, "text", 5_000_000):
             for d, ids in zip(columns(part, "doc_id")[0], enc.many(part.column(1)), strict=True):
                 names.append(d)
                 held.append(ids + end)
