@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, its probability the noisy-or of theirs.
 
 A sentence's logit is a bias and the weights of its distinct words and word beginnings; p(document) = 1 - prod(1 - p(sentence)). Only documents are
-labelled: the gradient of the noisy-or decides which sentences answer for a label. Weights are kept sparse by an L1 step, so that of
+labelled: the gradient of the noisy-or decides which sentences answer for a label. Weights are kept sparse by an L1 step, and the smallest dropped at the end, so that of
 the features that stand in toxic documents only those remain that tell them apart. locate() gives the sentences that made a document toxic.
 
 Training takes a bounded sample: at most `sample_rows` labelled rows of the training fold, lowest hash of doc_id first, none longer
@@ -71,7 +71,7 @@ class NoisyOr:
             return float(-np.expm1(n * np.log1p(-sigmoid(self.bias))))
         return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text))))
 
-    def fit(self, texts: list[str | None], labels: list[int], *, steps: int = 500, rate: float = 0.06, l1: float = 3e-5, most_words: int = MOST_WORDS) -> NoisyOr:
+    def fit(self, texts: list[str | None], labels: list[int], *, steps: int = 500, rate: float = 0.06, l1: float = 3e-5, least: float = 1.0, most_words: int = MOST_WORDS) -> NoisyOr:
         y = np.asarray(labels, dtype=float)
         if not len(y) or y.min() == y.max():
             self.prior = float(y.mean()) if len(y) else 0.0
@@ -116,7 +116,7 @@ class NoisyOr:
             w += move[:-1]
             w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (np.sqrt(v[:-1] / (1 - 0.999**t)) + 1e-5), 0)
         self.bias = float(b)
-        self.weights = {x: float(w[i]) for x, i in known.items() if w[i]}
+        self.weights = {x: float(w[i]) for x, i in known.items() if abs(w[i]) >= least}
         self.starts = {x.removesuffix("+")[:3] for x in self.weights}
         return self
 
