@@ -46,6 +46,8 @@ HELD, BUCKET_BYTES = 400_000, 12 << 20
 BROADCAST_ROWS = 500_000
 #: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
 BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 300_000, 768, 300_000
+#: Sets of a cell up to which its pairs are counted one by one.
+SMALL_CELL = 6
 #: Sets of a cell in one row.
 PIECE = 1000
 
@@ -176,7 +178,7 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
-    """cell, weight, node, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
+    """cell, weight, node, need, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
     Two linked sets of an annulus differ in so few parts that they agree on a number of cells; a set with fewer shared cells goes, and
     with it the cells it shared with one other. Each turn only drops what can't be linked, so their number doesn't matter."""
     kinds = [("cell", pa.int64()), ("piece", pa.int32()), ("nodes", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32())), ("weight", pa.int64())]
@@ -229,7 +231,7 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
         smaller = written(kept.join(live, "cell").select("cell", "weight", "node", "need", "pivot"), "cells")
         discard(members)
         members = smaller
-    return members.select("cell", "weight", "node", "pivot")
+    return members.select("cell", "weight", "node", "need", "pivot")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -344,7 +346,7 @@ def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFra
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links enough to connect all sets that are connected. members: cell, weight, node, pivot."""
+    """u, v: links enough to connect all sets that are connected. members: cell, weight, node, need, pivot."""
     radius = (100 - percent) / 100
     sizes = sets.select("node", "size")
     shared = members.filter("node <> pivot").groupBy(F.col("pivot").alias("p"), F.col("node").alias("x")).agg(F.sum("weight").alias("count"))
@@ -360,8 +362,19 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = with_roots(components(stars))
 
     table = members.select("cell", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_cells = table.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).filter("lo <> hi")
-    cross = written(members.select("cell", "node").join(open_cells.select("cell", "least"), "cell").select("node", "least").distinct(), "open")
+    cells = table.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    opened = written(members.select("cell", "weight", "node").join(cells.filter("lo <> hi").select("cell", "least", "n"), "cell"), "opened")
+    # Two sets of different components are linked only if they share enough open cells: for small cells that is counted pair by pair,
+    # and what they could share of large ones is added. Large cells connect all their sets.
+    large = opened.filter(F.col("n") > SMALL_CELL)
+    small = opened.filter(F.col("n") <= SMALL_CELL).groupBy("cell").agg(F.array_sort(F.collect_list("node")).alias("s"), F.min("weight").alias("weight"))
+    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    together = small.select("weight", F.inline(both)).groupBy("x", "y").agg(F.sum("weight").alias("shared"))
+    most = large.groupBy("node").agg(F.sum("weight").alias("most"))
+    least = members.groupBy("node").agg(F.min("need").alias("need")).join(most, "node", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    side = lambda c: least.select(F.col("node").alias(c), F.col("need").alias(f"{c}_need"), F.col("most").alias(f"{c}_most"))
+    likely = together.join(side("x"), "x").join(side("y"), "y").filter(F.col("shared") + F.least("x_most", "y_most") >= F.greatest("x_need", "y_need"))
+    cross = written(likely.select(F.col("y").alias("node"), F.col("x").alias("least")).unionByName(large.select("node", "least")).distinct(), "open")
     if cross.isEmpty():
         return stars
     areas = with_roots(components(cross)).withColumnRenamed("component", "area")
