@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps, at most some 60 MB, and the longest of them in characters.
-KEPT, LONGEST = 200_000, 64
+#: Pieces that a worker keeps, at most some 30 MB, and the longest of them in characters.
+KEPT, LONGEST = 120_000, 64
 #: Words that are encoded as one text.
 RUN = 2000
 

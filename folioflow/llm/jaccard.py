@@ -271,9 +271,12 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append(len(one) + len(two) - same)
             yield batch(schema, p, x, common, total)
 
-    left = sets.select(F.col("node").alias("p"), F.col("members").alias("a"))
+    # Ids go to the sets where their number allows it, so that a set moves once at most.
+    pairs = pairs.select("p", "x")
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    left = sets.join(few(pairs.select(F.col("p").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("p"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("x"), F.col("members").alias("b"))
-    both = pairs.select("p", "x").join(right, "x").join(left, "p")
+    both = right.join(few(pairs), "x").join(left, "p").select("p", "x", "a", "b")
     return both.mapInArrow(tidy(task), "p long, x long, common long, total long")
 
 
@@ -396,7 +399,8 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("block", F.xxhash64(*keys, "salt")).select("node", "block", *keys, "size")
     dealt = written(dealt, "dealt")
     boxes = written(dealt.groupBy("block", *keys).agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "boxes")
-    blocks = written(dealt.select("node", "block").join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "members")).alias("s")).select("block", F.col("s.node").alias("nodes"), F.col("s.members").alias("sets")), "blocks")
+    few = F.broadcast if dealt.count() <= BROADCAST_ROWS else lambda df: df
+    blocks = written(sets.join(few(dealt.select("node", "block")), "node").groupBy("block").agg(F.collect_list(F.struct("node", "members")).alias("s")).select("block", F.col("s.node").alias("nodes"), F.col("s.members").alias("sets")), "blocks")
     a, b = boxes.alias("a"), boxes.alias("b")
     ring = F.abs(F.col("a.ring") - F.col("b.ring"))
     idle = (F.col("a.owner") == F.col("b.owner")) & ((F.col("a.ring") + F.col("b.ring") == 0) | (ring >= 2))
