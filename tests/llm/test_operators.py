@@ -382,6 +382,19 @@ def test_toxic_sentences_are_located(spark):
     assert text[found[0]["start"] : found[0]["end"]] == found[0]["sentence"]
 
 
+def test_toxicity_counts_many_small_weights():
+    rng = random.Random(3)
+    hints = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmn"][:40]
+
+    def data(n):
+        y = [i % 2 for i in range(n)]
+        return [" ".join(w for w in hints if rng.random() < (0.5 if v else 0.25)) + " house river." for v in y], y
+
+    model = toxicity.NoisyOr().fit(*data(600))
+    held, y = data(400)
+    assert sum((model.score(t) >= 0.5) == v for t, v in zip(held, y, strict=True)) > 0.85 * len(held)
+
+
 def test_edit_counts_equal_full_counts(spark):
     edits = [[], None, [(0, 0, "New ")], [(3, 9, ""), (0, 1_000_000, ""), (0, 0, "again")], [(5, 2, " x "), (-4, 3, None), (None, 2, "y")], [(40, 80, " ".join(VOCABULARY) * 3)]]
     data = [(i, t, edits[i % len(edits)]) for i, t in enumerate(texts())]
