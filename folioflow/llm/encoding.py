@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and around a
 line break between two such characters, and no token crosses a cut; so a text may be cut there and the ids of its pieces joined. Texts
-with three characters of white space together, or with two at the end, are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
+with three characters of white space together, or with two at the end, and texts that hold one of the tokenizer's added tokens, as
+<|endoftext|>, are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
 them; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the whole
 tokenizer. A worker keeps the ids of the first pieces it meets, up to a bound in number: frequent pieces come early. The other pieces
 of a batch are encoded once for that batch.
@@ -39,7 +40,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Found in a text before it is cut into words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u4" if len(vocabulary) > 1 << 16 else "<u2")
         #: Bytes of each token: a byte-level vocabulary has one character for each byte.
@@ -113,7 +115,10 @@ class Encoder:
     def many(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
         column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()), "")
-        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_ARROW).to_numpy(zero_copy_only=False)).tolist()
+        strange = pc.match_substring_regex(column, _ODD_ARROW)
+        for token in self.added:
+            strange = pc.or_(strange, pc.match_substring(column, token))
+        odd = np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()
         whole = column.take(pa.array(odd, pa.int64())).to_pylist()
         if odd:
             mask = np.zeros(len(column), dtype=bool)
@@ -142,7 +147,7 @@ class Encoder:
 
     def count(self, text: str) -> int:
         """The number of ids of a short text, from the pieces kept where they are."""
-        if _ODD.search(text):
+        if _ODD.search(text) or any(t in text for t in self.added):
             return len(self.ids(self.tokenizer, [text])[0])
         if "\n" in text:
             text = text.replace("\n", f" {_BREAK}")

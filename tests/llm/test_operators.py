@@ -117,6 +117,26 @@ def test_encoder_equals_the_library():
     assert [e.count(t or "") for t in every] == [len(w.ids) for w in want]
 
 
+def test_added_tokens_are_found_as_the_library_finds_them(spark):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    fresh = Tokenizer.from_file(encoding.default_path())
+    n = lambda t: fresh.encode(t, add_special_tokens=False).ids
+    assert n(f"a {end} b") == [64, 220, 50256, 275]
+    every = [f"a {end} b", end, f" {end}", f"{end}{end} x", f"a{end}b", f"a\n{end}\nb", f"a  {end} ", f"{prose(90)} {end}{prose(90)}", "<|endoftext|", f"{end[:5]} {end[5:]}", prose(50)]
+    e = encoding.encoder(encoding.default_path())
+    for _ in range(2):
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.many(every)] == [n(t) for t in every]
+    assert [e.count(t) for t in every] == [len(n(t)) for t in every]
+    long = f"{prose(60)} {end} {prose(60)}"
+    at = long.index(end)
+    data = [(0, long, [(at + 3, at + 5, "")]), (1, long.replace(end, "<|end|>"), [(at + 5, at + 5, "oftext")]), (2, long, [(0, at, "")]), (3, None, [(0, 0, end)])]
+    df = spark.createDataFrame(data, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
+    for r in token_counts.edited_counts(df, texts=True).collect():
+        assert (r["n_tokens_before"], r["n_tokens"]) == (len(n(data[r["doc_id"]][1] or "")), len(n(r["text"])))
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 7, 1000], list(range(0, 5000, 7)), [0] * 300 + [1 << 40]])
 def test_elias_fano(values):
     ef, end = token_store.EliasFano.from_bytes(token_store.EliasFano.encode(np.array(values, np.uint64)).to_bytes(), 0)
