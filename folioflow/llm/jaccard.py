@@ -18,8 +18,8 @@ not its pairs, so a group of thousands of near copies makes rows in proportion t
 candidate, partner or cell is dropped at any size.
 
 Words: A-Z lower-cased, runs of [^\x20\x09-\x0D]. With fewer words than a shingle has, the whole sequence is one shingle. Sets are of
-64-bit hashes. Texts without words, null texts among them, have the empty set and link with nothing. A null id counts in no
-component's least id; rows that repeat an id share what their texts link to. An empty table gives an empty result.
+64-bit hashes. Texts without words, null texts among them, have the empty set and link with nothing. A row with a
+null id links as any other, but counts in no component's least id; rows that repeat an id share what their texts link to. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ SMALL_CELL = 6
 PIECE = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Finds the text of a row without an id again.
+TEXT_KEY = "case when doc_id is null then xxhash64(text) end as key"
 
 
 class Hashes(dict):
@@ -130,10 +132,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """A row per document (bucket null) with its set's size and fingerprint, and blobs of (signature, fingerprint) by bucket.
+    """A row per document (bucket null) with its id, or the key of its text, and its set's size and fingerprint, and blobs of (signature, fingerprint) by bucket.
     A task sends the signatures of one fingerprint once."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("needs", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("needs", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells, seen = Hashes(), Cells(percent), set()
@@ -147,11 +149,11 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             at = bucket_bounds(sig, buckets)
             rows = [(b, pack_sorted(sig[i:j]), pack(owner[i:j])) for b, (i, j) in enumerate(itertools.pairwise(at.tolist())) if j > i]
             n = len(rows)
-            return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [pack(np.array(nodes, np.int64))] * n, [pack(np.array(needs, np.int32))] * n, [None] * n, [None] * n, [None] * n)
+            return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [pack(np.array(nodes, np.int64))] * n, [pack(np.array(needs, np.int32))] * n, [None] * n, [None] * n, [None] * n, [None] * n)
 
         for b in batches:
             for part in slices(b, "text"):
-                ids, texts = columns(part, "doc_id", "text")
+                ids, keys, texts = columns(part, "doc_id", "key", "text")
                 sizes, prints = [], []
                 for t in texts:
                     s = shingles(words(t), hashes, k)
@@ -169,12 +171,12 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                             yield send()
                             held, nodes, needs, size = [], [], [], 0
                 nothing = [None] * len(ids)
-                yield batch(schema, nothing, nothing, nothing, nothing, nothing, ids, sizes, prints)
+                yield batch(schema, nothing, nothing, nothing, nothing, nothing, ids, keys, sizes, prints)
         if held:
             yield send()
 
-    kind = "bucket int, sigs binary, owners binary, nodes binary, needs binary, doc_id long, n long, node long"
-    return written(docs.select("doc_id", "text").mapInArrow(tidy(task), kind), "survey")
+    kind = "bucket int, sigs binary, owners binary, nodes binary, needs binary, doc_id long, key long, n long, node long"
+    return written(docs.selectExpr("doc_id", TEXT_KEY, "text").mapInArrow(tidy(task), kind), "survey")
 
 
 def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
@@ -235,8 +237,9 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, size, members (sorted hashes): the set of each wanted (doc_id, node), from the text again."""
+    """node, size, members (sorted hashes): the set of each wanted (doc_id, key, node), from the text again; by key where there is no id."""
     n = wanted.count()
+    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
     schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("members", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +252,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 if right:
                     yield batch(schema, *zip(*right, strict=True))
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "doc_id").select("node", "text")
+    texts = docs.select("doc_id", "text").join(few(wanted.filter("doc_id is not null").select("doc_id", "node")), "doc_id").select("node", "text")
+    nameless = wanted.filter("doc_id is null").select("key", "node")
+    if not nameless.isEmpty():
+        found = docs.filter("doc_id is null").selectExpr(TEXT_KEY, "text").join(few(nameless), "key")
+        texts = texts.unionByName(found.groupBy("node").agg(F.any_value("text").alias("text")))
     return written(texts.mapInArrow(tidy(task), "node long, size long, members binary"), "sets")
 
 
@@ -426,11 +433,11 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     seen = survey(docs, words, percent, buckets)
-    info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "n", "node"), "info")
-    classes = written(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
+    info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "key", "n", "node"), "info")
+    classes = written(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")), "classes")
     members = shared_cells(seen)
     discard(seen)
-    wanted = members.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id"), "node")
+    wanted = members.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id"), "key", "node")
     sets = sets_of(docs, written(wanted, "wanted"), words)
     roots = with_roots(components(links(members, sets, percent)))
     discard(sets)

@@ -257,6 +257,17 @@ def test_jaccard_components(spark, monkeypatch, k, percent, cap):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(data))] == [(len(s), c) for s, c in zip(sets, want, strict=True)]
 
 
+def test_texts_without_an_id_link_like_others(spark):
+    w = [f"w{i}" for i in range(114)]
+    a, between, b = (" ".join(w[i : i + 100]) for i in (0, 7, 14))  # a and b are linked only by way of the text between
+    x = prose(60)
+    data = [(1, a), (None, between), (None, between), (2, b), (None, x), (9, x + " more"), (None, x.upper()), (None, "nothing like it"), (None, None), (4, "alone")]
+    got = jaccard.jaccard_components(docs_frame(spark, [(i, t, "a") for i, t in data])).collect()
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got)
+    n = len(shingle_set(x, 4))
+    assert found == sorted([(1, 97, 1), (0, 97, 1), (0, 97, 1), (2, 97, 1), (0, n, 9), (9, n + 1, 9), (0, n, 9), (0, 1, 0), (0, 0, 0), (4, 1, 4)])
+
+
 def test_keep_one_of_each_group(spark):
     docs = docs_frame(spark, rows() + [(6, texts()[6], "a"), (None, "no id at all here", "a")])
     kept = jaccard.keep_one(docs)
