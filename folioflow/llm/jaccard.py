@@ -38,8 +38,8 @@ from .common import batch, columns, discard, mix, release, slices, small_batches
 from .components import components, local_groups, with_roots
 
 WORDS, PERCENT = 4, 85
-#: Ratio between the bounds of size annuli, and the smallest size at which unequal sets can be linked at 50 % or more.
-RATIO, FIRST = 1.6, 2
+#: Ratio between the bounds of size annuli.
+RATIO = 1.6
 #: Signatures a task holds before it sends them on; bytes of text for each bucket of signatures.
 HELD, BUCKET_BYTES = 400_000, 12 << 20
 #: Ids that are broadcast to fetch texts; beyond, the join shuffles.
@@ -88,7 +88,9 @@ class Cells:
 
     def __init__(self, percent: int = PERCENT, ratio: float = RATIO):
         self.percent = percent
-        bounds = [FIRST]
+        #: The smallest size at which unequal sets can be linked: one shingle is linked to two at 50 %.
+        self.first = 2 if percent > 50 else 1
+        bounds = [self.first]
         while bounds[-1] < 1 << 40:
             bounds.append(int(np.ceil(bounds[-1] * ratio)))
         self.bounds = bounds
@@ -103,13 +105,15 @@ class Cells:
     def of(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """For each annulus or window the set is in: its cells, and the least number of them it shares with any set it is linked to."""
         n = len(s)
-        if n < FIRST:
+        if n < self.first:
             return []
         g = int(np.searchsorted(self.bounds, n, side="right")) - 1
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ _STEP))))
         found = [self._group(s, sums, g)]
-        if g and -(-self.percent * n // 100) < self.bounds[g]:
-            found.append(self._group(s, sums, g - 1))
+        least = -(-self.percent * n // 100)
+        while g and least < self.bounds[g]:  # a linked set can be in the annulus below, and with a low percentage further down
+            g -= 1
+            found.append(self._group(s, sums, g))
         return found
 
     def _group(self, s: np.ndarray, sums: np.ndarray, g: int) -> tuple[np.ndarray, int]:
@@ -160,7 +164,7 @@ def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                     f = fingerprint(s)
                     sizes.append(len(s))
                     prints.append(f)
-                    if len(s) >= FIRST and f not in seen:
+                    if len(s) >= cells.first and f not in seen:
                         seen.add(f)
                         for sigs, need in cells.of(s):
                             held.append(sigs)
@@ -226,7 +230,7 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
     found = found.groupBy("cell", "piece").agg(F.any_value("nodes").alias("nodes"), F.any_value("needs").alias("needs"), F.sum("weight").alias("weight"))
     members = written(found.select("cell", "weight", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("needs").alias("need")))), "cells")
     for _ in range(turns):
-        # A set has one need in its annulus and one in the window below; the smaller one and all its cells together are safe.
+        # A set has one need in its annulus and one in each window below; the smaller one and all its cells together are safe.
         fit = members.groupBy("node").agg(F.sum("weight").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
         kept = members.select("cell", "weight", "node", "need").join(fit, "node", "left_semi")
         live = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n")

@@ -257,6 +257,18 @@ def test_jaccard_components(spark, monkeypatch, k, percent, cap):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(data))] == [(len(s), c) for s, c in zip(sets, want, strict=True)]
 
 
+@pytest.mark.parametrize("percent", [34, 50, 60])
+def test_jaccard_of_very_different_sizes(spark, percent):
+    data = []
+    for n in (1, 2, 3, 4, 6, 8, 11, 12, 19, 31, 50):  # parts of a text that are just large enough, and just too small
+        least = -(-percent * n // 100)
+        data += [" ".join(f"x{n}y{i}" for i in range(m)) for m in {n, least, least - 1} if m > 0]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs_frame(spark, [(i, t, "a") for i, t in enumerate(data)]), words=1, percent=percent).collect()}
+    sets = [shingle_set(t, 1) for t in data]
+    want = closure(len(data), [(i, j) for i, j in itertools.combinations(range(len(data)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])])
+    assert [got[i] for i in range(len(data))] == want
+
+
 def test_texts_without_an_id_link_like_others(spark):
     w = [f"w{i}" for i in range(114)]
     a, between, b = (" ".join(w[i : i + 100]) for i in (0, 7, 14))  # a and b are linked only by way of the text between
