@@ -431,8 +431,8 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, node and chosen of every row: its set and the one set of its component that stays."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -446,24 +446,52 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     roots = with_roots(components(links(members, sets, percent)))
     discard(sets)
     named = roots.join(classes, "node")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    found = named.join(least, "component").select("node", "least")
-    by_class = classes.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("least"))
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
+    least = named.groupBy("component").agg(F.min("first").alias("least"), F.min(order)["node"].alias("chosen"))
+    found = named.join(least, "component").select("node", "least", "chosen")
+    by_class = classes.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("least"), F.coalesce("chosen", "node").alias("chosen"))
     out = info.join(by_class, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "chosen")
+
+
+def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return placed(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def with_nodes(docs: DataFrame, k: int) -> DataFrame:
+    """All columns of docs and `__node`, the fingerprint of the set."""
+    small_batches(docs.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            for part in slices(b, "text"):
+                got = [fingerprint(shingles(words(t), hashes, k)) for t in columns(part, "text")[0]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.int64())], names=[*part.schema.names, "__node"])
+
+    return docs.mapInArrow(tidy(task), docs.select("*", F.lit(0).cast("long").alias("__node")).schema)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, without those whose group has one of a smaller id. Of rows that repeat an id and have words, one
-    stays; rows with a null id stay."""
-    groups = written(jaccard_components(docs, **options), "groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, one of each group: of its set with the smallest id, or of one set if none has an id, a row with that
+    id. Texts without words stay. Rows that repeat an id, or have none, are told apart by their sets."""
+    rows = written(placed(docs, words, percent), "groups")
+    stays = (F.col("node") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.filter((F.col("n_shingles") > 0) & ~stays).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    twice = groups.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = written(twice, "twice")
+    counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    twice = written(counted.filter("(rows > 1 or doc_id is null) and n > 0").select("doc_id"), "twice")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        return kept.select(*docs.columns)
+    kept = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
+    again = with_nodes(docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi"), words)
+    empty = F.col("__node") == fingerprint(np.zeros(0, np.uint64))
+    right = rows.filter((F.col("n_shingles") > 0) & stays).select(F.col("doc_id").alias("__id"), F.col("node").alias("__set")).distinct()
+    chosen = again.filter(~empty).join(right, again["doc_id"].eqNullSafe(F.col("__id")) & (again["__node"] == F.col("__set")), "left_semi")
+    parts = [kept, again.filter(empty), chosen.dropDuplicates(["doc_id", "__node"])]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

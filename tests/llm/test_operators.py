@@ -288,6 +288,17 @@ def test_keep_one_of_each_group(spark):
     assert jaccard.keep_one(docs_frame(spark, [])).count() == 0
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    w = prose(80)
+    near = [f"{w} {x}" for x in ("aa", "bb", "cc")]
+    data = [(1, near[0]), (2, near[1]), (2, "a text of its own"), (3, "first"), (3, "second"), (3, "second"), (3, None), (None, near[2]), (None, "lone one"), (None, "LONE one"), (None, ""), (7, near[0]), (7, "")]
+    kept = jaccard.keep_one(docs_frame(spark, [(i, t, "a") for i, t in data]))
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([(1, near[0]), (2, "a text of its own"), (3, "first"), (3, "second"), (3, ""), (0, "lone one"), (0, ""), (7, "")])
+    lone = docs_frame(spark, [(1, near[0], "a"), (None, near[1], "a")])
+    assert [r["text"] for r in jaccard.keep_one(lone).collect()] == [near[0]]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
