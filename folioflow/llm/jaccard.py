@@ -1,4 +1,4 @@
-r"""N-gram Jaccard join in the metric space of shingle sets: pivots, their regions, triangle-inequality windows, recursion; exact.
+r"""N-gram Jaccard join in the metric space of shingle sets: signature cells, pivots and their regions, triangle-inequality windows; exact.
 
 1 - Jaccard is a metric. Between unrelated texts it is 1, so regions around a few pivots for the whole corpus would tell nothing apart
 and every document would be a boundary document of every region. So the space is first cut, exactly, into cells in which distances
@@ -8,10 +8,10 @@ agree on a part share a cell. Sets with too many empty parts for that argument s
 that two such sets must share. Linked sets differ in so few parts that they share a known number of cells; sets that share fewer with
 all others together go.
 
-In each cell the smallest set is the pivot. A set belongs to the Voronoi region of the pivot it shares most cells with; its distance
+In each cell the smallest set is the pivot. A set belongs to the region of the pivot it shares most cells with, not always the nearest; its distance
 to it is measured exactly, and within the radius the two are linked. A cell whose sets are all in one component by now is done. The
-sets of the others fall into areas that no open cell crosses, and in an area regions are split into rings, one radius wide, around
-their pivot. Rings of an area meet in pairs: the innermost with itself needs no work (all there are linked to the pivot), rings of
+sets of the others fall into areas that no open cell crosses, and in an area regions of OWN_BLOCK shingles and more are split into
+rings, one radius wide, around their pivot; what is smaller goes in plain blocks. Rings of an area meet in pairs: the innermost with itself needs no work (all there are linked to the pivot), rings of
 one region two or more apart need none (triangle inequality), nor do blocks too different in size; all others are joined in blocks
 of bounded size, each in one task by a product of incidence matrices, exactly. What leaves a task is a star for each local group and
 not its pairs, so a group of thousands of near copies makes rows in proportion to its size. Equal sets are collapsed beforehand. No
