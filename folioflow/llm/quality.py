@@ -136,13 +136,14 @@ class ByteCnn:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, rows: int, longest: int) -> tuple[list, list]:
-    """Texts and labels of at most `rows` labelled documents for which `fold` holds, those of the lowest hash of doc_id."""
+    """Texts and labels of at most `rows` labelled documents for which `fold` holds, those of the lowest hash of doc_id.
+    Of rows that repeat an id, the least text counts."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col(label).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(rows)
     short = docs.select("doc_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) <= longest)
-    got = short.join(F.broadcast(chosen), "doc_id").collect()
+    got = short.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["__label"], r["text"] or ""))
-    return [r["text"] for r in got[: 2 * rows]], [r["__label"] for r in got[: 2 * rows]]
+    return [r["text"] for r in got], [r["__label"] for r in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, fold=None, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST, **options) -> ByteCnn:

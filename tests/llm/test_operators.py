@@ -387,6 +387,13 @@ def test_classifiers_on_held_out(spark, module, label):
     assert right >= 0.9 * held.count() > 0
 
 
+def test_labelled_sample_takes_a_row_of_each_id(spark):
+    docs = docs_frame(spark, [(i, f"text {i}", "a") for i in range(10)] + [(3, f"text {i}", "a") for i in range(30, 60)] + [(4, None, "a")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    texts, y = quality.labelled_sample(docs, labels, "quality", F.lit(True), 10, 100)
+    assert (texts, y) == ([f"text {i}" for i in range(10)], [i % 2 for i in range(10)])
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_without_labels(spark, module, label):
     docs, labels = labelled(spark, 10)
