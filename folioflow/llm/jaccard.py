@@ -1,24 +1,22 @@
-r"""N-gram Jaccard join in the metric space of shingle sets: signature cells, pivots and their regions, triangle-inequality windows; exact.
+r"""N-gram Jaccard join in the metric space of shingle sets: exact areas, pivots, Voronoi regions joined recursively; exact.
 
 1 - Jaccard is a metric. Between unrelated texts it is 1, so regions around a few pivots for the whole corpus would tell nothing apart
-and every document would be a boundary document of every region. So the space is first cut, exactly, into cells in which distances
-do tell: sizes into annuli around the empty set, each with a window of larger documents that can still reach a smaller one; in an
-annulus the shingle universe into so many parts that two sets within the radius must agree on one part that isn't empty. Sets that
+and every document would be a boundary document of every region. So the space is first cut, exactly, into areas in which distances
+do tell. Sizes fall into annuli around the empty set, each with a window of larger documents that can still reach a smaller one; in an
+annulus the shingle universe falls into so many parts that two sets within the radius must agree on one part that isn't empty. Sets that
 agree on a part share a cell. Sets with too many empty parts for that argument share a cell, besides, for each shingle in the prefix
 that two such sets must share. Linked sets differ in so few parts that they share a known number of cells; sets that share fewer with
 all others together go.
 
-In each cell the smallest set is the pivot. A set belongs to the region of the pivot it shares most cells with, not always the nearest; its distance
-to it is measured exactly, and within the radius the two are linked. A cell whose sets are all in one component by now is done. The
-sets of the others fall into areas that no open cell crosses, and in an area regions of OWN_BLOCK shingles and more are split into
-rings, one radius wide, around their pivot; what is smaller goes in plain blocks. Rings of an area meet in pairs: the innermost with itself needs no work (all there are linked to the pivot), rings of
-one region two or more apart need none (triangle inequality), nor do blocks too different in size; all others are joined in blocks
-of bounded size, each in one task by a product of incidence matrices, exactly. What leaves a task is a star for each local group and
-not its pairs, so a group of thousands of near copies makes rows in proportion to its size. Equal sets are collapsed beforehand. No
-candidate, partner or cell is dropped at any size.
+In each cell the smallest set is the pivot. A set's distance to the pivot it shares most cells with is measured exactly, and within the
+radius the two are linked. A cell whose sets are all in one component by now is done. The sets of the others fall into areas that no
+open cell crosses. Inside an area the sets are joined by the method of regions.py: Voronoi regions around pivots, boundary sets
+replicated by triangle-inequality windows, recursion. What leaves a task is a star for each local group and not its pairs, so a group of
+thousands of near copies makes rows in proportion to its size. Equal sets are collapsed beforehand. No candidate, partner or cell is
+dropped at any size.
 
 Words: A-Z lower-cased, runs of [^\x20\x09-\x0D]. With fewer words than a shingle has, the whole sequence is one shingle. Sets are of
-64-bit hashes. Texts without words, null texts among them, have the empty set and link with nothing. A row with a
+64-bit hashes. Columns of docs other than doc_id and text aren't read and may have any name. A very long text is one set like any other. Texts without words, null texts among them, have the empty set and link with nothing. A row with a
 null id links as any other, but counts in no component's least id; rows that repeat an id share what their texts link to. An empty table gives an empty result.
 """
 
@@ -30,22 +28,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
 from .common import batch, columns, discard, mix, release, slices, small_batches, sorted_unique, tidy, words, written
-from .components import components, local_groups, with_roots
+from .components import components, with_roots
+from .regions import few, region_links
 
 WORDS, PERCENT = 4, 85
 #: Ratio between the bounds of size annuli.
 RATIO = 1.6
 #: Signatures a task holds before it sends them on; bytes of text for each bucket of signatures.
 HELD, BUCKET_BYTES = 400_000, 12 << 20
-#: Ids that are broadcast to fetch texts; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
-#: Shingles and sets a block holds about at most, and the shingles from which a region has blocks of its own.
-BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 300_000, 768, 300_000
+#: Bits that signatures lose on the way: sets that agree on the rest only by chance are compared, not linked.
+SHORT = np.uint64(16)
+#: Places of repeated sets (8 bytes each) that are broadcast; beyond, the join shuffles.
+BROADCAST_PLACES = 2_000_000
 #: Sets of a cell up to which its pairs are counted one by one.
 SMALL_CELL = 6
 #: Sets of a cell in one row.
@@ -87,6 +87,8 @@ class Cells:
     """The cells of a set, as 64-bit signatures."""
 
     def __init__(self, percent: int = PERCENT, ratio: float = RATIO):
+        if not 50 <= percent < 100:
+            raise ValueError("percent: 50 to 99")
         self.percent = percent
         #: The smallest size at which unequal sets can be linked: one shingle is linked to two at 50 %.
         self.first = 2 if percent > 50 else 1
@@ -136,82 +138,116 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """A row per document (bucket null) with its id, or the key of its text, and its set's size and fingerprint, and blobs of (signature, fingerprint) by bucket.
-    A task sends the signatures of one fingerprint once."""
+    """A row per document (bucket null): its id, or the key of its text, its set's size, fingerprint (print) and the fewest cells it
+    shares with any set it is linked to; and blobs of (signature, owner) by chunk and bucket. A chunk is what a task sends at once, its
+    owners are the sets in it, and node is the place, chunk and owner, of a set where a task first met it. What a row of a bucket
+    weighs doesn't depend on the number of buckets."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("needs", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("sigs", pa.binary()), ("owners", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("need", pa.int32()), ("node", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells, seen = Hashes(), Cells(percent), set()
-        held, nodes, needs, size = [], [], [], 0
+        chunk = TaskContext.get().partitionId() << 20
+        held, owners, size, sets = [], [], 0, 0
 
         def send() -> pa.RecordBatch:
             sig = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            owner = np.repeat(np.array(owners, np.uint32), [len(x) for x in held])
             order = np.argsort(sig, kind="stable")
             sig, owner = sig[order], owner[order]
             at = bucket_bounds(sig, buckets)
-            rows = [(b, pack_sorted(sig[i:j]), pack(owner[i:j])) for b, (i, j) in enumerate(itertools.pairwise(at.tolist())) if j > i]
-            n = len(rows)
-            return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [pack(np.array(nodes, np.int64))] * n, [pack(np.array(needs, np.int32))] * n, [None] * n, [None] * n, [None] * n, [None] * n)
+            rows = [(b, pack_sorted(sig[i:j] >> SHORT), pack_counts(owner[i:j])) for b, (i, j) in enumerate(itertools.pairwise(at.tolist())) if j > i]
+            nothing = [None] * len(rows)
+            return batch(schema, [r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows], [r[2] for r in rows], *[nothing] * 6)
 
         for b in batches:
             for part in slices(b, "text"):
                 ids, keys, texts = columns(part, "doc_id", "key", "text")
-                sizes, prints = [], []
+                sizes, prints, needs, nodes = [], [], [], []
                 for t in texts:
                     s = shingles(words(t), hashes, k)
                     f = fingerprint(s)
                     sizes.append(len(s))
                     prints.append(f)
+                    node = need = None
                     if len(s) >= cells.first and f not in seen:
                         seen.add(f)
-                        for sigs, need in cells.of(s):
+                        node = chunk << 20 | sets
+                        found = cells.of(s)
+                        need = min(n for _, n in found)
+                        for sigs, _ in found:
                             held.append(sigs)
-                            nodes.append(f)
-                            needs.append(need)
+                            owners.append(sets)
                             size += len(sigs)
+                        sets += 1
                         if size >= HELD:
                             yield send()
-                            held, nodes, needs, size = [], [], [], 0
+                            chunk += 1
+                            held, owners, size, sets = [], [], 0, 0
+                    needs.append(need)
+                    nodes.append(node)
                 nothing = [None] * len(ids)
-                yield batch(schema, nothing, nothing, nothing, nothing, nothing, ids, keys, sizes, prints)
+                yield batch(schema, *[nothing] * 4, ids, keys, sizes, prints, needs, nodes)
         if held:
             yield send()
 
-    kind = "bucket int, sigs binary, owners binary, nodes binary, needs binary, doc_id long, key long, n long, node long"
+    kind = "bucket int, chunk long, sigs binary, owners binary, doc_id long, key long, n long, print long, need int, node long"
     return written(docs.selectExpr("doc_id", TEXT_KEY, "text").mapInArrow(tidy(task), kind), "survey")
 
 
-def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
-    """cell, weight, node, need, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
+def first_places(survey: DataFrame, classes: DataFrame) -> DataFrame:
+    """chunk, sigs, owners, bucket of the survey without what it says again of sets that another chunk holds, too."""
+    kept = classes.select("print", F.col("node").alias("kept"))
+    again = survey.filter(F.col("node").isNotNull()).select("print", "node").join(kept, "print").filter("node <> kept")
+    again = written(again.select(F.shiftright("node", 20).alias("chunk"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("owner")), "again")
+    few = F.broadcast if again.count() <= BROADCAST_PLACES else lambda df: df
+    gone = again.groupBy("chunk").agg(F.sort_array(F.collect_list("owner")).alias("gone"))  # a chunk's owners are bounded
+    blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "chunk", "sigs", "owners").join(few(gone), "chunk", "left")
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("sigs", pa.binary()), ("owners", pa.binary())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for bucket, chunk, sigs, owners, gone in zip(*columns(b, "bucket", "chunk", "sigs", "owners", "gone"), strict=True):
+                if gone:
+                    sig, owner = unpack_sorted(sigs), unpack(owners)
+                    stays = np.isin(owner, np.array(gone), invert=True)
+                    if not stays.any():
+                        continue
+                    sigs, owners = pack_sorted(sig[stays]), pack_counts(owner[stays])
+                out.append((bucket, chunk, sigs, owners))
+            if out:
+                yield batch(schema, *zip(*out, strict=True))
+
+    return blobs.select("bucket", "chunk", "sigs", "owners", "gone").mapInArrow(tidy(task), "bucket int, chunk long, sigs binary, owners binary")
+
+
+def shared_cells(blobs: DataFrame, needs: DataFrame, turns: int = 2) -> DataFrame:
+    """cell, weight, node, pivot: the sets of every cell that holds two or more, of sets that share enough cells to be linked to any.
     Two linked sets of an annulus differ in so few parts that they agree on a number of cells; a set with fewer shared cells goes, and
     with it the cells it shared with one other. Each turn only drops what can't be linked, so their number doesn't matter."""
-    kinds = [("cell", pa.int64()), ("piece", pa.int32()), ("nodes", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32())), ("weight", pa.int64())]
-    schema = pa.schema(kinds)
+    schema = pa.schema([("cell", pa.int64()), ("piece", pa.int32()), ("nodes", pa.list_(pa.int64())), ("weight", pa.int64())])
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        sigs, nodes, needs = [], [], []
-        for s, o, n, k in zip(*(table.column(c).to_pylist() for c in ("sigs", "owners", "nodes", "needs")), strict=True):
-            owner = unpack(o)
+        sigs, nodes = [], []
+        for s, o, c in zip(*(table.column(c).to_pylist() for c in ("sigs", "owners", "chunk")), strict=True):
             sigs.append(unpack_sorted(s))
-            nodes.append(unpack(n)[owner])
-            needs.append(unpack(k)[owner])
-        sig, node, need = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(needs)
+            nodes.append(unpack(o).astype(np.int64) + (c << 20))
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
         order = np.lexsort((node, sig))
-        sig, node, need = sig[order], node[order], need[order]
+        sig, node = sig[order], node[order]
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node, need = sig[new], node[new], need[new]
+        sig, node = sig[new], node[new]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         lengths = np.diff(np.append(first, len(sig)))
         keep = np.repeat(lengths > 1, lengths)
-        node, need, lengths = node[keep], need[keep], lengths[lengths > 1]
-        del sigs, nodes, needs, sig, order, new, keep
+        node, lengths = node[keep], lengths[lengths > 1]
+        del sigs, nodes, sig, order, new, keep
         if not len(lengths):
             return pa.Table.from_batches([], schema)
         # Cells with the same sets are one cell with a weight; long ones go in pieces, which are the same for the same sets.
         starts = np.cumsum(lengths) - lengths
-        print_ = mix(np.add.reduceat(mix(node.view(np.uint64) + need.astype(np.uint64) * _STEP), starts) + lengths.astype(np.uint64))
+        print_ = mix(np.add.reduceat(mix(node.view(np.uint64)), starts) + lengths.astype(np.uint64))
         _, at, weight = np.unique(print_, return_index=True, return_counts=True)
         pieces = -(-lengths[at] // PIECE)
         which = np.repeat(np.arange(len(at)), pieces)
@@ -220,47 +256,45 @@ def shared_cells(survey: DataFrame, turns: int = 3) -> DataFrame:
         high = np.minimum(low + PIECE, (starts + lengths)[at][which])
         offsets = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
         take = np.repeat(low - offsets[:-1], high - low) + np.arange(offsets[-1])
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[take], t)) for v, t in ((node, pa.int64()), (need, pa.int32()))]
-        out = pa.Table.from_batches([batch(schema, _signed(print_[at][which]), piece, *lists, weight[which])])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[take], pa.int64()))
+        out = pa.Table.from_batches([batch(schema, _signed(print_[at][which]), piece, lists, weight[which])])
         release()
         return out
 
-    blobs = survey.filter(F.col("bucket").isNotNull()).select("bucket", "sigs", "owners", "nodes", "needs")
-    found = blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, piece int, nodes array<long>, needs array<int>, weight long")
-    found = found.groupBy("cell", "piece").agg(F.any_value("nodes").alias("nodes"), F.any_value("needs").alias("needs"), F.sum("weight").alias("weight"))
-    members = written(found.select("cell", "weight", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("needs").alias("need")))), "cells")
+    found = blobs.groupBy("bucket").applyInArrow(of_bucket, "cell long, piece int, nodes array<long>, weight long")
+    found = found.groupBy("cell", "piece").agg(F.any_value("nodes").alias("nodes"), F.sum("weight").alias("weight"))
+    members = written(found.select("cell", "weight", F.explode("nodes").alias("node")), "cells")
     for _ in range(turns):
-        # A set has one need in its annulus and one in each window below; the smaller one and all its cells together are safe.
-        fit = members.groupBy("node").agg(F.sum("weight").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
-        kept = members.select("cell", "weight", "node", "need").join(fit, "node", "left_semi")
-        live = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n")
-        smaller = written(kept.join(live, "cell").select("cell", "weight", "node", "need", "pivot"), "cells")
-        discard(members)
+        counts = members.groupBy("node").agg(F.sum("weight").alias("n"))
+        fit = counts.join(needs, "node").filter("n >= need").select("node")
+        kept = written(members.select("cell", "weight", "node").join(fit, "node", "left_semi"), "kept")
+        # A table of its own, so that adaptive execution can split a cell of thousands of sets in the join.
+        live = written(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1").drop("n"), "live")
+        smaller = written(kept.join(live, "cell").select("cell", "weight", "node", "pivot"), "cells")
+        discard(members, kept, live)
         members = smaller
-    return members.select("cell", "weight", "node", "need", "pivot")
+    return members
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, size, members (sorted hashes): the set of each wanted (doc_id, key, node), from the text again; by key where there is no id."""
-    n = wanted.count()
-    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    """node, size, members (sorted hashes): the set of each wanted (doc_id, key, print, node), from the text again; by key where there is no id."""
     schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("members", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
             for part in slices(b, "text"):
-                nodes, texts = columns(part, "node", "text")
+                nodes, prints, texts = columns(part, "node", "print", "text")
                 got = [shingles(words(t), hashes, k) for t in texts]
-                right = [(f, len(s), s.tobytes()) for f, s in zip(nodes, got, strict=True) if fingerprint(s) == f]
+                right = [(x, len(s), s.tobytes()) for x, f, s in zip(nodes, prints, got, strict=True) if fingerprint(s) == f]
                 if right:
                     yield batch(schema, *zip(*right, strict=True))
 
-    texts = docs.select("doc_id", "text").join(few(wanted.filter("doc_id is not null").select("doc_id", "node")), "doc_id").select("node", "text")
-    nameless = wanted.filter("doc_id is null").select("key", "node")
+    texts = docs.select("doc_id", "text").join(few(wanted.filter("doc_id is not null").select("doc_id", "node", "print")), "doc_id").select("node", "print", "text")
+    nameless = wanted.filter("doc_id is null").select("key", "node", "print")
     if not nameless.isEmpty():
         found = docs.filter("doc_id is null").selectExpr(TEXT_KEY, "text").join(few(nameless), "key")
-        texts = texts.unionByName(found.groupBy("node").agg(F.any_value("text").alias("text")))
+        texts = texts.unionByName(found.groupBy("node", "print").agg(F.any_value("text").alias("text")))
     return written(texts.mapInArrow(tidy(task), "node long, size long, members binary"), "sets")
 
 
@@ -284,100 +318,28 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # Ids go to the sets where their number allows it, so that a set moves once at most.
     pairs = pairs.select("p", "x")
-    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
     left = sets.join(few(pairs.select(F.col("p").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("p"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("x"), F.col("members").alias("b"))
     both = right.join(few(pairs), "x").join(left, "p").select("p", "x", "a", "b")
     return both.mapInArrow(tidy(task), "p long, x long, common long, total long")
 
 
-def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns_at_once: int = 4096) -> np.ndarray:
-    """Which sets of a and b are linked: intersections from products of 0/1 matrices over the hashes that both sides hold."""
-    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
-    all_a, all_b = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(sorted_unique(all_a), sorted_unique(all_b), assume_unique=True)
-    common = np.zeros((len(a), len(b)), dtype=np.float32)
-    if len(both):
-        placed = []
-        for side, lengths in ((all_a, sizes[0]), (all_b, sizes[1])):
-            at = np.minimum(np.searchsorted(both, side), len(both) - 1)
-            hit = both[at] == side
-            col, row = at[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]
-            order = np.argsort(col, kind="stable")
-            placed.append((row[order], col[order]))
-        for start in range(0, len(both), columns_at_once):
-            dense = []
-            for (row, col), n in zip(placed, (len(a), len(b)), strict=True):
-                i, j = np.searchsorted(col, (start, start + columns_at_once))
-                m = np.zeros((n, min(columns_at_once, len(both) - start)), dtype=np.float32)
-                m[row[i:j], col[i:j] - start] = 1
-                dense.append(m)
-            common += dense[0] @ dense[1].T
-    common = common.astype(np.int64)
-    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
-
-
-STAR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
-def star(near: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    root = names[local_groups(near)] if len(names) else names
-    other = root != names
-    return batch(STAR, names[other], root[other])
-
-
-def within_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: a star for each local group of linked sets of a block."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for nodes, sets in zip(b.column(0), b.column(1), strict=True):
-                one = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.values]
-                yield star(block_links(one, one, percent), np.array(nodes.as_py(), np.int64))
-
-    return blocks.select("nodes", "sets").mapInArrow(tidy(task), "u long, v long")
-
-
-def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: the same for each pair of different blocks."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
-            for r in range(b.num_rows):
-                nodes = [np.array(col[c][r].as_py(), np.int64) for c in ("a_nodes", "b_nodes")]
-                sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in col[c][r].values] for c in ("a_sets", "b_sets")]
-                near = block_links(*sets, percent)
-                p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                full = np.zeros((len(p) + len(q),) * 2, dtype=bool)
-                full[: len(p), len(p) :] = near[np.ix_(p, q)]
-                full[len(p) :, : len(p)] = near[np.ix_(p, q)].T
-                yield star(full, np.concatenate((nodes[0][p], nodes[1][q])))
-
-    side = lambda k, s: blocks.select(F.col("block").alias(k), F.col("nodes").alias(f"{s}_nodes"), F.col("sets").alias(f"{s}_sets"))
-    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a_nodes", "b_nodes", "a_sets", "b_sets")
-    return both.mapInArrow(tidy(task), "u long, v long")
-
-
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links enough to connect all sets that are connected. members: cell, weight, node, need, pivot."""
-    radius = (100 - percent) / 100
+def links(members: DataFrame, needs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links enough to connect all sets that are connected. members: cell, weight, node, pivot."""
     sizes = sets.select("node", "size")
     shared = members.filter("node <> pivot").groupBy(F.col("pivot").alias("p"), F.col("node").alias("x")).agg(F.sum("weight").alias("count"))
     nearest = shared.groupBy("x").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
     one, two = sizes.select(F.col("node").alias("p"), F.col("size").alias("ps")), sizes.select(F.col("node").alias("x"), F.col("size").alias("xs"))
-    nearest = written(nearest.join(one, "p").join(two, "x").withColumn("fit", F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent), "nearest")
-    found = measured(nearest.filter("fit"), sets)
-    # Rings are counted in whole numbers: ring k >= 1 holds distances over k radii and up to k + 1.
-    steps = F.ceil((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))) - 1
-    near = F.col("common") * 100 >= F.col("total") * percent
-    found = written(found.withColumn("ring", F.when(near, 0).otherwise(F.greatest(steps, F.lit(1)))), "distances")
-    stars = found.filter("ring = 0").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    fit = F.least("ps", "xs") * 100 >= F.greatest("ps", "xs") * percent
+    nearest = written(nearest.join(one, "p").join(two, "x").filter(fit).select("p", "x"), "nearest")
+    found = measured(nearest, sets).filter(F.col("common") * 100 >= F.col("total") * percent)
+    stars = written(found.select(F.col("p").alias("u"), F.col("x").alias("v")), "stars")
     labels = with_roots(components(stars))
 
     table = members.select("cell", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = table.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
-    opened = written(members.select("cell", "weight", "node").join(cells.filter("lo <> hi").select("cell", "least", "n"), "cell"), "opened")
+    cells = written(cells.filter("lo <> hi").select("cell", "least", "n"), "mixed")
+    opened = written(members.select("cell", "weight", "node").join(cells, "cell"), "opened")
     # Two sets of different components are linked only if they share enough open cells: for small cells that is counted pair by pair,
     # and what they could share of large ones is added. Large cells connect all their sets.
     large = opened.filter(F.col("n") > SMALL_CELL)
@@ -385,74 +347,45 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     together = small.select("weight", F.inline(both)).groupBy("x", "y").agg(F.sum("weight").alias("shared"))
     most = large.groupBy("node").agg(F.sum("weight").alias("most"))
-    least = members.groupBy("node").agg(F.min("need").alias("need")).join(most, "node", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    least = opened.select("node").distinct().join(needs, "node").join(most, "node", "left").withColumn("most", F.coalesce("most", F.lit(0)))
     side = lambda c: least.select(F.col("node").alias(c), F.col("need").alias(f"{c}_need"), F.col("most").alias(f"{c}_most"))
     likely = together.join(side("x"), "x").join(side("y"), "y").filter(F.col("shared") + F.least("x_most", "y_most") >= F.greatest("x_need", "y_need"))
     cross = written(likely.select(F.col("y").alias("node"), F.col("x").alias("least")).unionByName(large.select("node", "least")).distinct(), "open")
+    discard(opened, cells)
     if cross.isEmpty():
         return stars
-    areas = with_roots(components(cross)).withColumnRenamed("component", "area")
-
-    place = found.select(F.col("x").alias("node"), F.col("p").alias("owner"), "ring")
-    spots = areas.join(sizes, "node").join(place, "node", "left").withColumn("owner", F.coalesce("owner", "node")).withColumn("ring", F.when(F.col("owner") == F.col("node"), 0).otherwise(F.col("ring")))
-    spots = written(spots, "spots")
-    # Regions with enough shingles have blocks of their own, by ring and size; small areas are one block.
-    regions = spots.groupBy("area", "owner").agg(F.sum("size").alias("whole")).withColumn("large", F.col("whole") >= OWN_BLOCK).drop("whole")
-    wide = spots.groupBy("area").agg(F.sum("size").alias("whole")).withColumn("wide", F.col("whole") >= OWN_BLOCK).drop("whole")
-    spots = spots.join(regions, ["area", "owner"]).join(wide, "area")
-    keys = ["area", "owner", "ring", "scale"]
-    scale = F.floor(F.log("size") / float(-np.log(percent / 100))).cast("int")
-    spots = spots.select("node", "size", "area", F.when(F.col("large"), F.col("owner")).alias("owner"), F.when(F.col("large"), F.col("ring")).alias("ring"), F.when(F.col("wide"), scale).alias("scale"))
-    spots = written(spots, "placed")
-    totals = spots.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("split"))
-    safe = lambda df, s: df.select(*[F.col(k).alias(f"{s}_{k}") for k in keys], *[c for c in df.columns if c not in keys])
-    dealt = spots.join(safe(totals, "t"), [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("split")))
-    dealt = dealt.withColumn("block", F.xxhash64(*keys, "salt")).select("node", "block", *keys, "size")
-    dealt = written(dealt, "dealt")
-    boxes = written(dealt.groupBy("block", *keys).agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "boxes")
-    few = F.broadcast if dealt.count() <= BROADCAST_ROWS else lambda df: df
-    blocks = written(sets.join(few(dealt.select("node", "block")), "node").groupBy("block").agg(F.collect_list(F.struct("node", "members")).alias("s")).select("block", F.col("s.node").alias("nodes"), F.col("s.members").alias("sets")), "blocks")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    ring = F.abs(F.col("a.ring") - F.col("b.ring"))
-    idle = (F.col("a.owner") == F.col("b.owner")) & ((F.col("a.ring") + F.col("b.ring") == 0) | (ring >= 2))
-    reach = F.least("a.hi", "b.hi") * 100 >= F.greatest("a.lo", "b.lo") * percent
-    pairs = a.join(b, [F.col("a.area") == F.col("b.area"), F.col("a.block") < F.col("b.block"), reach, ~F.coalesce(idle, F.lit(False))])
-    pairs = written(pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")), "pairs")
-    spark = members.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1")  # a row holds two blocks
-    try:
-        alone = blocks.join(boxes.filter("owner is not null and ring = 0").select("block"), "block", "left_anti")
-        found = [written(x, "joined") for x in (within_blocks(alone, percent), between_blocks(pairs, blocks, percent))]
-        discard(blocks)
-        return stars.unionByName(found[0]).unionByName(found[1])
-    finally:
-        spark.conf.set(key, before)
+    areas = with_roots(components(cross)).withColumnRenamed("component", "region")
+    owners = stars.select(F.col("v").alias("node"), F.col("u").alias("owner"))
+    areas = areas.join(sizes, "node").join(owners, "node", "left").withColumn("owner", F.coalesce("owner", "node"))
+    for more in region_links(areas.select("region", "node", "size", "owner"), sets, percent):
+        stars = stars.unionByName(more)
+    return stars
 
 
 def placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, node and chosen of every row: its set and the one set of its component that stays."""
+    """doc_id, n_shingles, component_id, print and chosen of every row: its set and the one set of its component that stays."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     seen = survey(docs, words, percent, buckets)
-    info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "key", "n", "node"), "info")
-    classes = written(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")), "classes")
-    members = shared_cells(seen)
+    info = written(seen.filter(F.col("bucket").isNull()).select("doc_id", "key", "n", "print", "need", "node"), "info")
+    one = [F.min("doc_id").alias("first"), F.min("key").alias("key"), F.min("need").alias("need"), F.min("node").alias("node")]
+    classes = written(info.filter("n > 0").groupBy("print").agg(*one), "classes")
+    needs = classes.filter(F.col("node").isNotNull()).select("node", "need")
+    members = shared_cells(first_places(seen, classes), needs)
     discard(seen)
-    wanted = members.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id"), "key", "node")
+    wanted = members.select("node").distinct().join(classes.filter(F.col("node").isNotNull()), "node").select(F.col("first").alias("doc_id"), "key", "print", "node")
     sets = sets_of(docs, written(wanted, "wanted"), words)
-    roots = with_roots(components(links(members, sets, percent)))
-    discard(sets)
+    roots = written(with_roots(components(links(members, needs, sets, percent))), "roots")
+    discard(sets, members)
     named = roots.join(classes, "node")
-    order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
-    least = named.groupBy("component").agg(F.min("first").alias("least"), F.min(order)["node"].alias("chosen"))
-    found = named.join(least, "component").select("node", "least", "chosen")
-    by_class = classes.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("least"), F.coalesce("chosen", "node").alias("chosen"))
-    out = info.join(by_class, "node", "left")
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "print")
+    least = named.groupBy("component").agg(F.min("first").alias("least"), F.min(order)["print"].alias("chosen"))
+    found = named.join(least, "component").select("print", "least", "chosen")
+    by_class = classes.join(found, "print", "left").select("print", F.coalesce("least", "first").alias("least"), F.coalesce("chosen", "print").alias("chosen"))
+    out = info.select("doc_id", "n", "print").join(by_class, "print", "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "chosen")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "print", "chosen")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -478,9 +411,9 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) ->
     """The documents, all columns, one of each group: of its set with the smallest id, or of one set if none has an id, a row with that
     id. Texts without words stay. Rows that repeat an id, or have none, are told apart by their sets."""
     rows = written(placed(docs, words, percent), "groups")
-    stays = (F.col("node") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = rows.filter((F.col("n_shingles") > 0) & ~stays).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    stays = (F.col("print") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = written(rows.filter((F.col("n_shingles") > 0) & ~stays).select("doc_id").distinct(), "gone")
+    kept = docs.join(few(gone), "doc_id", "left_anti")
     counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     twice = written(counted.filter("(rows > 1 or doc_id is null) and n > 0").select("doc_id"), "twice")
     if twice.isEmpty():
@@ -488,7 +421,7 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) ->
     kept = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
     again = with_nodes(docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi"), words)
     empty = F.col("__node") == fingerprint(np.zeros(0, np.uint64))
-    right = rows.filter((F.col("n_shingles") > 0) & stays).select(F.col("doc_id").alias("__id"), F.col("node").alias("__set")).distinct()
+    right = rows.filter((F.col("n_shingles") > 0) & stays).select(F.col("doc_id").alias("__id"), F.col("print").alias("__set")).distinct()
     chosen = again.filter(~empty).join(right, again["doc_id"].eqNullSafe(F.col("__id")) & (again["__node"] == F.col("__set")), "left_semi")
     parts = [kept, again.filter(empty), chosen.dropDuplicates(["doc_id", "__node"])]
     return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
