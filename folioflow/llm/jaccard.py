@@ -87,8 +87,8 @@ class Cells:
     """The cells of a set, as 64-bit signatures."""
 
     def __init__(self, percent: int = PERCENT, ratio: float = RATIO):
-        if not 50 <= percent < 100:
-            raise ValueError("percent: 50 to 99")
+        if not 1 <= percent < 100:
+            raise ValueError("percent: 1 to 99")
         self.percent = percent
         #: The smallest size at which unequal sets can be linked: one shingle is linked to two at 50 %.
         self.first = 2 if percent > 50 else 1

@@ -1,12 +1,15 @@
 """Links inside areas of the Jaccard join: Voronoi regions around pivots, joined recursively, with boundary sets in several regions.
 
-An area is a group of sets that can only be linked among themselves. One with more than OWN_BLOCK shingles is parted around pivots:
-the distance of each set to every pivot of its region is measured, and the set's home is the nearest pivot's region. It stands as a guest in
+An area is a group of sets that can only be linked among themselves. One with more than OWN_BLOCK shingles is parted twice over.
+
+First by size, the distance from the empty set: a set's home is its annulus, one factor of the similarity wide, and it is a guest in the
+annuli below that hold sets large enough to be linked to it. A linked pair meets in the annulus of the smaller one.
+
+Then around pivots, again and again: the distance of each set to every pivot of its region is measured, and the set's home is the nearest pivot's region. It stands as a guest in
 any other region in which a home set can be within the radius r of it. For a home set y of pivot q and a guest x of pivot p linked to it,
 the triangle inequality gives d(x, q) <= d(x, p) + 2 r and |d(x, q) - d(y, q)| <= r, so x is a guest of q only if d(x, q) lies within both
 windows, the second from the nearest to the farthest home set of q, a radius wider on either side. By induction over levels x is in
-the last region in which y is at home, so joining home sets with all sets of each last region finds every link. Regions that are too
-large are parted again around new pivots.
+the last region in which y is at home, so joining home sets with all sets of each last region finds every link.
 
 A region that pivots can't part at less than half of its work isn't parted: its sets, all about equally far apart, go into rings one
 radius wide around their nearest pivot, rings into blocks of bounded size, and two blocks meet only if sizes, rings and the intervals of
@@ -27,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import batch, columns, discard, sorted_unique, tidy, written
 from .components import local_groups
 
-#: Shingles and sets that a block holds about at most, and the shingles beyond which a region is parted.
-BLOCK_SHINGLES, BLOCK_SETS, OWN_BLOCK = 300_000, 768, 300_000
+#: Shingles and sets that a block, the unit that moves, holds about at most; sets of a tile, the unit of a product.
+BLOCK_SHINGLES, BLOCK_SETS, TILE = 1_000_000, 4096, 768
+#: Pairs a hash makes up to which they are counted one by one, and pairs counted at once.
+RARE, PAIRS = 2000, 8_000_000
+#: The shingles beyond which a region is parted.
+OWN_BLOCK = 1_000_000
 #: Pivots of a region: half drawn by the weight of what is linked to them, half evenly; levels of the recursion.
 PIVOTS, LEVELS = 16, 8
 #: A region is parted if its parts together need at most this share of its work.
@@ -47,11 +54,13 @@ def few(table: DataFrame) -> DataFrame:
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray], columns_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the intersections and unions of sorted sets, from products of 0/1 matrices over the hashes that both sides hold."""
+    """Sizes of the intersections and unions of sorted sets. Hashes that many sets of both sides hold are counted by products of 0/1
+    matrices, the others by their pairs."""
     sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (a, b)]
     all_a, all_b = np.concatenate(a), np.concatenate(b)
     both = np.intersect1d(sorted_unique(all_a), sorted_unique(all_b), assume_unique=True)
-    common = np.zeros((len(a), len(b)), dtype=np.int64)
+    n, m = len(a), len(b)
+    common = np.zeros(n * m, dtype=np.int64)
     if len(both):
         placed = []
         for side, lengths in ((all_a, sizes[0]), (all_b, sizes[1])):
@@ -59,22 +68,45 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], columns_at_once: int
             hit = both[at] == side
             col, row = at[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]
             order = np.argsort(col, kind="stable")
-            placed.append((row[order], col[order]))
-        for start in range(0, len(both), columns_at_once):
+            placed.append((row[order], col[order], np.bincount(col, minlength=len(both))))
+        (row_a, col_a, in_a), (row_b, col_b, in_b) = placed
+        rare = in_a * in_b <= RARE
+        first_b = np.cumsum(in_b) - in_b
+        one = rare[col_a]
+        row, reps, first = row_a[one], in_b[col_a[one]], first_b[col_a[one]]
+        ends = np.cumsum(reps)
+        for start in range(0, len(row), PAIRS // RARE + 1):
+            part = slice(start, start + PAIRS // RARE + 1)
+            r, before = reps[part], ends[part] - reps[part]
+            other = np.repeat(first[part] - before + before[0], r) + np.arange(r.sum())
+            common += np.bincount(np.repeat(row[part], r) * m + row_b[other], minlength=n * m)
+        place = np.cumsum(~rare) - 1
+        kept = [(x[~rare[c]], place[c[~rare[c]]]) for x, c, _ in placed]
+        for start in range(0, int((~rare).sum()), columns_at_once):
             dense = []
-            for (row, col), n in zip(placed, (len(a), len(b)), strict=True):
-                i, j = np.searchsorted(col, (start, start + columns_at_once))
-                m = np.zeros((n, min(columns_at_once, len(both) - start)), dtype=np.float32)
-                m[row[i:j], col[i:j] - start] = 1
-                dense.append(m)
-            common += (dense[0] @ dense[1].T).astype(np.int64)
+            for (x, c), k in zip(kept, (n, m), strict=True):
+                i, j = np.searchsorted(c, (start, start + columns_at_once))
+                hits = np.zeros((k, min(columns_at_once, int((~rare).sum()) - start)), dtype=np.float32)
+                hits[x[i:j], c[i:j] - start] = 1
+                dense.append(hits)
+            common += (dense[0] @ dense[1].T).astype(np.int64).ravel()
+    common = common.reshape(n, m)
     return common, sizes[0][:, None] + sizes[1][None, :] - common
 
 
 def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets of a and b are linked."""
-    common, total = intersections(a, b)
-    return 100 * common >= percent * total
+    """Which sets of a and b are linked. Tiles run along sizes, and those whose sizes lie too far apart are passed over."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    sides = []
+    for side in (a, b):
+        order = np.argsort([len(x) for x in side], kind="stable")
+        sides.append([(at, [side[i] for i in at]) for at in np.array_split(order, -(-len(order) // TILE) or 1) if len(at)])
+    for rows, x in sides[0]:
+        for cols, y in sides[1]:
+            if 100 * min(len(x[-1]), len(y[-1])) >= percent * max(len(x[0]), len(y[0])):
+                common, total = intersections(x, y)
+                out[np.ix_(rows, cols)] = 100 * common >= percent * total
+    return out
 
 
 def sets_in(column) -> list[np.ndarray]:
@@ -135,18 +167,40 @@ def measured_to_pivots(table: DataFrame, wide: DataFrame, sets: DataFrame, perce
     return written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, SEEN), "seen")
 
 
+def annuli(table: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Wide regions parted by size; the others as they are."""
+    base = float(-np.log(percent / 100))
+    by = few(wide.select("region"))
+    size = F.log(F.col("size")) / base
+    own, least = F.floor(size).cast("int"), F.floor(size - 1 - SLACK).cast("int")
+    split = table.join(by, "region", "left_semi").withColumn("own", own).withColumn("ring", F.explode(F.sequence(least, own)))
+    split = split.withColumn("home", F.col("home") & (F.col("own") == F.col("ring"))).withColumn("part", F.xxhash64("region", "ring"))
+    homes = split.filter("home").select("part").distinct()
+    split = split.join(homes, "part", "left_semi").select(F.col("part").alias("region"), "node", "size", "home", "owner")
+    return table.join(by, "region", "left_anti").select(*split.columns).unionByName(split)
+
+
+def wide_regions(table: DataFrame) -> DataFrame:
+    """region, whole, homes, n and splits (tasks to deal its sets to) of the regions with more than OWN_BLOCK shingles."""
+    size = F.col("size")
+    whole = table.groupBy("region").agg(F.sum(size).alias("whole"), F.sum(F.when(F.col("home"), size).otherwise(0)).alias("homes"), F.count(F.lit(1)).alias("n"))
+    splits = F.greatest(F.ceil(F.col("whole") / BLOCK_SHINGLES), F.ceil(F.col("n") / (2 * TILE)))
+    return written(whole.filter(F.col("whole") > OWN_BLOCK).withColumn("splits", splits.cast("long")), "wide")
+
+
 def parted(areas: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """The last regions (region, node, size, home, owner, ring, far; owner, ring and the distances to pivots only of regions that can't be
     parted), and links found on the way. areas: region, node, size, owner."""
     r = (100 - percent) / 100
     table = written(areas.select("region", "node", "size", F.lit(True).alias("home"), "owner"), "regions")
     last, stars = [], []
-    alone = [F.lit(True).alias("home"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("int").alias("ring"), F.lit(None).cast("array<double>").alias("far")]
+    alone = ["home", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("int").alias("ring"), F.lit(None).cast("array<double>").alias("far")]
+    size = F.col("size")
+    wide = wide_regions(table)
+    if not wide.isEmpty():
+        table = written(annuli(table, wide, percent), "annuli")
     for level in range(LEVELS + 1):
-        size = F.col("size")
-        whole = table.groupBy("region").agg(F.sum(size).alias("whole"), F.sum(F.when(F.col("home"), size).otherwise(0)).alias("homes"), F.count(F.lit(1)).alias("n"))
-        splits = F.greatest(F.ceil(F.col("whole") / BLOCK_SHINGLES), F.ceil(F.col("n") / (2 * BLOCK_SETS)))
-        wide = written(whole.filter(F.col("whole") > OWN_BLOCK).withColumn("splits", splits.cast("long")), "wide")
+        wide = wide_regions(table)
         if wide.isEmpty():
             last.append(table.select("region", "node", "size", *alone))
             break
@@ -181,19 +235,23 @@ def apart(r: float) -> Column:
 
 
 def within_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: a star for each local group of linked sets of a block."""
+    """u, v: a star for each local group of linked sets of a block, of which one at least is at home."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for nodes, sets in zip(b.column(0), b.column(1), strict=True):
-                one = sets_in(sets.values)
-                yield star(block_links(one, one, percent), np.array(nodes.as_py(), np.int64))
+            for nodes, homes, sets in zip(*columns(b, "nodes", "homes"), b.column(2), strict=True):
+                every, at = sets_in(sets.values), np.flatnonzero(homes)
+                near = block_links([every[i] for i in at], every, percent)
+                full = np.zeros((len(every), len(every)), dtype=bool)
+                full[at] = near
+                full[:, at] |= near.T
+                yield star(full, np.array(nodes, np.int64))
 
-    return blocks.select("nodes", "sets").mapInArrow(tidy(task), "u long, v long")
+    return blocks.select("nodes", "homes", "sets").mapInArrow(tidy(task), "u long, v long")
 
 
 def between_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: the same for each pair of different blocks."""
+    """u, v: a star for each local group of linked sets of a pair of different blocks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,23 +274,26 @@ def region_links(areas: DataFrame, sets: DataFrame, percent: int) -> list[DataFr
     """Tables of u, v that connect all sets of areas (region, node, size, owner) that are connected."""
     r = (100 - percent) / 100
     spots, stars = parted(areas, sets, percent)
-    keys = ["region", "home", "owner", "ring", "scale"]
-    # Small regions are one block; what can't be parted has blocks by owner, ring and size.
-    scale = F.when(F.col("owner").isNotNull(), F.floor(F.log("size") / float(-np.log(percent / 100))).cast("int"))
-    spots = spots.withColumn("scale", scale)
+    keys = ["region", "guests", "owner", "ring"]
+    # Small regions are one block, guests and all; in what can't be parted, pivots with much around them have blocks of their own, by ring, and the others
+    # share blocks.
+    big = spots.filter("owner is not null").groupBy("region", "home", "owner").agg(F.sum("size").alias("w"))
+    big = written(big.filter(F.col("w") > BLOCK_SHINGLES / 2).select("region", "home", "owner", F.lit(True).alias("big")), "big")
+    spots = spots.join(few(big), ["region", "home", "owner"], "left").withColumn("guests", F.col("owner").isNotNull() & ~F.col("home")).withColumn("by", F.when(F.col("big").isNull(), F.coalesce("owner", "node")).otherwise(F.col("node")))
+    spots = spots.select("node", "size", "region", "home", "guests", *[F.when(F.col("big"), F.col(c)).alias(c) for c in ("owner", "ring")], "by", "far")
     totals = spots.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("split"))
     other = totals.select(*[F.col(k).alias(f"t_{k}") for k in keys], "split")
-    dealt = spots.join(other, [F.col("region") == F.col("t_region"), *[F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys[1:]]]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("split")))
-    dealt = written(dealt.withColumn("block", F.xxhash64(*keys, "salt")).select("node", "block", *keys, "size", "far"), "dealt")
+    dealt = spots.join(other, [F.col("region") == F.col("t_region"), *[F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys[1:]]]).withColumn("salt", F.pmod(F.xxhash64("by"), F.col("split")))
+    dealt = written(dealt.withColumn("block", F.xxhash64(*keys, "salt")).select("node", "home", "block", *keys, "size", "far"), "dealt")
     ends = [F.array(*[f(F.get("far", F.lit(k))) for k in range(PIVOTS)]).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))]
     boxes = written(dealt.groupBy("block", *keys).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), *ends), "boxes")
-    blocks = sets.join(few(dealt.select("node", "block")), "node").groupBy("block").agg(F.collect_list(F.struct("node", "members")).alias("s"))
-    blocks = written(blocks.select("block", F.col("s.node").alias("nodes"), F.col("s.members").alias("sets")), "blocks")
+    blocks = sets.join(few(dealt.select("node", "home", "block")), "node").groupBy("block").agg(F.collect_list(F.struct("node", "home", "members")).alias("s"))
+    blocks = written(blocks.select("block", F.col("s.node").alias("nodes"), F.col("s.home").alias("homes"), F.col("s.members").alias("sets")), "blocks")
     a, b = boxes.alias("a"), boxes.alias("b")
     ring = F.abs(F.col("a.ring") - F.col("b.ring"))
     idle = (F.col("a.owner") == F.col("b.owner")) & ((F.col("a.ring") + F.col("b.ring") == 0) | (ring >= 2))
     reach = F.least("a.hi", "b.hi") * 100 >= F.greatest("a.lo", "b.lo") * percent
-    met = (F.col("a.home") | F.col("b.home")) & reach & ~F.coalesce(idle, F.lit(False)) & ~apart(r)
+    met = ~(F.col("a.guests") & F.col("b.guests")) & reach & ~F.coalesce(idle, F.lit(False)) & ~apart(r)
     pairs = a.join(b, [F.col("a.region") == F.col("b.region"), F.col("a.block") < F.col("b.block"), met])
     pairs = written(pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")), "pairs")
     spark = sets.sparkSession
@@ -240,7 +301,7 @@ def region_links(areas: DataFrame, sets: DataFrame, percent: int) -> list[DataFr
     before = spark.conf.get(key)
     spark.conf.set(key, "1")  # a row holds two blocks
     try:
-        done = boxes.filter("not home or owner is not null and ring = 0").select("block")
+        done = boxes.filter("guests or owner is not null and ring = 0").select("block")
         found = [written(x, "joined") for x in (within_blocks(blocks.join(few(done), "block", "left_anti"), percent), between_blocks(pairs, blocks, percent))]
     finally:
         spark.conf.set(key, before)

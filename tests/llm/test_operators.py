@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import components, decontaminate, embeddings, encoding, jaccard, lm, mixing, quality, token_counts, token_store, toxicity, warc
+from folioflow.llm import components, decontaminate, embeddings, encoding, jaccard, lm, mixing, quality, regions, token_counts, token_store, toxicity, warc
 from folioflow.llm.common import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,9 +236,10 @@ def shingle_set(t, k):
 @pytest.mark.parametrize(("k", "percent", "cap"), [(4, 85, None), (5, 80, None), (2, 60, None), (4, 85, 50)])
 def test_jaccard_components(spark, monkeypatch, k, percent, cap):
     if cap:  # blocks and regions of their own even for these few
-        monkeypatch.setattr(jaccard, "OWN_BLOCK", cap)
-        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
-        monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+        monkeypatch.setattr(regions, "OWN_BLOCK", cap)
+        monkeypatch.setattr(regions, "BLOCK_SHINGLES", 400)
+        monkeypatch.setattr(regions, "BLOCK_SETS", 3)
+        monkeypatch.setattr(regions, "TILE", 2)
     rng = random.Random(k * percent)
     data = [t for t in texts() if not t or len(t) < 100_000]
     for size in (3, 6, 7, 9, 14, 30, 90, 200):
@@ -257,6 +258,39 @@ def test_jaccard_components(spark, monkeypatch, k, percent, cap):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(data))] == [(len(s), c) for s, c in zip(sets, want, strict=True)]
 
 
+@pytest.mark.parametrize(("own", "shingles", "apart"), [(600, 300, True), (40, 30, True), (600, 300, False), (10**9, 10**9, True)])
+def test_region_links(spark, monkeypatch, own, shingles, apart):
+    """One area of several clusters, chained by some sets, against brute force; apart: clusters that pivots can part."""
+    for name, value in (("OWN_BLOCK", own), ("BLOCK_SHINGLES", shingles), ("BLOCK_SETS", 5), ("TILE", 3), ("PIVOTS", 6), ("LEVELS", 3), ("RARE", 4), ("PAIRS", 40)):
+        monkeypatch.setattr(regions, name, value)
+    rng = np.random.default_rng(own + apart)
+    sets = []
+    for cluster in range(12 if apart else 1):
+        base = rng.choice(5000, 60, replace=False) + (5000 * cluster if apart else 0)
+        for k in range(8 if apart else 90):
+            keep = base[rng.random(60) < rng.choice([0.97, 0.9, 0.8])]
+            sets.append(np.unique(np.append(keep, rng.integers(10**6, 10**7, rng.integers(0, 9)))).astype(np.uint64))
+    sets += [np.unique(rng.integers(0, 60_000, n)).astype(np.uint64) for n in (1, 2, 5, 400)]
+    percent = 80
+    linked = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+    assert linked
+    table = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, size long, members binary")
+    areas = table.selectExpr("0L as region", "node", "size", "node as owner")
+    last, _ = regions.parted(areas, table, percent)
+    if own == 600:
+        assert last.select("region").distinct().count() > 1 and (apart or last.filter("owner is not null").count() > 0)
+    found = [(r["u"], r["v"]) for x in regions.region_links(areas, table, percent) for r in x.collect()]
+    assert closure(len(sets), found) == closure(len(sets), linked)
+
+
+def test_jaccard_of_very_long_texts(spark):
+    w = [f"{VOCABULARY[i % len(VOCABULARY)]}{i}" for i in range(60_000)]
+    data = [" ".join(w), " ".join(w[:57_000]), " ".join(w[:40_000]), None, "", " ".join(w[55_000:])]
+    docs = docs_frame(spark, [(i, t, "a") for i, t in enumerate(data)])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {0: (59_997, 0), 1: (56_997, 0), 2: (39_997, 2), 3: (0, 3), 4: (0, 4), 5: (4_997, 5)}
+
+
 @pytest.mark.parametrize("percent", [34, 50, 60])
 def test_jaccard_of_very_different_sizes(spark, percent):
     data = []
