@@ -2,7 +2,7 @@ r"""Benchmark decontamination: a hash set of the benchmark's normalised n-grams
 training words, verifies each hit word by word and marks, cuts out or drops what it found.
 
 The set goes out as a broadcast only up to `most_windows` windows; a larger benchmark is scanned in blocks of items of that size, one
-after another, and the marks of a document are united by its id, so what a task holds is bounded either way.
+after another, each over a written table with the marks so far, so a task holds one block at a time.
 
 Words: A-Z lower-cased, runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] (letters, digits, everything beyond ASCII). A window is 10 consecutive
 words of an item; an item with fewer, but at least one, is one window. Null texts have no words; an item with a null id counts as
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chain, columns, slices, small_batches, spans, tidy
+from .common import batch, chain, columns, slices, small_batches, spans, tidy, written
 
 WINDOW = 10
 #: Windows that one broadcast may hold: some 500 MB at the most, in the form below.
@@ -119,17 +119,21 @@ MARKS = "n_words long, runs array<int>, items array<string>"
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """All columns of docs with n_words, runs (word positions: start, end, start, end ...) and items (sorted), in one map."""
-    return _joined(docs, list(docs.columns), benchmark, window, most_windows)
+    """All columns of docs with n_words, runs (word positions: start, end, start, end ...) and items (sorted); a column of docs of one of these names gives way."""
+    return _joined(docs, [c for c in docs.columns if c not in ("n_words", "runs", "items")], benchmark, window, most_windows)
 
 
 def _joined(docs: DataFrame, keep: list[str], benchmark: DataFrame, window: int, most: int) -> DataFrame:
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = docs.select(*keep, F.lit(0).cast("long").alias("__n"), F.array().cast("array<int>").alias("__runs"), F.array().cast("array<string>").alias("__items"))
-    first = True
+    first, sent = True, None
     for w in blocks(benchmark, window, most):
-        out = _scan(out, sc.broadcast(w), first)
+        if sent is not None:  # one block of windows at a time is out
+            out = written(out, "marked")
+            sent.destroy()
+        sent = sc.broadcast(w)
+        out = _scan(out, sent, first)
         first = False
     if first:
         out = _scan(out, sc.broadcast(Windows([], window)), True)
@@ -178,9 +182,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans
     """The documents, all columns kept. remove="spans" cuts the hit words out of the texts, "documents" drops the contaminated."""
     names = docs.columns
     found = marked(docs.withColumnsRenamed({c: f"c{i}_" for i, c in enumerate(names) if c != "text"}), benchmark, **options)
-    back = {f"c{i}_": c for i, c in enumerate(names) if c != "text"}
+    back = {f"c{i}_": c for i, c in enumerate(names) if c != "text"}  # so no column can clash with the marks
     if remove == "documents":
-        return found.filter(F.size("runs") == 0).withColumnsRenamed(back).select(*names)
+        return found.filter(F.size("runs") == 0).drop("n_words", "runs", "items").withColumnsRenamed(back).select(*names)
     at = found.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans
                 b = b.set_column(at, "text", fixed)
             yield b
 
-    return found.mapInArrow(tidy(task), found.schema).withColumnsRenamed(back).select(*names)
+    return found.mapInArrow(tidy(task), found.schema).drop("n_words", "runs", "items").withColumnsRenamed(back).select(*names)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

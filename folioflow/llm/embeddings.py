@@ -8,7 +8,7 @@ task, where the recursion goes on in halves down to small products of double-pre
 spanning star for each local group, never all pairs, so a cluster of copies costs rows in proportion to its size.
 
 A null, zero or non-finite vector, or one that holds a null, links with nothing and is a component of its own. Vectors link only with
-vectors of the same length. Of rows that repeat a vec_id the smallest embedding counts, once. An empty table gives an empty result.
+vectors of the same length. Of rows that repeat a vec_id the smallest embedding counts, once. Columns other than vec_id and embedding aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import batch, columns, tidy, written
 from .components import components, local_groups, with_roots
 
 #: Rows for the principal axes (they only order vectors; any axes give the same links), leading axes, vectors a block, fan-out.
-SAMPLE, AXES, BLOCK, FAN, LEAF = 4000, 12, 1024, 64, 96
+SAMPLE, AXES, BLOCK, FAN, LEAF = 4000, 12, 4096, 64, 96
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ class Join:
                 self.run(*p, *q)
 
 
-def blocks(vectors: DataFrame, turn, eps: float, block: int) -> DataFrame:
+def blocks(vectors: DataFrame, turn, eps: float, block: int, kind: str) -> DataFrame:
     """Sorted runs of vectors: at (order), dim, n, lo, hi (box), ids, data."""
     keyed = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
 
@@ -89,9 +89,9 @@ def blocks(vectors: DataFrame, turn, eps: float, block: int) -> DataFrame:
             ids, vs = columns(b, "vec_id", "v")
             for d in sorted({len(v) for v in vs}):
                 pick = [i for i, v in enumerate(vs) if len(v) == d]
-                raw = np.array([vs[i] for i in pick])
+                raw = np.array([vs[i] for i in pick])  # in doubles
                 key = grid_order(projected(unit(raw), turn), eps)
-                yield batch(keyed, [ids[i] for i in pick], [d] * len(pick), key, [r.tobytes() for r in raw])
+                yield batch(keyed, [ids[i] for i in pick], [d] * len(pick), key, [r.tobytes() for r in raw.astype(kind)])
 
     made = pa.schema([("at", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("data", pa.binary())])
 
@@ -102,7 +102,7 @@ def blocks(vectors: DataFrame, turn, eps: float, block: int) -> DataFrame:
         def one() -> pa.RecordBatch:
             nonlocal at, held
             d = held[0][1]
-            x = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(-1, d)
+            x = np.frombuffer(b"".join(h[2] for h in held), kind).reshape(-1, d)
             y = projected(unit(x), turn)
             row = [at], [d], [len(held)], [y.min(0)], [y.max(0)], [np.array([h[0] for h in held], np.int64).tobytes()], [x.tobytes()]
             at, held = at + 1, []
@@ -117,7 +117,7 @@ def blocks(vectors: DataFrame, turn, eps: float, block: int) -> DataFrame:
             yield one()
 
     rows = vectors.select("vec_id", "v").mapInArrow(tidy(keys), "vec_id long, dim int, key long, data binary")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // block)))  # no more tasks than blocks
     ordered = rows.repartitionByRange(n, "dim", "key", "vec_id").sortWithinPartitions("dim", "key", "vec_id")
     return written(ordered.mapInArrow(tidy(cut), "at long, dim int, n int, lo array<double>, hi array<double>, ids binary, data binary"), "blocks")
 
@@ -149,7 +149,7 @@ def block_pairs(table: DataFrame, eps: float) -> DataFrame:
     return pairs.join(at.select(F.col("k").alias("i"), F.col("at").alias("a_at")), "i").join(at.select(F.col("k").alias("j"), F.col("at").alias("b_at")), "j").select("a_at", "b_at")
 
 
-def local_links(pairs: DataFrame, table: DataFrame, turn, cosine: float, eps: float) -> DataFrame:
+def local_links(pairs: DataFrame, table: DataFrame, turn, cosine: float, eps: float, kind: str) -> DataFrame:
     """vec_id, n (links found here), root (a vector of the same local group)."""
     schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
@@ -159,7 +159,7 @@ def local_links(pairs: DataFrame, table: DataFrame, turn, cosine: float, eps: fl
             for r in range(b.num_rows):
                 d = col["dim"][r].as_py()
                 ids = [np.frombuffer(col[c][r].as_buffer(), np.int64) for c in ("a_ids", "b_ids")]
-                x, y = (unit(np.frombuffer(col[c][r].as_buffer(), np.float64).reshape(-1, d)) for c in ("a_data", "b_data"))
+                x, y = (unit(np.frombuffer(col[c][r].as_buffer(), kind).reshape(-1, d)) for c in ("a_data", "b_data"))
                 same = col["a_at"][r] == col["b_at"][r]
                 j = Join(x, y, projected(x, turn), projected(y, turn), cosine, eps)
                 j.run(0, len(x), 0, len(y))
@@ -188,17 +188,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, block: int = BL
     eps = float(np.sqrt(2 - 2 * cosine))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = vectors.sparkSession
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"  # single-precision components travel as such and are compared as doubles
     every = vectors.groupBy("vec_id").agg(F.min("embedding").alias("v"))
     every = written(every.withColumn("v", F.transform("v", lambda x: x.cast("double"))), "vectors")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = every.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0.0))
     turn = axes(fit)
     before = spark.conf.get(key)
-    table = blocks(fit, turn, eps, block)
+    table = blocks(fit, turn, eps, block, kind)
     pairs = block_pairs(table, eps)
     spark.conf.set(key, "4")  # a row holds two blocks
     try:
-        found = local_links(pairs, table, turn, cosine, eps)
+        found = local_links(pairs, table, turn, cosine, eps, kind)
     finally:
         spark.conf.set(key, before)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))

@@ -2,7 +2,8 @@
 
 Native Spark SQL only. Sizes are summed per source with map-side partial sums, so a source with a third of all rows costs one row
 per task; the rates table has one row per source. Nulls: a null text has size 0; a null source is a source of its own, last in order;
-a null id hashes as the empty text. Repeated rows with one id share the fate of that id. An empty table gives an empty result.
+a null id hashes as the empty text. The draw is seeded with id and text, so rows that repeat an id are drawn apart unless their texts are
+equal, too; rows equal in both share their fate. Columns of any other name pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,18 +44,23 @@ def rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     return table.withColumn("target", target).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)).select("source", "source_size", "target", "rate")
 
 
-def uniform(doc_id: str, seed: str):
-    """A number in [0, 1) from the first 52 bits of an MD5 digest: the same on every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def uniform(doc_id: str, digest, seed: str):
+    """A number in [0, 1) from the first 52 bits of an MD5 digest of id and text: the same on every run and engine."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), digest)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def text_digest(text: str = "text"):
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of each row."""
-    sizes = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    sizes = written(sized(docs.select("doc_id", "source", "text")).withColumn("digest", text_digest()).drop("text"), "sizes")
     r = rates(sizes, weights, most).withColumnRenamed("source", "of")
     joined = sizes.join(r, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    copies = F.floor("rate") + (uniform("doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.floor("rate") + (uniform("doc_id", F.col("digest"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", copies).drop("digest").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -62,10 +68,13 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     weights, most, seed = options.get("weights", WEIGHTS), options.get("most", MOST), options.get("seed", "mix")
     names = docs.columns
     sizes = written(sized(docs.select("source", "text")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    r = rates(sizes, weights, most).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
-    copies = F.floor("__rate") + (uniform("doc_id", seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    joined = docs.join(r, F.col("source").eqNullSafe(F.col("__of")), "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).filter(F.col("__copy") <= copies).select(*names)
+    r = rates(sizes, weights, most).select(F.col("source").alias("of"), "rate")
+    back = {f"c{i}_": c for i, c in enumerate(names) if c not in ("doc_id", "source", "text")}
+    plain = docs.withColumnsRenamed({c: k for k, c in back.items()})
+    copies = F.floor("rate") + (uniform("doc_id", text_digest(), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    joined = plain.join(r, F.col("source").eqNullSafe(F.col("of")), "left")
+    taken = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).filter(F.col("copy") <= copies)
+    return taken.drop("of", "rate", "copy").withColumnsRenamed(back).select(*names)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
 f AS (SELECT *, cap / weight AS full_at FROM w),
@@ -84,7 +93,7 @@ m AS (SELECT *, max(CASE WHEN NOT capped THEN level END) OVER () AS lvl FROM c),
 t AS (SELECT source, source_size, CASE WHEN capped OR lvl IS NULL THEN cap ELSE least(weight * lvl, cap) END AS target FROM m),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
 j AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-        CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+        CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.digest), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j
 """

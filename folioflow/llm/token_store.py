@@ -6,9 +6,10 @@ of the document ids (ascending, less the first), ids of 2 or 4 bytes. An Elias-F
 
 Documents are dealt to tasks by ranges of doc_id and sorted there, so file order is id order; a shard is cut when it holds
 `shard_ids` ids, so a task never holds more than that and one document. Spark's text writer writes the files (see warc.py on why) and
-the separator after each shard is part of the format. Offsets before each shard come from a table with one row per shard.
+the separator after each shard is part of the format. Offsets before each shard come from a table with one row per shard, in the order
+of the partitions that wrote the files; offsets within a shard come from select.
 
-A null text has no ids but its end id. Rows with equal ids are kept, ordered by text. A null id sorts first and reads back as null. An
+Columns of docs other than doc_id and text aren't read and may have any name. A null text has no ids but its end id. Rows with equal ids are kept, ordered by text. A null id sorts first and reads back as null. An
 empty table gives no files and no rows.
 """
 
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, columns, gathered, shared_dir, small_batches, spans, tidy, written
+from .common import batch, columns, gathered, shared_dir, small_batches, tidy, written
 from .encoding import default_path, encoder
 
 MAGIC = b"EFTOKEN1"
@@ -116,8 +117,12 @@ class Shard:
         self.ids = np.frombuffer(data, f"<u{self.width}", body // self.width, at)
         self.end = at + body
 
+    def start(self, i: int) -> int:
+        """Where document i begins, by select; for i the number of documents, where the last one ends."""
+        return self.ends.select(i - 1) if i else 0
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids[self.start(i) : self.start(i + 1)]
 
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + (self.docs.decode() + self.base).tolist()
@@ -160,6 +165,11 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     ordered.mapInArrow(tidy(task), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
+def part_number(file: str) -> Column:
+    """The partition a file was written by, from its name, where numbers beyond five digits aren't padded."""
+    return F.regexp_extract(F.element_at(F.split(file, "/"), -1), r"part-(\d+)", 1).cast("long")
+
+
 def read_store(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array of int), of every document in the files."""
     schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("first", pa.int64()), ("shard_tokens", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids)
@@ -168,7 +178,7 @@ def read_store(spark: SparkSession, path: str, *, ids: bool = False) -> DataFram
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for k, s in enumerate(shards(content.as_buffer())):
-                    doc_ids, bounds = s.doc_ids(), spans(np.diff(s.ends.decode(), prepend=0))
+                    doc_ids, bounds = s.doc_ids(), np.array([s.start(i) for i in range(s.ends.n + 1)], dtype=np.int64)
                     wide = s.ids.astype("<u4")
                     cells = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
                     crc = [zlib.crc32(wide[i:j]) for i, j in cells]
@@ -179,7 +189,7 @@ def read_store(spark: SparkSession, path: str, *, ids: bool = False) -> DataFram
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     rows = written(files.mapInArrow(tidy(task), "file string, shard int, first long, shard_tokens long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids), "read")
     table = rows.filter(F.col("within") == 0).groupBy("file", "shard").agg(F.max("shard_tokens").alias("shard_tokens"))
-    before = Window.orderBy("file", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part_number("file"), "file", "shard").rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("base", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0))).drop("shard_tokens")
     return rows.join(table, ["file", "shard"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 

@@ -214,6 +214,32 @@ def test_decontamination_of_and_by_nothing(spark):
     assert decontaminate.report(docs_frame(spark, []), bench).count() == 0
 
 
+def test_marks_take_the_place_of_columns_of_their_names(spark):
+    bench = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "say one two three", 9, "x", "y")], "doc_id long, text string, n_words int, runs string, items string")
+    (got,) = decontaminate.marked(docs, bench).collect()
+    assert (got["n_words"], got["runs"], got["items"]) == (4, [1, 4], ["a"])
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+
+
+def test_mixing_with_any_column_names_and_repeated_ids(spark):
+    data = [(7, f"w{i} b c d", "a", i) for i in range(1000)] + [(None, f"v{i} b", "b", i) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, __rate int").withColumns({n: F.lit(n) for n in ("__of", "__copy", "rate", "of", "copy", "c0_")})
+    got = mixing.mix_sources(docs)
+    assert got.columns == docs.columns
+    plan = mixing.plan(docs)
+    for source in ("a", "b"):
+        own = [r for r in plan.collect() if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 0.1 * own[0]["target"]
+        assert got.filter(F.col("source") == source).count() == sum(r["copies"] for r in own)
+
+
+def test_files_go_by_partition_number(spark):
+    names = ["x/part-100000-a.txt", "x/part-99999-b.txt", "x/part-00002-c.txt"]
+    rows = spark.createDataFrame([(n,) for n in names], "file string").orderBy(token_store.part_number("file")).collect()
+    assert [r["file"] for r in rows] == names[::-1]
+
+
 def closure(n, links):
     root = list(range(n))
 
