@@ -112,7 +112,7 @@ def parse_attributions(answer: str, candidates: Sequence[str]) -> list[Attributi
 def parse_categories(answer: str, wanted: Sequence[str]) -> dict[str, tuple[str, float]]:
     """speaker_id -> category and confidence of each wanted speaker; unknown at 0.0 where the answer says nothing usable."""
     try:
-        entries = json.loads(answer)["speakers"]
+        entries = json.loads(answer)["classifications"]
         if not isinstance(entries, list):
             raise TypeError("no list")
         got = {str(e["speaker_id"]): e for e in entries}

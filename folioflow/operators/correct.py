@@ -104,7 +104,8 @@ def deletions(word: str = "word"):
 def spelling_corrections(unknown: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """word, suggestion: the nearest dictionary word within `most` edits; ties go to the more frequent, then the later in order.
     dictionary: word, freq. Words meet through shared deletions, an equi-join that no length band can swell."""
-    words = unknown.select("word").distinct()
+    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 0
+    words = unknown.filter(F.length("word") <= longest + most).select("word").distinct()  # a longer one has no neighbour
     left = words.select("word", F.explode(deletions()).alias("d"))
     right = dictionary.select(F.col("word").alias("other"), "freq", F.explode(deletions()).alias("d"))
     both = left.join(right, "d").select("word", "other", "freq").distinct()

@@ -57,9 +57,9 @@ def distinct_work(work: DataFrame, paths: DataFrame) -> DataFrame:
     return voiced.groupBy("key").agg(F.min(F.struct("text", "clip_path", "params", "audio_seed")).alias("w")).select("key", "w.*")
 
 
-def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[bytes], bytes] | None = None) -> DataFrame:
-    """key, wav, error: each row's sound. `speech` makes the provider once per task; what it raises becomes the row's error. A loudness
-    step that fails leaves the sound as it came."""
+def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[bytes, dict], bytes] | None = None) -> DataFrame:
+    """key, wav, error: each row's sound. `speech` makes the provider once per task; what it raises becomes the row's error. The loudness
+    step gets the row's own settings; one that fails leaves the sound as it came."""
     schema = pa.schema([("key", pa.string()), ("wav", pa.binary()), ("error", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +69,15 @@ def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[
         for b in batches:
             out = []
             for r in b.to_pylist():
-                params = X.render_params(json.loads(r["params"] or "{}"), r["audio_seed"])
+                settings = json.loads(r["params"] or "{}")
+                params = X.render_params(settings, r["audio_seed"])
                 try:
                     wav, error = say(r["text"], r["clip_path"], params), None
                 except Exception as e:  # a provider may raise anything; one segment's failure is its own
                     wav, error = None, f"{type(e).__name__}: {e}"
                 if wav is not None and loudness:
                     try:
-                        wav = loudness(wav)
+                        wav = loudness(wav, settings)
                     except (ValueError, ArithmeticError):
                         pass
                 out.append((r["key"], wav, error))

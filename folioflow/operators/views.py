@@ -62,7 +62,9 @@ def flagged_neighbours(rows: DataFrame, flag: str, id_: str, order: tuple[str, .
     w = Window.partitionBy(*by).orderBy(*order)
     hit = F.when(F.col(flag), F.col(id_))
     every = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = F.coalesce(F.first(hit, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.first(hit, True).over(every))
+    # Looking back from the end, as a frame that shrinks is computed anew for each row and one that grows isn't.
+    back = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.coalesce(F.last(hit, True).over(back), F.first(hit, True).over(every))
     prev = F.coalesce(F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.last(hit, True).over(every))
     return rows.withColumn("next_flagged", nxt).withColumn("prev_flagged", prev)
 

@@ -87,7 +87,7 @@ def apply_bulk(plan: DataFrame, speakers: DataFrame, clips: DataFrame) -> tuple[
     """Speakers and clips with the plan carried out, one clip per distinct path, and counts by category. All or nothing: a plan that
     leaves someone out is refused."""
     if not plan.filter("clip_path is null").isEmpty():
-        raise PreconditionError("no clip covers: " + ", ".join(r["category"] for r in uncovered(plan).select("category").distinct().collect()))
+        raise PreconditionError("no clip covers: " + ", ".join(r["category"] for r in uncovered(plan).select("category").distinct().orderBy("category").collect()))
     start = clips.groupBy("project_id").agg((F.max("clip_pos") + 1).alias("start"))
     firsts = plan.groupBy("project_id", "clip_path").agg(F.min(F.struct("first", "category")).alias("f"))
     order = F.row_number().over(Window.partitionBy("project_id").orderBy("f"))

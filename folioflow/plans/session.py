@@ -7,6 +7,7 @@ run, and a stage that was stopped goes on where it was.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -58,6 +59,18 @@ class Corpus:
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A provider's answers, written before anything reads them: asked again, after an executor is lost, it may answer differently."""
+        path = f"{self.path}/answers/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.kept_at = path
+        return out
+
+    def forget(self, kept: DataFrame) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def save(self, **changed: DataFrame) -> None:
         """Writes a new version: the changed tables and all others as they are."""
         workspace.save_tables({**self.tables(), **changed}, self.path)
@@ -113,7 +126,7 @@ class Corpus:
             return Result("attribute", "failed", "no language provider")
         requests = attribute.contexts(new, todo)
         answers = attribute.attribute_books(requests, speakers, self.providers.language)
-        answers = answers.persist()
+        answers = self.kept(answers)
         try:
             wanted = new.filter("review_status = 'needs_review'").select("project_id", "segment_id")
             told = attribute.with_defaults(wanted, answers.filter("answered"))
@@ -125,7 +138,7 @@ class Corpus:
             every = attribute.classify_speakers(every, segments, self.providers.language)
             self.save(segments=segments, speakers=every)
         finally:
-            answers.unpersist()
+            self.forget(answers)
         return Result("attribute", "completed", "quotes attributed")
 
     def blockers(self, t: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -148,18 +161,19 @@ class Corpus:
         if not missing.isEmpty():
             return Result("synthesize", "failed", "assign voices first: " + ", ".join(r["name"] for r in missing.orderBy("project_id", "first").limit(5).collect()))
         params = t["projects"].select("project_id", F.col("tts_params").alias("params"))
-        first = t["projects"].select("tts_params").first()
-        import json
 
-        s = Loudness.from_params(json.loads(first["tts_params"] or "{}")) if first else None
-        loud = (lambda wav: normalize_wav(wav, s)) if s else None
-        segments, results = render.synthesize(t["segments"], t["speakers"], t["voice_clips"], self.clip_files(), params, t["audio"].select("cache_key"), self.providers.speech, loud)
-        results = results.persist()
+        def loud(wav: bytes, settings: dict) -> bytes:
+            s = Loudness.from_params(settings)
+            return normalize_wav(wav, s) if s else wav
+
+        _, results = render.synthesize(t["segments"], t["speakers"], t["voice_clips"], self.clip_files(), params, t["audio"].select("cache_key"), self.providers.speech, loud)
+        results = self.kept(results)
+        segments = render.stamped(t["segments"], render.worklist(t["segments"], t["speakers"], params, t["audio"].select("cache_key")), results)
         try:
             new = results.filter("error is null").select(F.col("key").alias("cache_key"), X.audio_path("key").alias("path"), "wav")
             self.save(segments=segments, audio=t["audio"].join(new.select("cache_key"), "cache_key", "left_anti").unionByName(new))
         finally:
-            results.unpersist()
+            self.forget(results)
         bad = render.outcome(self.tables()["segments"]).filter("status = 'failed'")
         return Result("synthesize", "completed" if bad.isEmpty() else "failed", "segments synthesized" if bad.isEmpty() else "all segments failed to synthesize")
 
@@ -169,10 +183,21 @@ class Corpus:
         if not missing.isEmpty():
             said = render.unrendered_names(missing, t["chapters"]).first()["said"]
             return Result("assemble", "failed", f"not rendered: {said}")
-        made = m4b.assemble_books(self.manifests(t), folder or f"{self.path}/output", self.providers.encoder)
-        errors = [r["error"] for r in made.select("error").collect() if r["error"]]
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "16")  # a row may hold a sound of some megabytes
+        try:
+            made = m4b.assemble_books(self.manifests(t), folder or f"{self.path}/output", self.providers.encoder, self.sounds(t))
+            errors = [r["error"] for r in made.filter("error is not null").orderBy("project_id").limit(5).collect()]
+        finally:
+            self.spark.conf.set(key, before)
         return Result("assemble", "failed" if errors else "completed", errors[0] if errors else "audiobooks written")
 
+    def sounds(self, t: dict[str, DataFrame]) -> DataFrame:
+        """project_id, path, wav of what each book plays."""
+        used = t["segments"].select("project_id", F.col("audio_cache_key").alias("cache_key")).distinct()
+        return used.join(t["audio"].select("cache_key", "path", "wav"), "cache_key").select("project_id", "path", "wav")
+
     def manifests(self, t: dict[str, DataFrame]) -> DataFrame:
         """project_id, title, listing, metadata, cover_image_path of each book."""
         sounds = t["audio"].select(F.col("cache_key").alias("audio_cache_key"), "path", "wav")

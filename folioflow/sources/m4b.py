@@ -13,10 +13,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..errors import AssemblyError
+from pyspark.sql import functions as F
+
+from ..errors import AssemblyError, PreconditionError
+from .audio import silence
 
 #: Fixed value: the rate of the encoded sound.
 BITRATE = "128k"
+#: How files of the kinds of cover begin.
+MAGIC = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
+_SILENCE = re.compile(r"silence_(\d+)ms_(\d+)hz_(\d+)ch_(\d+)b\.wav")
 COVERS = {".png": "png", ".jpg": "jpeg", ".jpeg": "jpeg"}
 
 #: listing path, metadata path, output path, cover path or null.
@@ -42,7 +48,35 @@ def ffmpeg(listing: str, metadata: str, output: str, cover: str | None) -> None:
 
 def usable_cover(path: str | None) -> str | None:
     """A cover of a kind that can be embedded and that is there; a bad one is left out, no reason to fail."""
-    return path if path and os.path.splitext(path)[1].lower() in COVERS and os.path.isfile(path) else None
+    if not path or os.path.splitext(path)[1].lower() not in COVERS or not os.path.isfile(path):
+        return None
+    with open(path, "rb") as f:
+        head = f.read(8)
+    return path if head.startswith(MAGIC) else None
+
+
+def local_path(folder: str) -> str:
+    """The path of a folder that all executors mount; a URI of another file system is refused, as an encoder can't write there."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return folder
+    if scheme != "file":
+        raise PreconditionError(f"audiobooks go to a folder that all executors mount, not to {folder}")
+    return "/" + rest.lstrip("/")
+
+
+def absolute(listing: str, folder: str) -> str:
+    """The listing with the paths of the sounds in a folder; makes the pauses that it names."""
+    out = []
+    for line in listing.splitlines():
+        name = os.path.basename(line.removeprefix("file '").removesuffix("'").replace("'\\''", "'"))
+        path = os.path.join(folder, name)
+        if (m := _SILENCE.fullmatch(name)) and not os.path.exists(path):
+            ms, *form = map(int, m.groups())
+            with open(path, "wb") as f:
+                f.write(silence(ms / 1000, *form)[1])
+        out.append("file '" + path.replace("'", "'\\''") + "'\n")
+    return "".join(out)
 
 
 def assemble(listing: str, metadata: str, output: str, cover: str | None = None, encoder: Encoder = ffmpeg) -> str:
@@ -64,20 +98,41 @@ def assemble(listing: str, metadata: str, output: str, cover: str | None = None,
     return output
 
 
-def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg) -> DataFrame:
-    """project_id, output, error of each row of books (project_id, title, listing, metadata, cover_image_path): one task makes a book at
-    a time. The folder has to be one that all executors share."""
+def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg, sounds: DataFrame | None = None) -> DataFrame:
+    """project_id, output, error of each row of books (project_id, title, listing, metadata, cover_image_path). The sounds (project_id,
+    path, wav) of a book stream to one task, which puts them into a folder of its own, makes the pauses, and has the encoder join them
+    from absolute paths. Each project has its own folder, so equal titles don't meet; `folder` has to be one that all executors mount."""
     schema = pa.schema([("project_id", pa.string()), ("output", pa.string()), ("error", pa.string())])
+    top = local_path(folder)
+
+    def book(r: dict, tmp: str) -> tuple:
+        name = f"{top}/{plain_name(r['project_id'])}/{plain_name(r['title'])}.m4b"
+        try:
+            return r["project_id"], assemble(absolute(r["listing"] or "", tmp), r["metadata"], name, r["cover_image_path"], encoder), None
+        except (AssemblyError, OSError) as e:
+            return r["project_id"], None, str(e)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                try:
-                    rows.append((r["project_id"], assemble(r["listing"] or "", r["metadata"], f"{folder}/{plain_name(r['title'])}.m4b", r["cover_image_path"], encoder), None))
-                except (AssemblyError, OSError) as e:
-                    rows.append((r["project_id"], None, str(e)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    return books.select("project_id", "title", "listing", "metadata", "cover_image_path").mapInArrow(task, "project_id string, output string, error string")
+        now, tmp = None, None
+        try:
+            for b in batches:
+                for r in b.to_pylist():
+                    if tmp is None or r["project_id"] != now:
+                        if tmp is not None:
+                            tmp.cleanup()
+                        now, tmp = r["project_id"], tempfile.TemporaryDirectory()
+                    if r["path"] is not None:
+                        with open(os.path.join(tmp.name, os.path.basename(r["path"])), "wb") as f:
+                            f.write(r["wav"])
+                        continue
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, book(r, tmp.name), strict=True))], schema=schema)
+        finally:
+            if tmp is not None:
+                tmp.cleanup()
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    text = ["title", "listing", "metadata", "cover_image_path"]
+    rows = books.select("project_id", F.lit(True).alias("last"), none("string", "path"), none("binary", "wav"), *text)
+    if sounds is not None:
+        rows = rows.unionByName(sounds.select("project_id", F.lit(False).alias("last"), "path", "wav", *[none("string", c) for c in text]))
+    return rows.repartition("project_id").sortWithinPartitions("project_id", "last").mapInArrow(task, "project_id string, output string, error string")
