@@ -383,6 +383,7 @@ def placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     least = named.groupBy("component").agg(F.min("first").alias("least"), F.min(order)["print"].alias("chosen"))
     found = named.join(least, "component").select("print", "least", "chosen")
     by_class = classes.join(found, "print", "left").select("print", F.coalesce("least", "first").alias("least"), F.coalesce("chosen", "print").alias("chosen"))
+    by_class = written(by_class, "by_class")  # a table of its own, so that a class of many copies can be split in the join
     out = info.select("doc_id", "n", "print").join(by_class, "print", "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "print", "chosen")
