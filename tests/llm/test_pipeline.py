@@ -80,7 +80,7 @@ def mixed(rows):
     out = []
     for r in rows:
         rate = min(target[r[3]] / total[r[3]], 3.0) if total[r[3]] else 0.0
-        u = int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"mix:{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         out += [r] * (int(rate) + (u < rate - int(rate)))
     return out
 
