@@ -22,7 +22,7 @@ from .audio import silence
 BITRATE = "128k"
 #: How files of the kinds of cover begin.
 MAGIC = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
-_SILENCE = re.compile(r"silence_(\d+)ms_(\d+)hz_(\d+)ch_(\d+)b\.wav")
+_SILENCE = re.compile(r"silence_(\d+)ms_(\d+)hz_(\d+)ch_(\d+)b\.wav\Z")
 COVERS = {".png": "png", ".jpg": "jpeg", ".jpeg": "jpeg"}
 
 #: listing path, metadata path, output path, cover path or null.
@@ -71,7 +71,7 @@ def absolute(listing: str, folder: str) -> str:
     for line in listing.splitlines():
         name = os.path.basename(line.removeprefix("file '").removesuffix("'").replace("'\\''", "'"))
         path = os.path.join(folder, name)
-        if (m := _SILENCE.fullmatch(name)) and not os.path.exists(path):
+        if (m := _SILENCE.match(name)) and not os.path.exists(path):
             ms, *form = map(int, m.groups())
             with open(path, "wb") as f:
                 f.write(silence(ms / 1000, *form)[1])
