@@ -31,9 +31,15 @@ def _update(df: DataFrame, where: Column, **values) -> DataFrame:
 
 
 def _chosen(ids: DataFrame | list[str], column: str, df: DataFrame) -> DataFrame:
-    """df with __hit: whether its id is among the chosen."""
+    """df with __hit: whether its id is among the chosen. An id that no row has is refused."""
     if isinstance(ids, list):
+        there = {r[0] for r in df.filter(F.col(column).isin(*ids)).select(column).distinct().collect()} if ids else set()
+        if lost := sorted(set(ids) - there):
+            raise ValueError(f"no {column} {lost[0]!r}")
         return df.withColumn("__hit", F.col(column).isin(*ids) if ids else F.lit(False))
+    lost = ids.select(column).join(df.select(column), column, "left_anti").first()
+    if lost is not None:
+        raise ValueError(f"no {column} {lost[0]!r}")
     return df.join(ids.select(column).distinct().withColumn("__hit", F.lit(True)), column, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
 
 
@@ -115,6 +121,14 @@ def create_character(speakers: DataFrame, project_id: str, name: str) -> tuple[D
     return speakers.unionByName(row), row.first()["speaker_id"]
 
 
+def reassign_to_new_speaker(segments: DataFrame, speakers: DataFrame, ids, project_id: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Segments given to the character of that name, and the speakers, with that character if the name was new."""
+    every, speaker_id = create_character(speakers, project_id, name)
+    chosen = _chosen(ids, "segment_id", segments)
+    given = _update(chosen, F.col("__hit"), speaker_id=F.lit(speaker_id), role=F.lit("character"), review_status=F.lit("approved"))
+    return given.select(*segments.columns), every
+
+
 def register_clip(clips: DataFrame, files: DataFrame, project_id: str, path: str, label: str | None = None) -> tuple[DataFrame, str]:
     """The clips with one more; the file has to be there. files: path."""
     require(files, "path", path)

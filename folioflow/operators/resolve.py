@@ -72,8 +72,11 @@ def resolve_names(mentions: DataFrame, speakers: DataFrame) -> tuple[DataFrame,
     return told.select(*mentions.columns, F.when(none, F.col("narrator_id")).otherwise(F.col("by_name")).alias("speaker_id"), F.when(none, "narrator").otherwise(F.col("name_role")).alias("role")), every
 
 
-def find_speaker(speakers: DataFrame, token: str) -> DataFrame:
-    """The speaker a user means by a number (place in the list) or a name in any case; no row if there is none."""
+def find_speaker(speakers: DataFrame, token: str, project_id: str | None = None) -> DataFrame:
+    """The speaker a user means by a number (place in the list) or a name in any case; no row if there is none. Without a project, that
+    of each project."""
+    if project_id is not None:
+        speakers = speakers.filter(F.col("project_id") == project_id)
     if token.lstrip("-").isdigit():
         return speakers.filter(F.col("speaker_pos") == int(token))
     hits = speakers.filter(X.fold("name") == token.lower())

@@ -52,6 +52,15 @@ TOKEN_SQL = r"regexp_extract_all({0}, '\p{{L}}+(?:[-''’]\p{{L}}+)*')"
 OCR_SQL = r"regexp_extract_all({0}, '\p{{L}}+(?:''\p{{L}}+)*')"
 SPELL_SQL = r"list_filter(list_transform(regexp_extract_all({0}, '[^\s\p{{Z}}]+'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+$', '', 'g')), lambda t: t <> '')"
 
+#: Letters beyond ASCII in the tables' words, each for a sign that no word holds: DuckDB's levenshtein counts bytes, Spark's characters.
+_WIDE = ("ßäçèéêíñóöü’", "0123456789AB")
+
+
+def distance_sql(a: str, b: str) -> str:
+    one = lambda x: f"translate({x}, '{_WIDE[0]}', '{_WIDE[1]}')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
 DICT_SQL = f"dict AS (SELECT lower(t) AS word, count(*) AS freq FROM (SELECT unnest({TOKEN_SQL.format('text')}) AS t FROM documents) GROUP BY 1 HAVING count(*) >= 3)"
 
 
@@ -175,16 +184,14 @@ def confusion(spark, d):
 
 
 @query(f"""WITH {DICT_SQL}, w AS (SELECT DISTINCT lower(t) AS word FROM (SELECT unnest({TOKEN_SQL.format('text')}) AS t FROM conversations)),
-u AS (SELECT word FROM w WHERE regexp_full_match(word, '[a-z]+') AND length(word) >= 3 AND word NOT IN (SELECT word FROM dict)),
-g AS (SELECT * FROM dict WHERE regexp_full_match(word, '[a-z]+')),
-n AS (SELECT u.word, g.word AS other, levenshtein(u.word, g.word) AS dist, freq FROM u JOIN g ON abs(length(u.word) - length(g.word)) <= 2 AND levenshtein(u.word, g.word) <= 2),
+u AS (SELECT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM dict)),
+n AS (SELECT u.word, g.word AS other, {distance_sql('u.word', 'g.word')} AS dist, freq FROM u JOIN dict g ON abs(length(u.word) - length(g.word)) <= 2 AND {distance_sql('u.word', 'g.word')} <= 2),
 r AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, other DESC) AS k FROM n)
 SELECT word, other AS suggestion FROM r WHERE k = 1""")
 def spell_correct(spark, d):
-    plain = F.col("word").rlike("^[a-z]+$")
     words = table(spark, d, "conversations").select(F.explode(X.tokens("text")).alias("t")).select(F.lower("t").alias("word")).distinct()
     known = dictionary(spark, d)
-    return correct.spelling_corrections(words.filter(plain & (F.length("word") >= 3)).join(known, "word", "left_anti"), known.filter(plain))
+    return correct.spelling_corrections(words.filter(F.length("word") >= 3).join(known, "word", "left_anti"), known)
 
 
 @query(f"""WITH {LINES_SQL}, {DICT_SQL}, x AS (SELECT project_id, chapter_pos, line_pos, {SPELL_SQL.format('text')} AS ts FROM lines),

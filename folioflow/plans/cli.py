@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     assign.add_argument("speaker", nargs="?")
     assign.add_argument("clip", nargs="?")
     assign.add_argument("--rest", action="store_true")
+    assign.add_argument("--project", help="id of the project the speaker is in")
     for c in (new, run, status, speakers, assign):
         c.add_argument("--workspace", required=True)
     return p
@@ -94,9 +95,11 @@ def assign(corpus: Corpus, args) -> int:
     from ..operators import actions
 
     t = corpus.tables()
-    hits = resolve.find_speaker(t["speakers"], args.speaker).collect()
+    hits = resolve.find_speaker(t["speakers"], args.speaker, args.project).limit(2).collect()
     if not hits:
         raise ValueError(f"no speaker {args.speaker!r}")
+    if len(hits) > 1:
+        raise PreconditionError(f"speaker {args.speaker!r} stands in several projects: name one with --project")
     clips, told = t["voice_clips"], t["speakers"]
     for h in hits:
         clips, clip = actions.register_clip(clips, corpus.clip_files(), h["project_id"], args.clip)

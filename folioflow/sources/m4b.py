@@ -11,8 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AssemblyError, PreconditionError
@@ -136,3 +135,12 @@ def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg, sou
     if sounds is not None:
         rows = rows.unionByName(sounds.select("project_id", F.lit(False).alias("last"), "path", "wav", *[none("string", c) for c in text]))
     return rows.repartition("project_id").sortWithinPartitions("project_id", "last").mapInArrow(task, "project_id string, output string, error string")
+
+
+def first_output(spark: SparkSession, folder: str) -> str | None:
+    """The path of the first audiobook below a folder, in order of paths; null if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.m4b").option("recursiveFileLookup", "true").load(folder)
+    return files.agg(F.min("path")).first()[0]

@@ -302,6 +302,15 @@ def test_actions(spark):
     assert more.count() == 4 and actions.create_character(more, "p", "cArOl")[1] == new
     with pytest.raises(ValueError, match="path"):
         actions.register_clip(clips(spark), files(spark, "/x.wav"), "p", "/none.wav")
+    for change in (lambda ids: actions.reject_suggestions(sug, ids), lambda ids: actions.accept_suggestions(sug, ln, s, ids)):
+        with pytest.raises(ValueError, match="suggestion_id"):
+            change(["x", "nobody's"])
+    with pytest.raises(ValueError, match="segment_id"):
+        actions.approve_audio(s, spark.createDataFrame([("s0",), ("s9",)], "segment_id string"))
+    moved, who = actions.reassign_to_new_speaker(s, cast(spark), ["s0"], "p", "Dora")
+    dora = who.filter("name = 'Dora'").first()
+    assert moved.orderBy("seg_pos").first()["speaker_id"] == dora["speaker_id"] and dora["role"] == "character" and who.count() == 4
+    assert resolve.find_speaker(who, "dORA", "p").count() == 1 and resolve.find_speaker(who, "dora", "q").count() == 0
     has, clip = actions.register_clip(clips(spark), files(spark, "/x.wav"), "p", "/x.wav")
     pair = spark.createDataFrame([("p", "b", clip)], "project_id string, speaker_id string, clip_id string")
     voiced = actions.assign_voices(cast(spark), has, pair)
@@ -311,6 +320,13 @@ def test_actions(spark):
     assert actions.stale(projects, changed, actions.REVIEW).first()["stage_status"] == {"parse": "completed"}
 
 
+def test_first_output(spark, tmp_path):
+    assert m4b.first_output(spark, str(tmp_path / "none")) is None
+    for name in ("b.m4b", "a.m4b", "0.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert m4b.first_output(spark, str(tmp_path)).endswith("/a.m4b")
+
+
 class Scripted(attribute.LanguageProvider):
     """Answers by the words around a quote."""
 
