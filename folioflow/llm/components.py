@@ -11,11 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import discard, written
 
-#: Minima that are broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest vertex reachable) of every vertex of edges (a, b) that has another neighbour than itself."""
@@ -27,7 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        small = 2 * now[0] <= BROADCAST_ROWS
+        small = 2 * now[0] <= common.BROADCAST_ROWS
 
         def minima(df: DataFrame) -> DataFrame:
             if small:

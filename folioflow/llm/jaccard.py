@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_bounds, pack, pack_counts, pack_sorted, unpack, unpack_sorted
-from .common import batch, columns, discard, mix, release, slices, small_batches, sorted_unique, tidy, words, written
+from .common import batch, columns, discard, few, mix, release, slices, small_batches, sorted_unique, tidy, words, written
 from .components import components, with_roots
-from .regions import few, region_links
+from .regions import region_links
 
 WORDS, PERCENT = 4, 85
 #: Ratio between the bounds of size annuli.
@@ -276,17 +276,20 @@ def shared_cells(blobs: DataFrame, needs: DataFrame, turns: int = 2) -> DataFram
     return members
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, size, members (sorted hashes): the set of each wanted (doc_id, key, print, node), from the text again; by key where there is no id."""
+def sets_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """node, size, members (sorted hashes): the set of each wanted (doc_id, key, print, node), once, from the text again; by key where
+    there is no id. repeated: doc_id of several rows; a task sends a set once, and the sets of those ids are reduced to one."""
     schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("members", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, sent = Hashes(), set()
         for b in batches:
             for part in slices(b, "text"):
-                nodes, prints, texts = columns(part, "node", "print", "text")
-                got = [shingles(words(t), hashes, k) for t in texts]
-                right = [(x, len(s), s.tobytes()) for x, f, s in zip(nodes, prints, got, strict=True) if fingerprint(s) == f]
+                right = []
+                for node, wants, text in zip(*columns(part, "node", "print", "text"), strict=True):
+                    if node not in sent and fingerprint(s := shingles(words(text), hashes, k)) == wants:
+                        sent.add(node)
+                        right.append((node, len(s), s.tobytes()))
                 if right:
                     yield batch(schema, *zip(*right, strict=True))
 
@@ -295,7 +298,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     if not nameless.isEmpty():
         found = docs.filter("doc_id is null").selectExpr(TEXT_KEY, "text").join(few(nameless), "key")
         texts = texts.unionByName(found.groupBy("node", "print").agg(F.any_value("text").alias("text")))
-    return written(texts.mapInArrow(tidy(task), "node long, size long, members binary"), "sets")
+    met = written(texts.mapInArrow(tidy(task), "node long, size long, members binary"), "sets")
+    twice = written(wanted.join(repeated, "doc_id", "left_semi").select("node"), "twice")
+    if twice.isEmpty():
+        return met
+    one = [F.any_value(c).alias(c) for c in ("size", "members")]
+    by = few(twice)
+    sets = written(met.join(by, "node", "left_anti").unionByName(met.join(by, "node", "left_semi").groupBy("node").agg(*one)), "sets")
+    discard(met, twice)
+    return sets
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -375,7 +386,8 @@ def placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     members = shared_cells(first_places(seen, classes), needs)
     discard(seen)
     wanted = members.select("node").distinct().join(classes.filter(F.col("node").isNotNull()), "node").select(F.col("first").alias("doc_id"), "key", "print", "node")
-    sets = sets_of(docs, written(wanted, "wanted"), words)
+    repeated = info.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    sets = sets_of(docs, written(wanted, "wanted"), repeated, words)
     roots = written(with_roots(components(links(members, needs, sets, percent))), "roots")
     discard(sets, members)
     named = roots.join(classes, "node")
@@ -419,6 +431,7 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) ->
     twice = written(counted.filter("(rows > 1 or doc_id is null) and n > 0").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept.select(*docs.columns)
+    twice = few(twice)
     kept = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
     again = with_nodes(docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi"), words)
     empty = F.col("__node") == fingerprint(np.zeros(0, np.uint64))

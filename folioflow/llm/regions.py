@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, discard, sorted_unique, tidy, written
+from .common import batch, columns, discard, few, sorted_unique, tidy, written
 from .components import local_groups
 
 #: Shingles and sets that a block, the unit that moves, holds about at most; sets of a tile, the unit of a product.
@@ -40,19 +40,12 @@ OWN_BLOCK = 1_000_000
 PIVOTS, LEVELS = 16, 8
 #: A region is parted if its parts together need at most this share of its work.
 GAIN = 0.5
-#: Rows that are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
 #: Tolerance of windows over distances in floating point; it only admits more guests.
 SLACK = 1e-9
 
 STAR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def few(table: DataFrame) -> DataFrame:
-    """The table, broadcast if it is small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def intersections(a: list[np.ndarray], b: list[np.ndarray], columns_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the intersections and unions of sorted sets. Hashes that many sets of both sides hold are counted by products of 0/1
     matrices, the others by their pairs."""
