@@ -7,8 +7,10 @@ are joined recursively from the top, passing over those whose boxes lie further
 task, where the recursion goes on in halves down to small products of double-precision matrices. A task returns link counts and a
 spanning star for each local group, never all pairs, so a cluster of copies costs rows in proportion to its size.
 
-A null, zero or non-finite vector, or one that holds a null, links with nothing and is a component of its own. Vectors link only with
-vectors of the same length. Of rows that repeat a vec_id the smallest embedding counts, once. Columns other than vec_id and embedding aren't read. An empty table gives an empty result.
+Every row is a vector of its own, whether its vec_id is null, stands in other rows, too, or neither: rows are numbered in a written table
+and linked by these numbers. A null, zero or non-finite vector, or one that holds a null, links with nothing and is a component of its own. Vectors link only with
+vectors of the same length. component_id is the smallest vec_id of a component, null where none of its rows has one; there the row of
+the least number is kept, elsewhere those that bear the component's id. Columns other than vec_id and embedding aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, columns, tidy, written
+from .common import batch, columns, few, tidy, written
 from .components import components, local_groups, with_roots
 
 #: Rows for the principal axes (they only order vectors; any axes give the same links), leading axes, vectors a block, fan-out.
@@ -190,10 +192,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, block: int = BL
     spark = vectors.sparkSession
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind = "<f4" if single else "<f8"  # single-precision components travel as such and are compared as doubles
-    every = vectors.groupBy("vec_id").agg(F.min("embedding").alias("v"))
-    every = written(every.withColumn("v", F.transform("v", lambda x: x.cast("double"))), "vectors")
+    every = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    every = written(every.withColumn("row", F.monotonically_increasing_id()), "vectors")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = every.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0.0))
+    fit = every.filter(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0.0))
+    fit = fit.select(F.col("row").alias("vec_id"), "v")
     turn = axes(fit)
     before = spark.conf.get(key)
     table = blocks(fit, turn, eps, block, kind)
@@ -203,11 +206,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, block: int = BL
         found = local_links(pairs, table, turn, cosine, eps, kind)
     finally:
         spark.conf.set(key, before)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    labels = with_roots(components(found.filter("vec_id <> root").select("vec_id", "root").distinct())).withColumnRenamed("node", "vec_id")
-    out = every.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    counts = found.groupBy(F.col("vec_id").alias("row")).agg(F.sum("n").alias("n_links"))
+    labels = written(with_roots(components(found.filter("vec_id <> root").select("vec_id", "root").distinct())).withColumnRenamed("node", "row"), "labels")
+    names = labels.join(every.select("row", "vec_id"), "row").groupBy("component").agg(F.min("vec_id").alias("component_id"), F.min("row").alias("first"))
+    named = labels.join(few(written(names, "names")), "component").select("row", F.col("component_id").alias("least"), "first")
+    out = every.select("row", "vec_id").join(counts, "row", "left").join(named, "row", "left")
+    component = F.when(F.col("first").isNull(), F.col("vec_id")).otherwise(F.col("least"))
+    kept = F.when(component.isNull(), F.col("row") == F.coalesce("first", "row")).otherwise(F.coalesce(F.col("vec_id") == component, F.lit(False)))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
@@ -215,10 +221,10 @@ def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
-l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.95 * a.n * b.n),
-r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
-SELECT u.vec_id, coalesce(k.n, 0) AS n_links, m.b AS component_id, u.vec_id = m.b AS kept
-FROM u JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = u.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = u.vec_id
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS MATERIALIZED (SELECT k, vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+l AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM u a JOIN u b ON a.k <> b.k AND list_dot_product(a.v, b.v) >= 0.95 * a.n * b.n),
+r AS (SELECT k AS a, k AS b FROM u UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
+SELECT u.vec_id, coalesce(c.n, 0) AS n_links, m.id AS component_id, u.vec_id = m.id AS kept
+FROM u JOIN (SELECT r.a, min(w.vec_id) AS id FROM r JOIN u w ON w.k = r.b GROUP BY r.a) m ON m.a = u.k LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) c ON c.x = u.k
 """
