@@ -145,25 +145,36 @@ def ask(provider: LanguageProvider, context: str, candidates: Sequence[str], kno
 
 
 def attribute_books(requests: DataFrame, speakers: DataFrame, provider: Callable[[], LanguageProvider]) -> DataFrame:
-    """project_id, seq, segment_id, speaker, confidence, answered of every candidate. A book's windows are asked in order in one task
-    and each knows the characters of those before; a failing provider fails the run."""
+    """project_id, chapter_pos, window, seq, segment_id, speaker, confidence, answered, error of every candidate. A book's windows are
+    asked in order in one task and each knows the characters of those before. Where the provider fails, one row has the window and the
+    error, and the book's later windows aren't asked; other books go on."""
     names = speakers.filter("role = 'character'").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("speaker_pos", "name"))).alias("s")).select("project_id", F.col("s.name").alias("known"))
     book = requests.join(names, "project_id", "left")
-    schema = pa.schema([("project_id", pa.string()), ("seq", pa.int64()), ("segment_id", pa.string()), ("speaker", pa.string()), ("confidence", pa.float64()), ("answered", pa.bool_())])
+    kind = "project_id string, chapter_pos int, window int, seq long, segment_id string, speaker string, confidence double, answered boolean, error string"
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in kind.split(", "))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        project, known, seen, seq = None, [], set(), 0
+        project, known, seen, seq, failed = None, [], set(), 0, False
         for b in batches:
             out = []
             for r in b.to_pylist():
-                own = own or provider()
                 if r["project_id"] != project or project is None:
-                    project, known, seq = r["project_id"], list(r["known"] or []), 0
+                    project, known, seq, failed = r["project_id"], list(r["known"] or []), 0, False
                     seen = {n.casefold() for n in known}
-                found = ask(own, r["context"], r["candidates"], known)
+                if failed:
+                    continue
+                place = project, r["chapter_pos"], r["window"]
+                try:
+                    own = own or provider()
+                    found = ask(own, r["context"], r["candidates"], known)
+                except Exception as e:  # a provider may raise anything; one book's failure is its own
+                    failed = True
+                    out.append((*place, seq, None, None, None, False, f"{type(e).__name__}: {e}"))
+                    continue
                 for c in found or [Attribution(c, None) for c in r["candidates"]]:
-                    out.append((project, seq, c.segment_id, c.speaker, c.confidence, found is not None and c.rationale != "missing"))
+                    out.append((*place, seq, c.segment_id, c.speaker, c.confidence, found is not None and c.rationale != "missing", None))
                     seq += 1
                     if c.speaker and c.speaker.casefold() not in seen:
                         seen.add(c.speaker.casefold())
@@ -172,7 +183,7 @@ def attribute_books(requests: DataFrame, speakers: DataFrame, provider: Callable
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     ordered = book.repartition("project_id").sortWithinPartitions("project_id", "chapter_pos", "window")
-    return ordered.mapInArrow(task, "project_id string, seq long, segment_id string, speaker string, confidence double, answered boolean")
+    return ordered.select("project_id", "chapter_pos", "window", "context", "candidates", "known").mapInArrow(task, kind)
 
 
 def with_defaults(requested: DataFrame, results: DataFrame) -> DataFrame:

@@ -50,6 +50,31 @@ def next_stage(projects: DataFrame) -> DataFrame:
     return todo
 
 
+def due(projects: DataFrame, stage: str) -> DataFrame:
+    """project_id of the projects whose state permits the stage: it isn't complete there, and all before it are."""
+    done = lambda name: F.coalesce(F.element_at("stage_status", F.lit(name)) == "completed", F.lit(False))
+    ready = ~done(stage)
+    for name in STAGES[: STAGES.index(stage)]:
+        ready = ready & done(name)
+    return projects.filter(ready).select("project_id")
+
+
+def marked(projects: DataFrame, stage: str, results: DataFrame) -> DataFrame:
+    """Projects with the stage marked as completed where it was; where it failed, was stopped or needs a review it has no mark. results:
+    project_id, status; projects without a result stay as they are."""
+    told = results.select("project_id", F.col("status").alias("told"))
+    others = F.map_filter(F.coalesce("stage_status", F.create_map().cast("map<string,string>")), lambda k, _: k != stage)
+    mark = F.when(F.col("told").isNull(), F.col("stage_status")).when(F.col("told") == "completed", F.map_concat(others, F.create_map(F.lit(stage), F.lit("completed")))).otherwise(others)
+    return projects.join(told, "project_id", "left").withColumn("stage_status", mark).select(*projects.columns)
+
+
+def counted(results: DataFrame) -> DataFrame:
+    """stage, status, projects, message (of the first project): how many projects ended how."""
+    order = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    rows = results.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("projects"), F.min_by("message", "project_id").alias("message"))
+    return rows.orderBy(order, "status")
+
+
 def outcome(results: DataFrame, summaries: DataFrame, until: str | None = None) -> DataFrame:
     """project_id, kind, summary of how a run ended. results: project_id, stage, status, message."""
     out = results.join(summaries.select("project_id", F.col("summary").alias("blocked")), "project_id", "left")

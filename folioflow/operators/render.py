@@ -57,8 +57,8 @@ def distinct_work(work: DataFrame, paths: DataFrame) -> DataFrame:
     return voiced.groupBy("key").agg(F.min(F.struct("text", "clip_path", "params", "audio_seed")).alias("w")).select("key", "w.*")
 
 
-def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[bytes, dict], bytes] | None = None) -> DataFrame:
-    """key, wav, error: each row's sound. `speech` makes the provider once per task; what it raises becomes the row's error. The loudness
+def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[bytes, dict], bytes] | None = None, counter=None) -> DataFrame:
+    """key, wav, error: each row's sound. counter: an accumulator of the rows done. `speech` makes the provider once per task; what it raises becomes the row's error. The loudness
     step gets the row's own settings; one that fails leaves the sound as it came."""
     schema = pa.schema([("key", pa.string()), ("wav", pa.binary()), ("error", pa.string())])
 
@@ -81,6 +81,8 @@ def rendered(work: DataFrame, speech: Callable[[], Speech], loudness: Callable[[
                     except (ValueError, ArithmeticError):
                         pass
                 out.append((r["key"], wav, error))
+                if counter is not None:
+                    counter.add(1)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
     return work.select("key", "text", "clip_path", "params", "audio_seed").mapInArrow(task, "key string, wav binary, error string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,19 +13,23 @@ from ..schema import make_id
 KEY = ("project_id", "chapter_pos", "line_pos")
 
 
-def spans(lines: DataFrame, key=KEY) -> DataFrame:
+#: What cuts a line: its text in, array<struct<text, is_quote>> out. functions.text.quote_spans is the default.
+Segmenter = Callable[[Column], Column]
+
+
+def spans(lines: DataFrame, key=KEY, segmenter: Segmenter = X.quote_spans) -> DataFrame:
     """key, seg_pos, text, is_quote."""
-    return lines.select(*key, F.posexplode(X.quote_spans("text")).alias("seg_pos", "s")).select(*key, "seg_pos", "s.*")
+    return lines.select(*key, F.posexplode(segmenter(F.col("text"))).alias("seg_pos", "s")).select(*key, "seg_pos", "s.*")
 
 
 def unattributed(lines: DataFrame, segments: DataFrame, key=KEY) -> DataFrame:
     return lines.join(segments.select(*key).distinct(), list(key), "left_anti")
 
 
-def line_segments(lines: DataFrame, narrators: DataFrame, key=KEY) -> DataFrame:
+def line_segments(lines: DataFrame, narrators: DataFrame, key=KEY, segmenter: Segmenter = X.quote_spans) -> DataFrame:
     """Segments of lines: narration is the narrator's and approved, a quote has no speaker yet and needs review.
     narrators: project_id, narrator_id."""
-    cut = spans(lines, key).join(narrators, "project_id", "left")
+    cut = spans(lines, key, segmenter).join(narrators, "project_id", "left")
     quote = F.col("is_quote")
     return cut.select(
         *key, "seg_pos", make_id("seg", *key, "seg_pos", "text").alias("segment_id"), "text",

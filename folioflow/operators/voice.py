@@ -78,9 +78,9 @@ def bulk_plan(unresolved: DataFrame, overrides: Mapping[str, str | None], defaul
 
 
 def uncovered(plan: DataFrame) -> DataFrame:
-    """project_id, category, names (in order of first place) of the speakers no clip covers."""
+    """project_id, category, names (in order of first place) of the speakers no clip covers, by project and category."""
     rows = plan.filter("clip_path is null").groupBy("project_id", "category").agg(F.array_sort(F.collect_list(F.struct("first", "name"))).alias("s"))
-    return rows.select("project_id", "category", F.col("s.name").alias("names"))
+    return rows.select("project_id", "category", F.col("s.name").alias("names")).orderBy("project_id", "category")
 
 
 def apply_bulk(plan: DataFrame, speakers: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,27 +1,35 @@
 """A corpus of books as a set of stored tables, and the six stages that bring it from books to audiobooks.
 
-A stage reads the current version of the tables, plans its work on all projects at once, and writes a new version; the old one stays
-until the new one is complete. Whether a stage is complete is taken from the data, so a segment that failed is tried again on the next
-run, and a stage that was stopped goes on where it was.
+A stage takes the projects whose state permits it: all stages before are complete there and it isn't. It plans its work on all of them at
+once and commits what it changed, how it ended for each project, and its mark, in one manifest. A project that fails, or needs a
+review, or was stopped, has no mark and waits; the others go on to the next stage. Rerun, a stage goes on where it was: lines that are
+attributed and sounds that are rendered aren't asked for again.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import FolioError, PreconditionError
+from ..errors import FolioError, PreconditionError, StoppedError
 from ..functions import text as X
 from ..operators import actions, attribute, correct, gate, render, resolve, segment, timeline, voice
-from ..schema import HALTING, STAGES, TABLES, VERSION
-from ..sources import epub, m4b, workspace
+from ..schema import STAGES, TABLES, VERSION
+from ..sources import epub, m4b
 from ..sources.audio import Loudness, normalize_wav
-from .progress import Progress
+from ..sources.store import Manifest, Store
+from .progress import Watch
+
+#: Segments that one task renders: what a stop, or a lost executor, can cost at most. Tasks of one run at most.
+A_TASK, MOST_TASKS = 16, 100_000
+#: Books read by their paths; more are read from the folder that holds all of them.
+MOST_PATHS = 200
 
 
 @dataclass
@@ -33,13 +41,38 @@ class Providers:
     dictionary: DataFrame | None = None
     clip_files: DataFrame | None = None
     encoder: m4b.Encoder = m4b.ffmpeg
+    segmenter: segment.Segmenter = X.quote_spans
 
 
 @dataclass
 class Result:
+    """How a stage, or the last stage of each project of a run, ended. projects: project_id, stage, status, message."""
+
     stage: str
-    status: str
-    message: str = ""
+    projects: DataFrame
+
+    @cached_property
+    def counts(self) -> list:
+        return gate.counted(self.projects).collect()
+
+    @property
+    def status(self) -> str:
+        """The worst there is among the projects."""
+        found = {r["status"] for r in self.counts}
+        return next((s for s in ("failed", "stopped", "needs_review") if s in found), "completed")
+
+    @property
+    def message(self) -> str:
+        return "; ".join(f"{r['projects']} {r['status']} at {r['stage']}" + f" ({r['message']})" * bool(r["message"]) for r in self.counts)
+
+
+@dataclass
+class Changes:
+    """What a stage wants to commit: tables that take the place of theirs, rows that are added, and project_id, status, message."""
+
+    results: DataFrame
+    replace: dict[str, DataFrame] = field(default_factory=dict)
+    append: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -48,98 +81,110 @@ class Corpus:
     path: str
     providers: Providers = field(default_factory=Providers)
     config: Config = field(default_factory=Config)
-    progress: Progress = field(default_factory=Progress)
+    watch: Watch = field(default_factory=Watch)
+    _kept: list[str] = field(default_factory=list, init=False, repr=False)
 
     # --- storage ---
 
-    def tables(self) -> dict[str, DataFrame]:
-        found = workspace.load_tables(self.spark, self.path)
-        return {n: found[n] if n in found else self.empty(n) for n in TABLES}
+    @cached_property
+    def store(self) -> Store:
+        return Store(self.spark, self.path, TABLES)
+
+    def tables(self, at: Manifest | None = None) -> dict[str, DataFrame]:
+        """The tables as the last manifest, or a given one, has them; the next save starts from it."""
+        self._base = at or self.store.current()
+        return {n: self.store.table(self._base, n) for n in TABLES}
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])
 
     def kept(self, df: DataFrame) -> DataFrame:
-        """A provider's answers, written before anything reads them: asked again, after an executor is lost, it may answer differently."""
-        path = f"{self.path}/answers/{uuid.uuid4().hex}"
+        """Rows that must not be computed twice, as a provider's answers, which may differ when asked for again: written before anything
+        reads them."""
+        path = self._new_path()
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.kept_at = path
-        return out
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _new_path(self) -> str:
+        self._kept.append(f"{self.path}/answers/{uuid.uuid4().hex}")
+        return self._kept[-1]
 
-    def forget(self, kept: DataFrame) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def forget(self) -> None:
+        """Removes what was kept; after a commit nothing reads it."""
+        for path in self._kept:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._kept.clear()
 
-    def save(self, **changed: DataFrame) -> None:
-        """Writes a new version: the changed tables and all others as they are."""
-        workspace.save_tables({**self.tables(), **changed}, self.path)
+    def save(self, append: Mapping[str, DataFrame] | None = None, **replace: DataFrame) -> Manifest:
+        """Commits tables made from the last tables(). Refused if another writer has replaced one of them meanwhile."""
+        self._base = self.store.commit(getattr(self, "_base", None) or self.store.current(), replace, append)
+        return self._base
 
     def create(self, ebooks: str) -> None:
-        """Projects for the books below a folder; books that can't be parsed have no project but a row in `broken`."""
-        books = epub.read_books(self.spark, ebooks, strict=False)
-        made = books.filter("error is null").groupBy("project_id").agg(F.min("title").alias("title"), F.min("author").alias("author"), F.min("path").alias("p"))
+        """A project for each book below a folder that has none yet. Nothing is read but names: a book is parsed by its first stage."""
+        t = self.tables()
+        books = epub.book_files(self.spark, ebooks).join(t["projects"].select("project_id"), "project_id", "left_anti")
         params = X.canonical_params(self.config.project_params())
-        projects = made.select("project_id", F.lit(VERSION).alias("schema_version"), F.col("title").alias("name"), F.lit(self.path).alias("workspace_dir"), "title", "author", F.col("p").alias("source_ebook_path"), F.lit(None).cast("string").alias("cover_image_path"), F.create_map().cast("map<string,string>").alias("stage_status"), F.lit(params).alias("tts_params"))
-        none = {n: self.empty(n) for n in ("chapters", "lines", "segments", "suggestions", "speakers", "voice_clips")}
-        workspace.save_tables({"projects": projects, **none}, self.path)
+        name = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+        none = F.lit(None).cast("string")
+        made = books.select("project_id", F.lit(VERSION).alias("schema_version"), name.alias("name"), F.lit(self.path).alias("workspace_dir"), name.alias("title"), none.alias("author"), F.col("path").alias("source_ebook_path"), none.alias("cover_image_path"), F.create_map().cast("map<string,string>").alias("stage_status"), F.lit(params).alias("tts_params"))
+        self.save(append={"projects": made})
 
     # --- stages ---
 
-    def parse(self) -> Result:
-        t = self.tables()
-        todo = t["projects"].join(t["chapters"].select("project_id").distinct(), "project_id", "left_anti")
-        if todo.isEmpty():
-            return Result("parse", "completed")
-        folders = sorted({r["f"] for r in todo.select(F.regexp_replace("source_ebook_path", "/[^/]*$", "").alias("f")).distinct().collect()})
-        books = None
-        for f in folders:  # a corpus has few folders, each with many books
-            one = epub.read_books(self.spark, f, strict=False)
-            books = one if books is None else books.unionByName(one)
-        books = books.join(todo.select("project_id"), "project_id", "left_semi")
-        chapters, lines = epub.book_tables(books)
-        silent = epub.silent_books(books)
-        self.save(projects=epub.merged_metadata(t["projects"], books), chapters=t["chapters"].unionByName(chapters), lines=t["lines"].unionByName(lines))
-        n = silent.count()
-        return Result("parse", "failed" if n else "completed", f"{n} books have no text" if n else "books parsed")
-
-    def correct(self) -> Result:
-        t = self.tables()
+    def _books(self, todo: DataFrame) -> DataFrame:
+        """The parsed books of projects. A few are read by their paths, more from the folder above all of them."""
+        paths = [r[0] for r in todo.select("source_ebook_path").limit(MOST_PATHS + 1).collect()]
+        if len(paths) <= MOST_PATHS:
+            return epub.read_books(self.spark, paths, strict=False)
+        ends = todo.agg(F.min("source_ebook_path").alias("a"), F.max("source_ebook_path").alias("b")).first()
+        same = next((i for i, (x, y) in enumerate(zip(ends["a"], ends["b"], strict=False)) if x != y), len(ends["a"]))
+        books = epub.read_books(self.spark, ends["a"][:same].rsplit("/", 1)[0], strict=False)
+        return books.join(todo.select("project_id"), "project_id", "left_semi")
+
+    def _parse(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
+        open_ = t["projects"].join(todo, "project_id", "left_semi").join(t["chapters"].select("project_id").distinct(), "project_id", "left_anti")
+        books = self.kept(self._books(open_))  # parsed once; all that follows reads what was found
+        told = epub.book_results(books, open_.select("project_id"))
+        good = books.join(told.filter("status = 'completed'"), "project_id", "left_semi")
+        chapters, lines = epub.book_tables(good)
+        results = told.unionByName(all_of(todo.join(open_, "project_id", "left_anti"), "completed", ""))
+        return Changes(results, {"projects": epub.merged_metadata(t["projects"], good)}, {"chapters": chapters, "lines": lines})
+
+    def _correct(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
         if self.providers.dictionary is None:
-            return Result("correct", "completed", "no dictionary, nothing corrected")
-        todo = correct.uncorrected(t["lines"], t["suggestions"])
-        protected = correct.protected_words(t["lines"], t["speakers"])
-        found = correct.candidates(todo, self.providers.dictionary, protected)
-        lines, made = correct.apply_candidates(t["lines"], found)
-        self.save(lines=lines, suggestions=t["suggestions"].unionByName(made.select(*t["suggestions"].columns)))
-        return Result("correct", "completed", "lines corrected")
-
-    def attribute(self) -> Result:
-        t = self.tables()
-        speakers = resolve.with_narrators(t["speakers"], t["projects"])
+            return Changes(all_of(todo, "completed", "no dictionary, nothing corrected"))
+        own = t["lines"].join(todo, "project_id", "left_semi")
+        protected = correct.protected_words(own, t["speakers"].join(todo, "project_id", "left_semi"))
+        found = correct.candidates(correct.uncorrected(own, t["suggestions"]), self.providers.dictionary, protected)
+        lines, made = correct.apply_candidates(t["lines"], self.kept(found))
+        return Changes(all_of(todo, "completed", "lines corrected"), {"lines": lines}, {"suggestions": made})
+
+    def _attribute(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
+        speakers = resolve.with_narrators(t["speakers"], t["projects"].join(todo, "project_id", "left_semi"))
         narrators = resolve.narrators(speakers).select("project_id", "narrator_id")
-        todo = segment.unattributed(t["lines"], t["segments"])
-        new = segment.line_segments(todo, narrators)
+        lines = segment.unattributed(t["lines"].join(todo, "project_id", "left_semi"), t["segments"])
+        new = segment.line_segments(lines, narrators, segmenter=self.providers.segmenter)
         if new.isEmpty():
-            return Result("attribute", "completed")
+            return Changes(all_of(todo, "completed", ""))
         if self.providers.language is None or not self.providers.language().is_available():
-            return Result("attribute", "failed", "no language provider")
-        requests = attribute.contexts(new, todo)
-        answers = attribute.attribute_books(requests, speakers, self.providers.language)
-        answers = self.kept(answers)
-        try:
-            wanted = new.filter("review_status = 'needs_review'").select("project_id", "segment_id")
-            told = attribute.with_defaults(wanted, answers.filter("answered"))
-            order = answers.select("project_id", "segment_id", F.col("seq").alias("pos"))
-            mentions = told.join(order, ["project_id", "segment_id"], "left")
-            named, every = resolve.resolve_names(mentions, speakers)
-            made = attribute.apply_attributions(new, named)
-            segments = t["segments"].unionByName(made.select(*[F.col(c).cast(t["segments"].schema[c].dataType) for c in t["segments"].columns]))
-            every = attribute.classify_speakers(every, segments, self.providers.language)
-            self.save(segments=segments, speakers=every)
-        finally:
-            self.forget(answers)
-        return Result("attribute", "completed", "quotes attributed")
+            open_ = lines.select("project_id").distinct()
+            return Changes(all_of(todo.join(open_, "project_id", "left_anti"), "completed", "").unionByName(all_of(open_, "failed", "no language provider")))
+        answers = self.kept(attribute.attribute_books(attribute.contexts(new, lines), speakers, self.providers.language))
+        broken = answers.filter("error is not null").groupBy("project_id").agg(F.min(F.struct("chapter_pos", "window")).alias("end"), F.min("error").alias("message"))
+        # What a book was asked before its provider failed stays.
+        reached = attribute.windows(lines).join(broken, "project_id", "left").filter(F.col("end").isNull() | (F.struct("chapter_pos", "window") < F.col("end")))
+        new = new.join(reached.select(*segment.KEY), list(segment.KEY), "left_semi")
+        wanted = new.filter("review_status = 'needs_review'").select("project_id", "segment_id")
+        told = attribute.with_defaults(wanted, answers.filter("answered"))
+        order = answers.filter("segment_id is not null").select("project_id", "segment_id", F.col("seq").alias("pos"))
+        named, every = resolve.resolve_names(told.join(order, ["project_id", "segment_id"], "left"), speakers)
+        made = attribute.apply_attributions(new, named)
+        every = self.kept(attribute.classify_speakers(every, t["segments"].unionByName(made.select(*t["segments"].columns)), self.providers.language))
+        fine = todo.join(broken, "project_id", "left_anti")
+        results = all_of(fine, "completed", "quotes attributed").unionByName(broken.select("project_id", F.lit("failed").alias("status"), "message"))
+        return Changes(results, {"speakers": every}, {"segments": made})
 
     def blockers(self, t: dict[str, DataFrame] | None = None) -> DataFrame:
         t = t or self.tables()
@@ -148,50 +193,70 @@ class Corpus:
     def clip_files(self) -> DataFrame:
         return self.providers.clip_files if self.providers.clip_files is not None else self.spark.createDataFrame([], "path string")
 
-    def review(self) -> Result:
-        open_ = gate.summary(self.blockers()).filter("not complete")
-        n = open_.count()
-        return Result("review", "needs_review", f"{n} projects: {open_.first()['summary']}") if n else Result("review", "completed", "review complete")
+    def _review(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
+        told = gate.summary(self.blockers(t)).join(todo, "project_id", "left_semi")
+        return Changes(told.select("project_id", F.when(F.col("complete"), "completed").otherwise("needs_review").alias("status"), F.when(F.col("complete"), "review complete").otherwise(F.col("summary")).alias("message")))
 
-    def synthesize(self) -> Result:
-        t = self.tables()
+    def _synthesize(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
         if self.providers.speech is None:
-            return Result("synthesize", "failed", "no speech provider")
-        missing = voice.unresolved_voices(t["segments"], t["speakers"], t["voice_clips"], self.clip_files())
-        if not missing.isEmpty():
-            return Result("synthesize", "failed", "assign voices first: " + ", ".join(r["name"] for r in missing.orderBy("project_id", "first").limit(5).collect()))
+            return Changes(all_of(todo, "failed", "no speech provider"))
+        missing = voice.unresolved_voices(t["segments"].join(todo, "project_id", "left_semi"), t["speakers"], t["voice_clips"], self.clip_files())
+        names = F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"])
+        unvoiced = missing.groupBy("project_id").agg(F.concat(F.lit("assign voices first: "), X.named_few(names)).alias("message"))
+        unvoiced = self.kept(unvoiced.select("project_id", F.lit("failed").alias("status"), "message"))
+        voiced = todo.join(unvoiced, "project_id", "left_anti")
+        own = t["segments"].join(voiced, "project_id", "left_semi")
         params = t["projects"].select("project_id", F.col("tts_params").alias("params"))
+        work = self.kept(render.worklist(own, t["speakers"], params, t["audio"].select("cache_key")))
+        results, stopped = self._rendered(render.distinct_work(work, voice.clip_paths(t["speakers"], t["voice_clips"], self.clip_files())))
+        made = results.filter("error is null").select(F.col("key").alias("cache_key"), X.audio_path("key").alias("path"), "wav")
+        told = work.join(results.select("key").distinct(), "key", "left_semi") if stopped else work
+        segments = render.stamped(t["segments"], told, results)
+        ends = render.outcome(segments.join(voiced, "project_id", "left_semi"))
+        open_ = work.join(results.select("key"), "key", "left_anti").select("project_id").distinct().withColumn("open", F.lit(stopped))
+        ends = voiced.join(ends, "project_id", "left").join(open_, "project_id", "left")
+        status = F.when(F.col("open"), "stopped").otherwise(F.coalesce("status", F.lit("completed")))
+        message = F.when(F.col("open"), "stopped").when(F.col("status") == "failed", "all segments failed to synthesize").otherwise("segments synthesized")
+        return Changes(unvoiced.unionByName(ends.select("project_id", status.alias("status"), message.alias("message"))), {"segments": segments}, {"audio": made})
+
+    def _rendered(self, work: DataFrame) -> tuple[DataFrame, bool]:
+        """key, wav, error of the work done, and whether it was stopped. A task's sounds are in place when it ends, whatever becomes of
+        the others."""
 
         def loud(wav: bytes, settings: dict) -> bytes:
             s = Loudness.from_params(settings)
             return normalize_wav(wav, s) if s else wav
 
-        _, results = render.synthesize(t["segments"], t["speakers"], t["voice_clips"], self.clip_files(), params, t["audio"].select("cache_key"), self.providers.speech, loud)
-        results = self.kept(results)
-        segments = render.stamped(t["segments"], render.worklist(t["segments"], t["speakers"], params, t["audio"].select("cache_key")), results)
+        work = self.kept(work)
+        n = work.count()
+        tasks = max(1, min(-(-n // A_TASK), MOST_TASKS))
+        rows = render.rendered(work.repartition(tasks), self.providers.speech, loud, self.watch.counter(self.spark, n))
+        path = self._new_path()
+        write = rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        stopped = False
         try:
-            new = results.filter("error is null").select(F.col("key").alias("cache_key"), X.audio_path("key").alias("path"), "wav")
-            self.save(segments=segments, audio=t["audio"].join(new.select("cache_key"), "cache_key", "left_anti").unionByName(new))
-        finally:
-            self.forget(results)
-        bad = render.outcome(self.tables()["segments"]).filter("status = 'failed'")
-        return Result("synthesize", "completed" if bad.isEmpty() else "failed", "segments synthesized" if bad.isEmpty() else "all segments failed to synthesize")
-
-    def assemble(self, folder: str | None = None) -> Result:
-        t = self.tables()
-        missing = render.unrendered(t["segments"], t["audio"].select("cache_key"))
-        if not missing.isEmpty():
-            said = render.unrendered_names(missing, t["chapters"]).first()["said"]
-            return Result("assemble", "failed", f"not rendered: {said}")
+            self.watch.run(self.spark, "synthesize", lambda: write.parquet(path))
+        except StoppedError:
+            stopped = True
+            self.spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)  # there may be no file at all
+        return self.spark.read.schema(rows.schema).parquet(path), stopped
+
+    def _assemble(self, t: dict[str, DataFrame], todo: DataFrame, folder: str | None = None) -> Changes:
+        missing = render.unrendered(t["segments"].join(todo, "project_id", "left_semi"), t["audio"].select("cache_key"))
+        said = render.unrendered_names(missing, t["chapters"]).select("project_id", F.lit("failed").alias("status"), F.concat(F.lit("not rendered: "), "said").alias("message"))
+        said = self.kept(said)
+        books = todo.join(said, "project_id", "left_anti")
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, "16")  # a row may hold a sound of some megabytes
         try:
-            made = m4b.assemble_books(self.manifests(t), folder or f"{self.path}/output", self.providers.encoder, self.sounds(t))
-            errors = [r["error"] for r in made.filter("error is not null").orderBy("project_id").limit(5).collect()]
+            listed = self.manifests(t).join(books, "project_id", "left_semi")
+            made = self.kept(m4b.assemble_books(listed, folder or f"{self.path}/output", self.providers.encoder, self.sounds(t).join(books, "project_id", "left_semi")))
         finally:
             self.spark.conf.set(key, before)
-        return Result("assemble", "failed" if errors else "completed", errors[0] if errors else "audiobooks written")
+        told = books.join(made, "project_id", "left")
+        ok = F.col("output").isNotNull()
+        return Changes(said.unionByName(told.select("project_id", F.when(ok, "completed").otherwise("failed").alias("status"), F.when(ok, "audiobook written").otherwise(F.coalesce("error", F.lit("there is nothing to play"))).alias("message"))))
 
     def sounds(self, t: dict[str, DataFrame]) -> DataFrame:
         """project_id, path, wav of what each book plays."""
@@ -199,34 +264,82 @@ class Corpus:
         return used.join(t["audio"].select("cache_key", "path", "wav"), "cache_key").select("project_id", "path", "wav")
 
     def manifests(self, t: dict[str, DataFrame]) -> DataFrame:
-        """project_id, title, listing, metadata, cover_image_path of each book."""
+        """project_id, title, author, listing, metadata, cover_image_path of each book."""
         sounds = t["audio"].select(F.col("cache_key").alias("audio_cache_key"), "path", "wav")
         durations = wav_durations(sounds)
         s = t["segments"].join(durations, "audio_cache_key", "left")
         s = s.withColumns({"line_silence": timeline.silence_name(F.lit(timeline.LINE_GAP), F.col("rate"), F.col("channels"), F.col("width")), "chapter_silence": timeline.silence_name(F.lit(timeline.CHAPTER_GAP), F.col("rate"), F.col("channels"), F.col("width"))})
         listing = timeline.concat_list(timeline.playlist(s, t["chapters"]))
         marks = timeline.chapter_markers(timeline.chapter_lengths(t["chapters"], s))
-        return t["projects"].select("project_id", "title", "cover_image_path").join(timeline.ffmetadata(marks, t["projects"]), "project_id").join(listing, "project_id")
+        return t["projects"].select("project_id", "title", "author", "cover_image_path").join(timeline.ffmetadata(marks, t["projects"]), "project_id").join(listing, "project_id")
 
     # --- running ---
 
+    def stage(self, name: str, only: DataFrame | None = None, **options) -> Result:
+        """One stage for the projects `only` (project_id), all by default, in whatever state they are."""
+        t = self.tables()
+        base = self._base
+        wanted = (t["projects"] if only is None else only).select("project_id").distinct()
+        todo = self.kept(wanted)
+
+        def work() -> None:
+            changes = getattr(self, f"_{name}")(t, todo, **options)
+            self._commit(base, t, name, changes)
+
+        try:
+            if name == "synthesize":  # watches its own jobs, and commits what was done before a stop
+                work()
+            else:
+                self.watch.run(self.spark, name, work)
+        except FolioError as e:
+            told = all_of(todo, "stopped" if isinstance(e, StoppedError) else "failed", str(e))
+            self._commit(base, t, name, Changes(told))
+        finally:
+            self.forget()
+        return Result(name, self.tables()["stage_results"].filter(F.col("stage") == name).join(wanted, "project_id", "left_semi"))
+
+    def _commit(self, base: Manifest, t: dict[str, DataFrame], name: str, changes: Changes) -> None:
+        results = self.kept(changes.results.select("project_id", F.lit(name).alias("stage"), "status", "message"))
+        others = t["stage_results"].join(results.select("project_id", "stage"), ["project_id", "stage"], "left_anti")
+        replace = {"projects": t["projects"], **changes.replace}
+        replace["projects"] = gate.marked(replace["projects"], name, results)
+        replace["stage_results"] = others.unionByName(results)
+        self._base = self.store.commit(base, replace, changes.append)
+
+    def parse(self, only: DataFrame | None = None) -> Result:
+        return self.stage("parse", only)
+
+    def correct(self, only: DataFrame | None = None) -> Result:
+        return self.stage("correct", only)
+
+    def attribute(self, only: DataFrame | None = None) -> Result:
+        return self.stage("attribute", only)
+
+    def review(self, only: DataFrame | None = None) -> Result:
+        return self.stage("review", only)
+
+    def synthesize(self, only: DataFrame | None = None) -> Result:
+        return self.stage("synthesize", only)
+
+    def assemble(self, folder: str | None = None, only: DataFrame | None = None) -> Result:
+        return self.stage("assemble", only, folder=folder)
+
     def run(self, until: str | None = None) -> Result:
-        """The stages in order, up to one that halts or to `until`."""
-        last = Result(STAGES[-1], "completed")
+        """All stages in order, or those up to `until`, each for the projects whose state permits it by then. The result has the last stage
+        that each project was in; projects with nothing left to do aren't in it."""
+        last: DataFrame | None = None
         for name in STAGES:
-            if self.progress.should_stop():
-                return Result(name, "stopped", "stopped")
-            self.progress.message(name)
-            try:
-                last = getattr(self, name)()
-            except FolioError as e:
-                last = Result(name, "failed", str(e))
-            t = self.tables()
-            mark = F.map_concat(F.map_filter(F.coalesce("stage_status", F.create_map().cast("map<string,string>")), lambda k, _: k != name), F.create_map(F.lit(name), F.lit(last.status)))
-            self.save(projects=t["projects"].withColumn("stage_status", mark))
-            if last.status in HALTING or name == until:
-                return last
-        return last
+            due = gate.due(self.tables()["projects"], name)
+            if not due.isEmpty():
+                told = self.stage(name, due).projects
+                last = told if last is None else last.join(told, "project_id", "left_anti").unionByName(told)
+            if name == until or self.watch.asked.is_set():
+                break
+        return Result(until or STAGES[-1], last if last is not None else self.empty("stage_results"))
+
+    def expire(self, keep: int = 5, older_than_s: float = 86_400) -> list[str]:
+        """Drops old versions, and what stages have kept for themselves, after as long as a stage may run."""
+        return self.store.expire(keep, older_than_s)
 
     def auto_accept(self) -> None:
         t = self.tables()
@@ -240,7 +353,14 @@ class Corpus:
         try:
             if plan.isEmpty():
                 raise PreconditionError("every speaker has a voice")
+            # A row for each category, with some of the names of one project.
+            bare = voice.uncovered(plan).groupBy("category").agg(X.named_few(F.min("names")).alias("names")).orderBy("category").collect()
+            if bare:
+                said = "; ".join(f"{r['category']} (speakers: {r['names']})" for r in bare)
+                options = [f"--{r['category']}" for r in bare if r["category"] != "unknown"]
+                raise PreconditionError(f"no clip for categories: {said}; pass {' / '.join([*options, '--default'])}")
             speakers, clips, counts = voice.apply_bulk(plan, t["speakers"], t["voice_clips"])
+            counts = counts.groupBy("category").agg(F.sum("assigned").alias("assigned")).orderBy("category")
             counts = self.spark.createDataFrame(counts.collect(), counts.schema)
             self.save(speakers=speakers, voice_clips=clips, projects=actions.stale(t["projects"], plan.select("project_id"), actions.AUDIO))
         finally:
@@ -248,6 +368,10 @@ class Corpus:
         return counts
 
 
+def all_of(projects: DataFrame, status: str, message: str) -> DataFrame:
+    return projects.select("project_id", F.lit(status).alias("status"), F.lit(message).alias("message"))
+
+
 def wav_durations(sounds: DataFrame) -> DataFrame:
     """audio_cache_key, path, duration, rate, channels, width."""
     import pyarrow as pa

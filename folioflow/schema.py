@@ -30,7 +30,9 @@ VOICE_CLIPS = "project_id string, clip_pos int, voice_clip_id string, source_pat
 #: What sources.audio.read_audio gives.
 AUDIO_FILES = "cache_key string, path string, sample_rate int, channels int, sample_width int, frames long"
 AUDIO = "cache_key string, path string, wav binary"
-TABLES = {"projects": PROJECTS, "chapters": CHAPTERS, "lines": LINES, "segments": SEGMENTS, "suggestions": SUGGESTIONS, "speakers": SPEAKERS, "voice_clips": VOICE_CLIPS, "audio": AUDIO}
+#: How the last run of each stage ended for a project.
+STAGE_RESULTS = "project_id string, stage string, status string, message string"
+TABLES = {"projects": PROJECTS, "chapters": CHAPTERS, "lines": LINES, "segments": SEGMENTS, "suggestions": SUGGESTIONS, "speakers": SPEAKERS, "voice_clips": VOICE_CLIPS, "audio": AUDIO, "stage_results": STAGE_RESULTS}
 
 #: Reading order within a project.
 READING = ("chapter_pos", "line_pos", "seg_pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -129,28 +130,55 @@ def parser_for(path: str) -> Parser:
     return PARSERS[suffix]
 
 
-def read_books(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """A row per chapter: project_id, path, title, author, chapter_pos, chapter_title, lines, error. One task reads a file at a time. With
-    `strict` a broken book fails the query; otherwise it is a row with its error and no chapter."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    schema = pa.schema([("path", pa.string()), ("title", pa.string()), ("author", pa.string()), ("chapter_pos", pa.int32()), ("chapter_title", pa.string()), ("lines", pa.list_(pa.string())), ("error", pa.string())])
+_NAMES = {"pathGlobFilter": "*.[eE][pP][uU][bB]", "recursiveFileLookup": "true"}
+
+
+def book_files(spark: SparkSession, path: str) -> DataFrame:
+    """project_id, path of the books below a folder; only their names are read."""
+    files = spark.read.format("binaryFile").options(**_NAMES).load(path).select("path")
+    return files.select(make_id("prj", "path").alias("project_id"), "path")
+
+
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of a few paths that exist, spelt so that no character of them is a wildcard."""
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p, x in zip(paths, at, strict=True) if x.getFileSystem(conf).exists(x)]
+
+
+BOOK_ROWS = "path string, title string, author string, chapter_pos int, chapter_title string, lines array<string>, error string"
+
+
+def read_books(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """The rows of parsed_books for the books below a folder, or for a few given files (those missing have no row), and project_id."""
+    if isinstance(path, list) and not (path := _there(spark, path)):
+        return spark.createDataFrame([], BOOK_ROWS).withColumn("project_id", make_id("prj", "path"))
+    files = spark.read.format("binaryFile").options(**_NAMES).load(path).select("path", "content")
+    return parsed_books(files, strict).withColumn("project_id", make_id("prj", "path"))
+
+
+def parsed_books(files: DataFrame, strict: bool = True) -> DataFrame:
+    """A row per chapter of the books in files (path, content): path, title, author, chapter_pos, chapter_title, lines, error. Every book
+    has a row: one without any chapter has one with neither chapter nor error, a broken one (unless `strict`, when it fails the query)
+    one with its error. A book is parsed in one piece; Spark packs files into tasks by their bytes."""
+    types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in BOOK_ROWS.split(", "))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 stem = posixpath.splitext(posixpath.basename(unquote(name)))[0]
                 try:
-                    book = parser_for(name)(content.as_py(), stem)
+                    book = parser_for(name)(content.as_py() or b"", stem)
                     rows = [(name, book.title, book.author, c.position - 1, c.title, c.lines, None) for c in book.chapters]
+                    rows = rows or [(name, book.title, book.author, None, None, None, None)]
                 except EbookParseError as e:
                     if strict:
                         raise
                     rows = [(name, stem, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    out = files.mapInArrow(task, "path string, title string, author string, chapter_pos int, chapter_title string, lines array<string>, error string")
-    return out.withColumn("project_id", make_id("prj", "path"))
+    return files.select("path", "content").mapInArrow(task, BOOK_ROWS)
 
 
 def page_lines(pages: DataFrame, html: str = "html", implied_close: bool = False) -> DataFrame:
@@ -189,6 +217,16 @@ def silent_books(books: DataFrame) -> DataFrame:
     return books.groupBy("project_id").agg(F.coalesce(F.sum(F.size(F.coalesce("lines", F.array().cast("array<string>")))), F.lit(0)).alias("n")).filter("n = 0").select("project_id")
 
 
+def book_results(books: DataFrame, wanted: DataFrame) -> DataFrame:
+    """project_id, status, message of parsing: a broken book has failed, one without a line, too, and one without a file."""
+    n = F.sum(F.size(F.coalesce("lines", F.array().cast("array<string>"))))
+    found = books.groupBy("project_id").agg(F.max("error").alias("error"), n.alias("n"))
+    message = F.when(F.col("n").isNull(), "the book's file is missing").when(F.col("error").isNotNull(), F.col("error")).when(F.col("n") == 0, "the book has no text").otherwise("book parsed")
+    out = wanted.join(found, "project_id", "left").withColumn("message", message)
+    good = F.coalesce((F.col("n") > 0) & F.col("error").isNull(), F.lit(False))
+    return out.select("project_id", F.when(good, "completed").otherwise("failed").alias("status"), "message")
+
+
 def merged_metadata(projects: DataFrame, books: DataFrame) -> DataFrame:
     """Projects with the parsed title and author where there are any."""
     new = books.groupBy("project_id").agg(F.min("title").alias("t"), F.min("author").alias("a"))

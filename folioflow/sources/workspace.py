@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from ..errors import SerializationError, WorkspaceError
 from ..functions.text import canonical_params
-from ..schema import CATEGORIES, ROLES, STATUSES, STORED, TABLES, VERSION, check_version, require_values
+from ..schema import CATEGORIES, ROLES, STATUSES, STORED, VERSION, check_version, require_values
 
 
 def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the projects stored under path, one JSON document a file. Older versions are brought up: what they lack gets its
+    """The tables of the projects stored under path, one JSON document a file."""
+    return project_tables(spark.read.text(path, wholetext=True))
+
+
+def project_tables(raw: DataFrame) -> dict[str, DataFrame]:
+    """The tables of projects, a JSON document of any version in each value. Older versions are brought up: what they lack gets its
     default where it is null. A document out of form, of another version or with an unknown enumeration value fails the query."""
-    raw = spark.read.text(path, wholetext=True)
     # Speech settings may hold anything: they stay JSON text.
     params = F.get_json_object("value", "$.tts_params")
     doc = raw.select(F.from_json("value", STORED, {"mode": "FAILFAST"}).alias("d"), params.alias("params"), F.get_json_object("value", "$.schema_version").alias("v"))
@@ -75,44 +79,6 @@ def export(t: dict[str, DataFrame], path: str) -> None:
     documents(t).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def save_tables(t: dict[str, DataFrame], path: str) -> None:
-    """The tables as Parquet under a new version of path; a pointer names it last, so a reader sees the old state or the new one."""
-    spark = next(iter(t.values())).sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(hadoop)
-    old = _current(spark, path)
-    new = 0 if old is None else old + 1
-    for name, df in t.items():
-        df.write.mode("overwrite").parquet(f"{path}/v{new}/{name}")
-    tmp, final = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_current.{new}", f"current-{new:09d}"))
-    fs.create(tmp, True).close()
-    if not fs.rename(tmp, final):
-        raise WorkspaceError(f"{path}: version {new} can't be named current")
-
-
-def _current(spark: SparkSession, path: str) -> int | None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return max((int(n.removeprefix("current-")) for n in names if n.startswith("current-")), default=None)
-
-
-def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    now = _current(spark, path)
-    if now is None:
-        raise WorkspaceError(f"{path}: nothing is stored here")
-    return {n: spark.read.schema(s).parquet(f"{path}/v{now}/{n}") for n, s in TABLES.items() if _exists(spark, f"{path}/v{now}/{n}")}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def migrate(stored: dict) -> dict:
     """One stored project, brought to the current version; values that are there stay."""
     if "schema_version" not in stored:
