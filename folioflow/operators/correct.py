@@ -21,6 +21,8 @@ AUTO, JOIN, LOOKALIKE, SPELLING = 0.99, 0.5, 0.4, 0.7
 CONFUSIONS = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("l", "i"), ("i", "l"))
 #: l and i are only swapped in words of this length.
 LONG_ENOUGH = 4
+#: Letters of a word's beginning by which words of like spelling meet.
+PREFIX = 10
 
 
 def protected_words(lines: DataFrame, speakers: DataFrame | None = None, least: int = 2, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
@@ -34,10 +36,12 @@ def protected_words(lines: DataFrame, speakers: DataFrame | None = None, least:
 
 
 def first_tokens(lines: DataFrame, tokens, key=KEY) -> DataFrame:
-    """key, pos, token, word: of each word of a line, in whatever case, its first token."""
-    each = lines.select(*key, F.posexplode(tokens("text")).alias("pos", "token")).withColumn("word", X.fold("token"))
-    first = Window.partitionBy(*key, "word").orderBy("pos")
-    return each.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    """key, pos, token, word: of each word of a line, in whatever case, its first token. Found within the line: its tokens sorted by word
+    and place, the first of each word kept; nothing is shuffled."""
+    each = lines.select(*key, F.transform(tokens("text"), lambda t, i: F.struct(X.fold(t).alias("word"), i.alias("pos"), t.alias("token"))).alias("all"))
+    each = each.select(*key, F.array_sort("all").alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["word"] != x["word"]))
+    return each.select(*key, F.inline(first)).select(*key, "pos", "token", "word")
 
 
 def not_in(df: DataFrame, words: DataFrame, on: tuple[str, ...]) -> DataFrame:
@@ -60,9 +64,10 @@ def dehyphenation_candidates(lines: DataFrame, dictionary: DataFrame, protected:
     each = lines.select(*key, F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("original", "l", "r"), strict=True)])).alias("pos", "m")).select(*key, "pos", "m.*")
     each = each.withColumns({"suggested": F.concat("l", "r"), "word": X.fold(F.concat("l", "r"))})
     each = unprotected(each.join(dictionary, "word", "left_semi"), protected)
-    known = lambda side: dictionary.select(F.col("word").alias(f"{side}w"), F.lit(True).alias(f"{side}_known"))
-    each = each.join(known("l"), X.fold("l") == F.col("lw"), "left").join(known("r"), X.fold("r") == F.col("rw"), "left")
-    each = each.filter(~(F.coalesce("l_known", F.lit(False)) & F.coalesce("r_known", F.lit(False))))
+    # The dictionary is dealt out once for all three joins: its columns differ in name only.
+    each = each.withColumns({"lf": X.fold("l"), "rf": X.fold("r")})
+    each = each.join(dictionary.select(F.col("word").alias("lw")), F.col("lf") == F.col("lw"), "left")
+    each = each.join(dictionary.select(F.col("word").alias("rw")), F.col("rf") == F.col("rw"), "left").filter("lw is null or rw is null")
     return each.select(*key, F.lit(1).alias("kind"), "pos", "original", "suggested", F.lit("ocr-artifact").alias("reason"), F.lit(JOIN).alias("confidence"), F.lit(False).alias("auto"))
 
 
@@ -81,19 +86,21 @@ def confusion_variants(token: str = "token"):
 def confusion_candidates(lines: DataFrame, dictionary: DataFrame, protected: DataFrame | None = None, key=KEY) -> DataFrame:
     """The first swap of a look-alike that makes an unknown word a known one."""
     each = first_tokens(lines, X.ocr_tokens, key).filter(F.length("token") >= 3)
-    each = unprotected(not_in(each, dictionary, ("word",)), protected)
-    # Each form is tried once, however many lines hold it.
+    # Each form is looked up and tried once, however many lines hold it.
     by = [] if protected is None else [x for x in protected.columns if x != "word"]
-    tried = each.select(*by, "token").distinct().select(*by, F.col("token").alias("original"), F.explode(confusion_variants()).alias("v")).select(*by, "original", "v.*", X.fold("v.fixed").alias("word"))
+    unknown = unprotected(not_in(each.select(*by, "token", "word").distinct(), dictionary, ("word",)), protected)
+    tried = unknown.select(*by, F.col("token").alias("original"), F.explode(confusion_variants()).alias("v")).select(*by, "original", "v.*", X.fold("v.fixed").alias("word"))
     good = unprotected(tried.join(dictionary, "word", "left_semi"), protected)
     fixed = good.groupBy(*by, "original").agg(F.min_by("fixed", F.struct("rank", "at")).alias("suggested"))
-    best = each.withColumnRenamed("token", "original").join(fixed, [*by, "original"])
+    best = each.drop("word").withColumnRenamed("token", "original").join(fixed, [*by, "original"])
     return best.select(*key, F.lit(2).alias("kind"), "pos", "original", "suggested", F.lit("ocr-artifact").alias("reason"), F.lit(LOOKALIKE).alias("confidence"), F.lit(False).alias("auto"))
 
 
-def deletions(word: str = "word"):
-    """The word, and the word without each one and each two of its letters: words within two edits share one of them."""
-    w = F.col(word)
+def deletions(word: str = "word", most: int = PREFIX):
+    """The beginning of a word, and it without each one and each two of its letters. Of two words within two edits, the beginnings share
+    one of these: letters that an insertion pushed out of one are made up for by what was inserted. A word has a bounded number of
+    them, however long it is."""
+    w = F.substring(word, 1, most)
     n = F.length(w)
     drop = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
     once = F.when(n > 0, drop(w)).otherwise(F.array(F.lit("")))
@@ -102,22 +109,24 @@ def deletions(word: str = "word"):
 
 
 def spelling_corrections(unknown: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
-    """word, suggestion: the nearest dictionary word within `most` edits; ties go to the more frequent, then the later in order.
-    dictionary: word, freq. Words meet through shared deletions, an equi-join that no length band can swell."""
-    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 0
-    words = unknown.filter(F.length("word") <= longest + most).select("word").distinct()  # a longer one has no neighbour
-    left = words.select("word", F.explode(deletions()).alias("d"))
+    """word, suggestion: the nearest dictionary word within `most` edits, two at most; ties go to the more frequent, then the later in
+    order. dictionary: word, freq. Words meet through shared deletions of their beginnings, an equi-join, and are then measured."""
+    if most > 2:
+        raise ValueError("words further apart than two edits need not share a deletion")
+    left = unknown.select("word").distinct().select("word", F.explode(deletions()).alias("d"))
     right = dictionary.select(F.col("word").alias("other"), "freq", F.explode(deletions()).alias("d"))
-    both = left.join(right, "d").select("word", "other", "freq").distinct()
-    near = both.withColumn("dist", F.levenshtein("word", "other", most)).filter("dist >= 0")
-    return near.groupBy("word").agg(F.max_by("other", F.struct(-F.col("dist"), F.col("freq"), F.col("other"))).alias("suggestion"))
+    near = F.levenshtein("word", "other", most)
+    both = left.join(right, "d").filter(F.abs(F.length("word") - F.length("other")) <= most).select("word", "other", "freq", near.alias("dist")).filter("dist >= 0")
+    return both.groupBy("word").agg(F.max_by("other", F.struct(-F.col("dist"), F.col("freq"), F.col("other"))).alias("suggestion"))
 
 
 def spelling_candidates(lines: DataFrame, dictionary: DataFrame, protected: DataFrame | None = None, key=KEY) -> DataFrame:
     """Unknown words with another spelling at hand. dictionary: word, freq."""
     each = first_tokens(lines, X.spell_tokens, key).filter(X.checkable("token"))
-    each = unprotected(not_in(each, dictionary.select("word"), ("word",)), protected)
-    fixed = each.join(spelling_corrections(each, dictionary), "word").filter("suggestion <> word")
+    by = [] if protected is None else [x for x in protected.columns if x != "word"]
+    unknown = unprotected(not_in(each.select(*by, "word").distinct(), dictionary.select("word"), ("word",)), protected)
+    fixed = unknown.join(spelling_corrections(unknown, dictionary), "word").filter("suggestion <> word")
+    fixed = each.join(fixed, [*by, "word"])
     return fixed.select(*key, F.lit(3).alias("kind"), "pos", F.col("token").alias("original"), F.col("suggestion").alias("suggested"), F.lit("spellcheck").alias("reason"), F.lit(SPELLING).alias("confidence"), F.lit(False).alias("auto"))
 
 
@@ -150,9 +159,12 @@ def uncorrected(lines: DataFrame, suggestions: DataFrame, key=KEY) -> DataFrame:
 
 
 def apply_candidates(lines: DataFrame, found: DataFrame, key=KEY) -> tuple[DataFrame, DataFrame]:
-    """The lines with automatic fixes in, and the suggestions: automatic ones applied (their original is the line before), others pending."""
+    """The lines with automatic fixes in, and the suggestions: automatic ones applied (their original is the line before), others pending.
+    A fix whose line has changed since isn't applied and waits for a person like the others."""
     fixes = found.filter("auto").select(*key, F.col("suggested").alias("fixed"), F.col("original").alias("was"))
-    stale = lines.join(fixes, list(key), "left").withColumn("fixed", F.when(F.col("was").isNull() | (F.col("was") == F.col("text")), F.col("fixed")).otherwise(F.raise_error(F.lit("a line changed under its fix")).cast("string")))
-    fixed = stale.withColumn("text", F.coalesce("fixed", "text")).select(*lines.columns)
-    made = found.select(*key, F.col("rank").alias("sug_pos"), make_id("sug", *key, "rank").alias("suggestion_id"), "original", "suggested", "reason", "confidence", F.when(F.col("auto"), "auto_applied").otherwise("pending").alias("status"))
+    now = lines.join(fixes, list(key), "left")
+    fixed = now.withColumn("text", F.when(F.col("was") == F.col("text"), F.col("fixed")).otherwise(F.col("text"))).select(*lines.columns)
+    told = found.join(lines.select(*key, F.col("text").alias("now")), list(key), "left")
+    status = F.when(F.col("auto") & (F.col("original") == F.col("now")), "auto_applied").otherwise("pending")
+    made = told.select(*key, F.col("rank").alias("sug_pos"), make_id("sug", *key, "rank").alias("suggestion_id"), "original", "suggested", "reason", "confidence", status.alias("status"))
     return fixed, made

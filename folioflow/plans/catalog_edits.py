@@ -266,12 +266,16 @@ def stored_projects(spark, d):
 
 
 def each_row(df: DataFrame, f: Callable[[dict], list[dict]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
-    """The rows that f makes of each row."""
+    """The rows that f makes of each row; lists of numbers come as arrays."""
     schema = pa.schema(fields)
 
+    def values(column) -> list:
+        return audio.views(column) if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type) else column.to_pylist()
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist([x for r in b.to_pylist() for x in f(r)], schema)
+            rows = zip(*map(values, b.columns), strict=True)
+            yield pa.RecordBatch.from_pylist([x for r in rows for x in f(dict(zip(b.schema.names, r, strict=True)))], schema)
 
     return df.mapInArrow(task, ddl)
 

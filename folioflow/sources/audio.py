@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..errors import AssemblyError
 
@@ -84,14 +86,35 @@ class Loudness:
         return cls(bool(block.get("enabled", d.enabled)), *(float(block.get(k, getattr(d, k))) for k in ("target_lufs", "peak_ceiling_dbfs", "max_gain_db")))
 
 
-def _biquad(x: np.ndarray, b, a) -> np.ndarray:
-    out = np.empty_like(x)
-    x1 = x2 = y1 = y2 = 0.0
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
-        x2, x1, y2, y1 = x1, v, y1, y
-        out[i] = y
-    return out
+#: Samples of a block of the filters.
+BLOCK = 64
+
+
+def biquad(x: np.ndarray, b, a, block: int = BLOCK) -> np.ndarray:
+    """A second-order filter as a linear recurrence over blocks. What a block's own samples give is one product with the impulse
+    response; what came before reaches it through two numbers of state, which only go from block to block."""
+    n = len(x)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    entry = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    # Rows: what the state before a block adds to each of its samples; columns of gain: what each sample leaves in the state after it.
+    seen, power = np.empty((block, 2)), np.eye(2)
+    gain, vector = np.empty((2, block)), entry
+    for i in range(block):
+        seen[i], power = power[0], power @ step
+        gain[:, block - 1 - i], vector = vector, step @ vector
+    response = np.concatenate(([b[0]], seen[:-1] @ entry))
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    own = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    rows = np.zeros((-(-n // block), block))
+    rows.ravel()[:n] = x
+    left = rows @ gain.T
+    states = np.empty((len(rows), 2))
+    (p, q), (r, t) = power.tolist()
+    s0 = s1 = 0.0
+    for i, (u, v) in enumerate(left.tolist()):
+        states[i] = s0, s1
+        s0, s1 = p * s0 + q * s1 + u, r * s0 + t * s1 + v
+    return (rows @ own.T + states @ seen.T).ravel()[:n]
 
 
 def _shelf(rate: int):
@@ -115,7 +138,7 @@ def integrated_loudness(samples: np.ndarray, rate: int) -> float | None:
     """Gated loudness after ITU-R BS.1770; null for clips too short or too quiet to measure."""
     if rate <= 0 or len(samples) / rate < BLOCK_S:
         return None
-    x = _biquad(_biquad(samples, *_shelf(rate)), *_high_pass(rate))
+    x = biquad(biquad(np.asarray(samples, dtype=np.float64), *_shelf(rate)), *_high_pass(rate))
     size, step = int(BLOCK_S * rate), int(BLOCK_S * rate / 4)
     power = np.array([np.mean(x[i : i + size] ** 2) for i in range(0, len(x) - size + 1, step)])
     level = lambda p: -0.691 + 10 * np.log10(p)
@@ -127,18 +150,50 @@ def integrated_loudness(samples: np.ndarray, rate: int) -> float | None:
     return float(level(kept.mean())) if len(kept) else None
 
 
+def gain_db(samples: np.ndarray, rate: int, s: Loudness) -> tuple[float, float | None, float]:
+    """Peak, gated loudness (null where that can't be measured) and the gain that brings the samples to the target, by their RMS where
+    there is no loudness; silence has no gain."""
+    x = np.asarray(samples, dtype=np.float64)
+    peak = float(np.abs(x).max(initial=0))
+    if peak <= SILENCE:
+        return peak, None, 0.0
+    level = integrated_loudness(x, rate)
+    found = level if level is not None else float(20 * np.log10(np.sqrt(np.mean(x * x))))
+    return peak, level, min(s.target_lufs - found, s.max_gain_db)
+
+
 def normalize(samples: np.ndarray, rate: int, s: Loudness) -> np.ndarray:
     """Brought to the target loudness (by its RMS where that can't be measured), at most by max_gain_db, and down to the peak ceiling."""
     x = np.asarray(samples, dtype=np.float64)
-    if not len(x) or np.abs(x).max() <= SILENCE:
+    peak, _, gain = gain_db(x, rate, s)
+    if peak <= SILENCE:
         return x
-    level = integrated_loudness(x, rate)
-    if level is None:
-        level = 20 * np.log10(np.sqrt(np.mean(x * x)))
-    x = x * 10 ** (min(s.target_lufs - level, s.max_gain_db) / 20)
+    factor = 10 ** (gain / 20)
     ceiling = 10 ** (s.peak_ceiling_dbfs / 20)
-    peak = np.abs(x).max()
-    return x * (ceiling / peak) if peak > ceiling else x
+    return x * min(factor, ceiling / peak)
+
+
+def measured(sounds: DataFrame, rate: int, settings: Loudness | None = None, samples: str = "samples") -> DataFrame:
+    """sounds without their samples (an array of numbers), with peak, lufs and gain_db. A sound without samples is silent."""
+    s = settings or Loudness()
+    kept = [f for f in sounds.schema.fields if f.name != samples]
+    kind = StructType(kept + [StructField(n, DoubleType()) for n in ("peak", "lufs", "gain_db")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [gain_db(x, rate, s) for x in views(b.column(b.schema.get_field_index(samples)))]
+            cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
+            new = [pa.array([r[i] for r in found], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, *new], names=kind.names)
+
+    return sounds.withColumn(samples, F.col(samples).cast("array<double>")).mapInArrow(task, kind)
+
+
+def views(column) -> list[np.ndarray]:
+    """The rows of an Arrow column of lists as views of one array; a null list is an empty one, a null number isn't one."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[i:j] if ok else flat[:0] for i, j, ok in zip(at[:-1], at[1:], there, strict=True)]
 
 
 def normalize_wav(data: bytes, s: Loudness | None) -> bytes:
