@@ -42,6 +42,7 @@ class Providers:
     clip_files: DataFrame | None = None
     encoder: m4b.Encoder = m4b.ffmpeg
     segmenter: segment.Segmenter = X.quote_spans
+    filesystems: m4b.FileSystems = m4b.open_filesystem
 
 
 @dataclass
@@ -246,14 +247,17 @@ class Corpus:
         said = render.unrendered_names(missing, t["chapters"]).select("project_id", F.lit("failed").alias("status"), F.concat(F.lit("not rendered: "), "said").alias("message"))
         said = self.kept(said)
         books = todo.join(said, "project_id", "left_anti")
+        folder = folder or f"{self.path}/output"
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, "16")  # a row may hold a sound of some megabytes
         try:
             listed = self.manifests(t).join(books, "project_id", "left_semi")
-            made = self.kept(m4b.assemble_books(listed, folder or f"{self.path}/output", self.providers.encoder, self.sounds(t).join(books, "project_id", "left_semi")))
+            made = self.kept(m4b.assemble_books(listed, folder, self.providers.encoder, self.sounds(t).join(books, "project_id", "left_semi"), self.providers.filesystems))
         finally:
             self.spark.conf.set(key, before)
+        made = self.kept(m4b.publish(made, self.providers.filesystems))
+        m4b.clear_staging(folder, self.providers.filesystems)
         told = books.join(made, "project_id", "left")
         ok = F.col("output").isNotNull()
         return Changes(said.unionByName(told.select("project_id", F.when(ok, "completed").otherwise("failed").alias("status"), F.when(ok, "audiobook written").otherwise(F.coalesce("error", F.lit("there is nothing to play"))).alias("message"))))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import re
 import shutil
+import struct
 import subprocess
 import tempfile
 import unicodedata
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ BITRATE = "128k"
 MAGIC = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
 _SILENCE = re.compile(r"silence_(\d+)ms_(\d+)hz_(\d+)ch_(\d+)b\.wav\Z")
 COVERS = {".png": "png", ".jpg": "jpeg", ".jpeg": "jpeg"}
+#: Where finished files wait for publish(), below the folder of audiobooks.
+STAGING = ".staging"
 
 #: listing path, metadata path, output path, cover path or null.
 Encoder = Callable[[str, str, str, str | None], None]
@@ -45,23 +51,21 @@ def ffmpeg(listing: str, metadata: str, output: str, cover: str | None) -> None:
         raise AssemblyError(run.stderr[-500:])
 
 
-def usable_cover(path: str | None) -> str | None:
-    """A cover of a kind that can be embedded and that is there; a bad one is left out, no reason to fail."""
-    if not path or os.path.splitext(path)[1].lower() not in COVERS or not os.path.isfile(path):
-        return None
-    with open(path, "rb") as f:
-        head = f.read(8)
-    return path if head.startswith(MAGIC) else None
-
-
-def local_path(folder: str) -> str:
-    """The path of a folder that all executors mount; a URI of another file system is refused, as an encoder can't write there."""
-    scheme, colon, rest = folder.partition(":")
-    if not colon or "/" in scheme:
-        return folder
-    if scheme != "file":
-        raise PreconditionError(f"audiobooks go to a folder that all executors mount, not to {folder}")
-    return "/" + rest.lstrip("/")
+def whole_picture(data: bytes) -> bool:
+    """Whether a PNG has all its chunks with the right check sums, or a JPEG its end."""
+    if data.startswith(MAGIC[1]):
+        return data.rstrip(b"\0").endswith(b"\xff\xd9")
+    at, kinds = len(MAGIC[0]), []
+    if not data.startswith(MAGIC[0]):
+        return False
+    while at + 12 <= len(data) and b"IEND" not in kinds:
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        kind, body, crc = data[at + 4 : at + 8], data[at + 8 : at + 8 + n], data[at + 8 + n : at + 12 + n]
+        if len(crc) < 4 or zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
+            return False
+        kinds.append(kind)
+        at += 12 + n
+    return kinds[:1] == [b"IHDR"] and b"IDAT" in kinds and b"IEND" in kinds
 
 
 def absolute(listing: str, folder: str) -> str:
@@ -78,38 +82,86 @@ def absolute(listing: str, folder: str) -> str:
     return "".join(out)
 
 
-def assemble(listing: str, metadata: str, output: str, cover: str | None = None, encoder: Encoder = ffmpeg) -> str:
-    """Writes one book. The result is made beside its place and moved there; nothing else is left, whatever happens."""
+def assemble(listing: str, metadata: str, folder: str, cover: str | None = None, encoder: Encoder = ffmpeg) -> str:
+    """The path of one book, made in a folder of the task's own. A cover that the encoder can't take is left out."""
     if not listing.strip():
         raise AssemblyError("there is nothing to play")
-    os.makedirs(os.path.dirname(output) or ".", exist_ok=True)
-    with tempfile.TemporaryDirectory(dir=os.path.dirname(output) or ".") as tmp:
-        names = {}
-        for name, content in (("list", listing), ("chapters", metadata)):
-            names[name] = os.path.join(tmp, f"{name}.txt")
-            with open(names[name], "w", encoding="utf-8") as f:
-                f.write(content)
-        made = os.path.join(tmp, "book.m4b")
-        encoder(names["list"], names["chapters"], made, usable_cover(cover))
-        if not os.path.isfile(made):
-            raise AssemblyError("the encoder made no file")
-        os.replace(made, output)
-    return output
-
-
-def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg, sounds: DataFrame | None = None) -> DataFrame:
-    """project_id, output, error of each row of books (project_id, title, listing, metadata, cover_image_path). The sounds (project_id,
-    path, wav) of a book stream to one task, which puts them into a folder of its own, makes the pauses, and has the encoder join them
-    from absolute paths. Each project has its own folder, so equal titles don't meet; `folder` has to be one that all executors mount."""
-    schema = pa.schema([("project_id", pa.string()), ("output", pa.string()), ("error", pa.string())])
-    top = local_path(folder)
+    names = {}
+    for name, content in (("list", listing), ("chapters", metadata)):
+        names[name] = os.path.join(folder, f"{name}.txt")
+        with open(names[name], "w", encoding="utf-8") as f:
+            f.write(content)
+    made = os.path.join(folder, "book.m4b")
+    try:
+        encoder(names["list"], names["chapters"], made, cover)
+    except (AssemblyError, OSError):
+        if cover is None:
+            raise
+        encoder(names["list"], names["chapters"], made, None)
+    if not os.path.isfile(made):
+        raise AssemblyError("the encoder made no file")
+    return made
+
+
+def open_filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder, and the folder in it: a plain path or file:, hdfs:, s3: (s3a:, s3n:), gs: or abfs:."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pa.fs.LocalFileSystem(), uri.rstrip("/")
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.strip("/")
+    try:
+        fs, path = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    except (pa.ArrowInvalid, OSError, NotImplementedError) as e:
+        raise PreconditionError(f"audiobooks can't be written to {uri}: {e}") from e
+    return fs, path.rstrip("/")
+
+
+#: A folder's URI -> its file system and the path in it.
+FileSystems = Callable[[str], tuple[pa.fs.FileSystem, str]]
+
+
+def cover_file(uri: str | None, folder: str, filesystems: FileSystems) -> str | None:
+    """A copy of a cover that is there, whole, and of a kind that can be embedded; one that isn't is left out, no reason to fail."""
+    kind = os.path.splitext(uri or "")[1].lower()
+    if kind not in COVERS:
+        return None
+    try:
+        fs, path = filesystems(uri)
+        with fs.open_input_stream(path) as f:
+            data = f.read()
+    except (OSError, PreconditionError):
+        return None
+    if not whole_picture(data):
+        return None
+    copy = os.path.join(folder, f"cover{kind}")
+    with open(copy, "wb") as f:
+        f.write(data)
+    return copy
+
+
+def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg, sounds: DataFrame | None = None, filesystems: FileSystems = open_filesystem) -> DataFrame:
+    """project_id, staged, output, error of each row of books (project_id, title, listing, metadata, cover_image_path). The sounds
+    (project_id, path, wav) of a book stream to one task, which puts them into a scratch folder of its own, makes the pauses, has the
+    encoder join them, and ships the finished file to a staging folder below `folder`, on whatever file system that is. publish() puts
+    the files in their places. Each project has its own folder, so equal titles don't meet. A task that is killed or repeated leaves
+    nothing but staged files, which no one reads."""
+    schema = pa.schema([("project_id", pa.string()), ("staged", pa.string()), ("output", pa.string()), ("error", pa.string())])
+    filesystems(folder)  # refused here rather than in every task
+    stage = f"{folder.rstrip('/')}/{STAGING}/{uuid.uuid4().hex}"
 
     def book(r: dict, tmp: str) -> tuple:
-        name = f"{top}/{plain_name(r['project_id'])}/{plain_name(r['title'])}.m4b"
+        name = f"{plain_name(r['project_id'])}/{plain_name(r['title'])}.m4b"
         try:
-            return r["project_id"], assemble(absolute(r["listing"] or "", tmp), r["metadata"], name, r["cover_image_path"], encoder), None
+            made = assemble(absolute(r["listing"] or "", tmp), r["metadata"], tmp, cover_file(r["cover_image_path"], tmp, filesystems), encoder)
+            fs, top = filesystems(stage)
+            at = f"{top}/{uuid.uuid4().hex}.m4b"
+            fs.create_dir(top)
+            with open(made, "rb") as f, fs.open_output_stream(at) as out:
+                shutil.copyfileobj(f, out, 1 << 20)
+            return r["project_id"], f"{stage}/{at.rsplit('/', 1)[1]}", f"{folder.rstrip('/')}/{name}", None
         except (AssemblyError, OSError) as e:
-            return r["project_id"], None, str(e)
+            return r["project_id"], None, None, str(e)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tmp = None, None
@@ -134,7 +186,46 @@ def assemble_books(books: DataFrame, folder: str, encoder: Encoder = ffmpeg, sou
     rows = books.select("project_id", F.lit(True).alias("last"), none("string", "path"), none("binary", "wav"), *text)
     if sounds is not None:
         rows = rows.unionByName(sounds.select("project_id", F.lit(False).alias("last"), "path", "wav", *[none("string", c) for c in text]))
-    return rows.repartition("project_id").sortWithinPartitions("project_id", "last").mapInArrow(task, "project_id string, output string, error string")
+    return rows.repartition("project_id").sortWithinPartitions("project_id", "last").mapInArrow(task, "project_id string, staged string, output string, error string")
+
+
+def publish(made: DataFrame, filesystems: FileSystems = open_filesystem) -> DataFrame:
+    """project_id, output, error: the staged files of assemble_books, whose rows have been written down, moved to their places. A file
+    that an earlier try has moved is in its place already."""
+    schema = pa.schema([("project_id", pa.string()), ("output", pa.string()), ("error", pa.string())])
+
+    def put(staged: str, output: str) -> str | None:
+        fs, source = filesystems(staged)
+        _, target = filesystems(output)
+        here, there = (x.type != pa.fs.FileType.NotFound for x in fs.get_file_info([source, target]))
+        if here:
+            fs.create_dir(target.rsplit("/", 1)[0])
+            if there:
+                fs.delete_file(target)
+            fs.move(source, target)
+        return None if here or there else "the finished file is gone"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                error = r["error"]
+                if r["staged"]:
+                    try:
+                        error = put(r["staged"], r["output"])
+                    except OSError as e:
+                        error = str(e)
+                out.append({"project_id": r["project_id"], "output": None if error else r["output"], "error": error})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return made.mapInArrow(task, "project_id string, output string, error string")
+
+
+def clear_staging(folder: str, filesystems: FileSystems = open_filesystem) -> None:
+    """Removes what tasks that were repeated or killed have left; not while another run writes to the same folder."""
+    fs, top = filesystems(f"{folder.rstrip('/')}/{STAGING}")
+    if fs.get_file_info(top).type != pa.fs.FileType.NotFound:
+        fs.delete_dir(top)
 
 
 def first_output(spark: SparkSession, folder: str) -> str | None:

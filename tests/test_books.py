@@ -3,7 +3,9 @@
 import io
 import json
 import os
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -382,26 +384,61 @@ def encode_file(listing, metadata, output, cover):
         out.write(a.read() + b.read())
 
 
+def picture():
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return m4b.MAGIC[0] + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
 def test_audiobook_file(tmp_path):
-    out = m4b.assemble("file 'x'\n", ";FFMETADATA1\n", str(tmp_path / "o" / "b.m4b"), str(tmp_path / "none.png"), encode_file)
-    assert open(out).read().startswith("file 'x'") and os.listdir(tmp_path / "o") == ["b.m4b"]
+    out = m4b.assemble("file 'x'\n", ";FFMETADATA1\n", str(tmp_path), None, encode_file)
+    assert open(out).read().startswith("file 'x'")
+    os.remove(out)
     with pytest.raises(AssemblyError):
-        m4b.assemble(" ", "", str(tmp_path / "c.m4b"), None, encode_file)
+        m4b.assemble(" ", "", str(tmp_path), None, encode_file)
     with pytest.raises(AssemblyError):
-        m4b.assemble("x", "", str(tmp_path / "c.m4b"), None, lambda *a: None)
+        m4b.assemble("x", "", str(tmp_path), None, lambda *a: None)
+
+    def choosy(listing, metadata, output, cover):
+        if cover:
+            raise AssemblyError("can't read the cover")
+        encode_file(listing, metadata, output, cover)
+
+    assert os.path.isfile(m4b.assemble("file 'x'\n", "", str(tmp_path), "c.png", choosy))
+
+
+def test_covers(tmp_path):
+    good = picture()
+    for name, data, fine in (("a.png", good, True), ("b.png", good[:-20], False), ("c.png", good[:40] + b"?" + good[41:], False), ("d.png", m4b.MAGIC[0], False), ("e.jpg", m4b.MAGIC[1] + b"body\xff\xd9", True), ("f.jpeg", m4b.MAGIC[1] + b"body", False), ("g.gif", b"GIF89a", False), ("h.png", b"", False)):
+        (tmp_path / name).write_bytes(data)
+        found = m4b.cover_file(f"file:{tmp_path}/{name}", str(tmp_path / "in"[:0]), m4b.open_filesystem)
+        assert (found is not None) == fine, name
+    assert m4b.cover_file(None, str(tmp_path), m4b.open_filesystem) is None and m4b.cover_file(f"{tmp_path}/none.png", str(tmp_path), m4b.open_filesystem) is None
+
+
+def shelf(uri):
+    """A file system of another scheme: shelf:/x is kept below a folder."""
+    import pyarrow.fs
+
+    top, path = uri.removeprefix("shelf:").split("//", 1)
+    return pyarrow.fs.SubTreeFileSystem(top, pyarrow.fs.LocalFileSystem()), path.rstrip("/")
 
 
 def test_books_of_equal_titles_and_folders(spark, tmp_path):
-    books = spark.createDataFrame([(p, "Same", "file 'audio/k.wav'\nfile 'silence_0500ms_8000hz_1ch_2b.wav'\n", ";FFMETADATA1\n", None) for p in ("p", "q")], "project_id string, title string, listing string, metadata string, cover_image_path string")
-    sounds = spark.createDataFrame([(p, "audio/k.wav", audio.encode(np.full(80, 0.1), 8000)) for p in ("p", "q", "r")], "project_id string, path string, wav binary")
-    rows = m4b.assemble_books(books, f"file://{tmp_path}/o", encode_file, sounds).collect()
-    assert sorted(r["output"] for r in rows) == [f"{tmp_path}/o/{p}/Same.m4b" for p in ("p", "q")]
+    books = spark.createDataFrame([(p, "Same", "file 'audio/k.wav'\nfile 'silence_0500ms_8000hz_1ch_2b.wav'\n" if p != "r" else "", ";FFMETADATA1\n", None) for p in ("p", "q", "r")], "project_id string, title string, listing string, metadata string, cover_image_path string")
+    sounds = spark.createDataFrame([(p, "audio/k.wav", audio.encode(np.full(80, 0.1), 8000)) for p in ("p", "q", "s")], "project_id string, path string, wav binary")
+    for folder, systems, top in ((f"file://{tmp_path}/o", m4b.open_filesystem, tmp_path / "o"), (f"shelf:{tmp_path}/t//books", shelf, tmp_path / "t" / "books")):
+        top.parent.mkdir(exist_ok=True)
+        staged = m4b.assemble_books(books, folder, encode_file, sounds, systems)
+        staged.write.parquet(f"{tmp_path}/staged-{top.name}")
+        assert not list(top.glob("*/*.m4b"))  # a run that ends here leaves no book
+        staged = spark.read.parquet(f"{tmp_path}/staged-{top.name}")
+        for _ in range(2):  # as a repeated task would
+            rows = {r["project_id"]: r for r in m4b.publish(staged, systems).collect()}
+            assert {p: r["output"] for p, r in rows.items()} == {"p": f"{folder}/p/Same.m4b", "q": f"{folder}/q/Same.m4b", "r": None} and rows["r"]["error"] == "there is nothing to play"
+        m4b.clear_staging(folder, systems)
+        assert sorted(str(x.relative_to(top)) for x in top.rglob("*") if x.is_file()) == ["p/Same.m4b", "q/Same.m4b"]
     with pytest.raises(PreconditionError):
-        m4b.assemble_books(books, "s3a://b/o", encode_file, sounds)
-    (tmp_path / "c.png").write_bytes(b"no picture")
-    assert m4b.usable_cover(str(tmp_path / "c.png")) is None
-    (tmp_path / "c.png").write_bytes(m4b.MAGIC[0])
-    assert m4b.usable_cover(str(tmp_path / "c.png"))
+        m4b.assemble_books(books, "nowhere://b/o", encode_file, sounds)
 
 
 def speak():
