@@ -31,16 +31,17 @@ def _update(df: DataFrame, where: Column, **values) -> DataFrame:
 
 
 def _chosen(ids: DataFrame | list[str], column: str, df: DataFrame) -> DataFrame:
-    """df with __hit: whether its id is among the chosen. An id that no row has is refused."""
+    """df with __hit: whether its id is among the chosen. An id that no row has is refused: of a list at once, of a table when the result
+    is computed, in the same pass."""
     if isinstance(ids, list):
         there = {r[0] for r in df.filter(F.col(column).isin(*ids)).select(column).distinct().collect()} if ids else set()
         if lost := sorted(set(ids) - there):
             raise ValueError(f"no {column} {lost[0]!r}")
         return df.withColumn("__hit", F.col(column).isin(*ids) if ids else F.lit(False))
-    lost = ids.select(column).join(df.select(column), column, "left_anti").first()
-    if lost is not None:
-        raise ValueError(f"no {column} {lost[0]!r}")
-    return df.join(ids.select(column).distinct().withColumn("__hit", F.lit(True)), column, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    asked = ids.select(F.col(column).alias("__asked")).distinct()
+    both = df.withColumn("__row", F.lit(True)).join(asked, F.col(column) == F.col("__asked"), "full_outer")
+    lost = F.raise_error(F.concat(F.lit(f"no {column} '"), F.coalesce("__asked", F.lit("")), F.lit("'"))).cast("boolean")
+    return both.filter(F.when(F.col("__row"), True).otherwise(lost)).withColumn("__hit", F.col("__asked").isNotNull()).drop("__row", "__asked")
 
 
 def require(df: DataFrame, column: str, value: str) -> None:

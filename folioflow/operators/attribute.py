@@ -10,12 +10,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import LanguageProviderError
 from ..functions import text as X
-from ..schema import CATEGORIES
 from .resolve import NARRATOR_NAMES
 
 #: Lines of one request, and sample lines of one speaker. Fixed values.
@@ -109,17 +108,42 @@ def parse_attributions(answer: str, candidates: Sequence[str]) -> list[Attributi
     return out
 
 
-def parse_categories(answer: str, wanted: Sequence[str]) -> dict[str, tuple[str, float]]:
-    """speaker_id -> category and confidence of each wanted speaker; unknown at 0.0 where the answer says nothing usable."""
-    try:
-        entries = json.loads(answer)["classifications"]
-        if not isinstance(entries, list):
-            raise TypeError("no list")
-        got = {str(e["speaker_id"]): e for e in entries}
-    except (ValueError, KeyError, TypeError) as e:
-        raise LanguageProviderError(f"answer out of form: {e}", malformed=True) from e
-    named = lambda e: (c if (c := str(e.get("category", "")).strip().casefold()) in CATEGORIES else "unknown")
-    return {w: (named(got[w]), number(got[w].get("confidence"))) if w in got else ("unknown", 0.0) for w in wanted}
+#: The agreed forms of answers. Numbers are read as text, so that one out of form doesn't spoil its entry.
+ATTRIBUTIONS = "attributions array<struct<segment_id:string,speaker:string,confidence:string,rationale:string>>"
+CLASSIFICATIONS = "classifications array<struct<speaker_id:string,category:string,confidence:string>>"
+
+
+def _entries(form: str, key: str) -> Column:
+    """The entries of the column `answer`; null where it isn't in the agreed form: no object, no list, an entry without its id."""
+    found = F.from_json("answer", form)[form.split(" ")[0]]
+    return F.when(F.ltrim("answer").startswith("{") & F.forall(found, lambda e: e[key].isNotNull()), found)
+
+
+def _confidence(x: Column) -> Column:
+    return F.coalesce(x.try_cast("double"), F.lit(0.0))
+
+
+def read_attributions(answers: DataFrame) -> DataFrame:
+    """answers (answer and candidates, and any other columns, kept) by candidate: at (its place), segment_id, speaker, confidence, answered,
+    malformed. As parse_attributions, on the JVM: of answers to the same id the last counts, of none the narrator at 0.0; a null answer
+    is none at all."""
+    kept = [c for c in answers.columns if c not in ("answer", "candidates")]
+    read = answers.select(*kept, "answer", "candidates", _entries(ATTRIBUTIONS, "segment_id").alias("entries"))
+    each = read.select(*kept, "answer", "entries", F.posexplode("candidates").alias("at", "segment_id"))
+    own = F.filter("entries", lambda e: e["segment_id"] == F.col("segment_id"))
+    each = each.withColumn("own", F.try_element_at(own, F.lit(-1)))
+    name = F.when(X.fold("own.speaker").isin(*NARRATOR_NAMES), None).otherwise(F.col("own.speaker"))
+    return each.select(*kept, "at", "segment_id", name.alias("speaker"), _confidence(F.col("own.confidence")).alias("confidence"), F.col("own").isNotNull().alias("answered"), (F.col("answer").isNotNull() & F.col("entries").isNull()).alias("malformed"))
+
+
+def read_categories(answers: DataFrame) -> DataFrame:
+    """answers (answer and wanted, and any other columns, kept) by wanted speaker: speaker_id, category, confidence; unknown at 0.0 where a
+    well-formed answer says nothing usable. Malformed answers have no rows."""
+    kept = [c for c in answers.columns if c not in ("answer", "wanted")]
+    read = answers.select(*kept, "wanted", _entries(CLASSIFICATIONS, "speaker_id").alias("entries")).filter("entries is not null")
+    each = read.select(*kept, "entries", F.explode("wanted").alias("speaker_id"))
+    each = each.withColumn("own", F.try_element_at(F.filter("entries", lambda e: e["speaker_id"] == F.col("speaker_id")), F.lit(-1)))
+    return each.select(*kept, "speaker_id", X.coerce_category("own.category").alias("category"), _confidence(F.col("own.confidence")).alias("confidence"))
 
 
 def number(x: object) -> float:
@@ -129,8 +153,8 @@ def number(x: object) -> float:
         return 0.0
 
 
-def ask(provider: LanguageProvider, context: str, candidates: Sequence[str], known: Sequence[str]) -> list[Attribution] | None:
-    """The provider's attributions; asked once more if malformed or about none of the candidates; null if that doesn't help."""
+def ask_raw(provider: LanguageProvider, context: str, candidates: Sequence[str], known: Sequence[str]) -> tuple[str, list[Attribution]] | None:
+    """The provider's answer and what it says; asked once more if malformed or about none of the candidates; null if that doesn't help."""
     for _ in range(2):
         try:
             raw = provider.attribute(context, candidates, known)
@@ -140,50 +164,60 @@ def ask(provider: LanguageProvider, context: str, candidates: Sequence[str], kno
                 continue
             raise
         if any(a.rationale != "missing" for a in found):
-            return found
+            return raw, found
     return None
 
 
+def ask(provider: LanguageProvider, context: str, candidates: Sequence[str], known: Sequence[str]) -> list[Attribution] | None:
+    """The provider's attributions, if it has any."""
+    found = ask_raw(provider, context, candidates, known)
+    return found[1] if found else None
+
+
 def attribute_books(requests: DataFrame, speakers: DataFrame, provider: Callable[[], LanguageProvider]) -> DataFrame:
-    """project_id, chapter_pos, window, seq, segment_id, speaker, confidence, answered, error of every candidate. A book's windows are
-    asked in order in one task and each knows the characters of those before. Where the provider fails, one row has the window and the
-    error, and the book's later windows aren't asked; other books go on."""
+    """project_id, chapter_pos, window, candidates, answer, error of every request; told() reads the answers. A book's windows are asked
+    in order in one task and each knows the characters of those before. Where the provider fails, the row has the error, and the book's
+    later windows aren't asked; other books go on."""
     names = speakers.filter("role = 'character'").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("speaker_pos", "name"))).alias("s")).select("project_id", F.col("s.name").alias("known"))
     book = requests.join(names, "project_id", "left")
-    kind = "project_id string, chapter_pos int, window int, seq long, segment_id string, speaker string, confidence double, answered boolean, error string"
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in kind.split(", "))])
+    schema = pa.schema([("project_id", pa.string()), ("chapter_pos", pa.int32()), ("window", pa.int32()), ("candidates", pa.list_(pa.string())), ("answer", pa.string()), ("error", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        project, known, seen, seq, failed = None, [], set(), 0, False
+        project, known, seen, failed = None, [], set(), False
         for b in batches:
             out = []
             for r in b.to_pylist():
                 if r["project_id"] != project or project is None:
-                    project, known, seq, failed = r["project_id"], list(r["known"] or []), 0, False
+                    project, known, failed = r["project_id"], list(r["known"] or []), False
                     seen = {n.casefold() for n in known}
                 if failed:
                     continue
-                place = project, r["chapter_pos"], r["window"]
+                answer, error = None, None
                 try:
                     own = own or provider()
-                    found = ask(own, r["context"], r["candidates"], known)
+                    if got := ask_raw(own, r["context"], r["candidates"], known):
+                        answer = got[0]
+                        for c in got[1]:
+                            if c.speaker and c.speaker.casefold() not in seen:
+                                seen.add(c.speaker.casefold())
+                                known.append(c.speaker)
                 except Exception as e:  # a provider may raise anything; one book's failure is its own
-                    failed = True
-                    out.append((*place, seq, None, None, None, False, f"{type(e).__name__}: {e}"))
-                    continue
-                for c in found or [Attribution(c, None) for c in r["candidates"]]:
-                    out.append((*place, seq, c.segment_id, c.speaker, c.confidence, found is not None and c.rationale != "missing", None))
-                    seq += 1
-                    if c.speaker and c.speaker.casefold() not in seen:
-                        seen.add(c.speaker.casefold())
-                        known.append(c.speaker)
+                    failed, error = True, f"{type(e).__name__}: {e}"
+                out.append((project, r["chapter_pos"], r["window"], r["candidates"], answer, error))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     ordered = book.repartition("project_id").sortWithinPartitions("project_id", "chapter_pos", "window")
-    return ordered.select("project_id", "chapter_pos", "window", "context", "candidates", "known").mapInArrow(task, kind)
+    asked = ordered.select("project_id", "chapter_pos", "window", "context", "candidates", "known")
+    return asked.mapInArrow(task, "project_id string, chapter_pos int, window int, candidates array<string>, answer string, error string")
+
+
+def told(answers: DataFrame) -> DataFrame:
+    """project_id, seq (order in the book), segment_id, speaker, confidence, answered of what attribute_books was answered."""
+    each = read_attributions(answers.filter("error is null").select("project_id", "chapter_pos", "window", "candidates", "answer"))
+    seq = F.col("chapter_pos").cast("long") * (1 << 40) + F.col("window").cast("long") * (1 << 16) + F.col("at")
+    return each.select("project_id", seq.alias("seq"), "segment_id", "speaker", "confidence", "answered")
 
 
 def with_defaults(requested: DataFrame, results: DataFrame) -> DataFrame:
@@ -222,7 +256,7 @@ def classify_prompts(speakers: DataFrame, samples: DataFrame) -> DataFrame:
 
 def classify_speakers(speakers: DataFrame, segments: DataFrame, provider: Callable[[], LanguageProvider]) -> DataFrame:
     """Speakers with a category for the characters that had none. What the provider gets wrong changes nothing."""
-    schema = pa.schema([("project_id", pa.string()), ("speaker_id", pa.string()), ("told", pa.string())])
+    schema = pa.schema([("project_id", pa.string()), ("wanted", pa.list_(pa.string())), ("answer", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = provider()
@@ -230,14 +264,17 @@ def classify_speakers(speakers: DataFrame, segments: DataFrame, provider: Callab
             out = []
             for r in b.to_pylist():
                 try:
-                    told = parse_categories(own.classify([Profile(i, n, s) for i, n, s in zip(r["wanted"], r["names"], r["samples"], strict=True)]), r["wanted"])
+                    out.append((r["project_id"], r["wanted"], own.classify([Profile(i, n, s) for i, n, s in zip(r["wanted"], r["names"], r["samples"], strict=True)])))
                 except LanguageProviderError:
                     continue
-                out += [(r["project_id"], i, c) for i, (c, _) in told.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    told = classify_prompts(speakers, speaker_samples(segments)).mapInArrow(task, "project_id string, speaker_id string, told string")
-    return speakers.join(told, ["project_id", "speaker_id"], "left").withColumn("category", F.coalesce("told", "category")).select(*speakers.columns)
+    answers = classify_prompts(speakers, speaker_samples(segments)).mapInArrow(task, "project_id string, wanted array<string>, answer string")
+    return classified(speakers, read_categories(answers))
 
 
+def classified(speakers: DataFrame, told: DataFrame) -> DataFrame:
+    """Speakers with the categories that were told (project_id, speaker_id, category)."""
+    new = told.select("project_id", "speaker_id", F.col("category").alias("told"))
+    return speakers.join(new, ["project_id", "speaker_id"], "left").withColumn("category", F.coalesce("told", "category")).select(*speakers.columns)

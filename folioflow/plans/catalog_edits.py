@@ -290,16 +290,15 @@ def _answers(spark, d, entry, name: str) -> DataFrame:
 def parsed_attributions(spark, d):
     turn = F.col("turn")
     entry = F.when(turn % 2 == 0, F.struct(F.col("id").alias("segment_id"), F.when(turn % 4 == 0, "The Narrator").otherwise(F.col("role")).alias("speaker"), (turn / 10.0).alias("confidence")))
-    read = lambda r: [{"conv_id": r["conv_id"], "id": a.segment_id, "speaker": a.speaker, "confidence": a.confidence, "answered": a.rationale != "missing"} for a in attribute.parse_attributions(r["answer"], r["wanted"])]
-    return each_row(_answers(spark, d, entry, "attributions"), read, [("conv_id", pa.int64()), ("id", pa.string()), ("speaker", pa.string()), ("confidence", pa.float64()), ("answered", pa.bool_())], "conv_id long, id string, speaker string, confidence double, answered boolean")
+    answers = _answers(spark, d, entry, "attributions").withColumnRenamed("wanted", "candidates")
+    return attribute.read_attributions(answers).select("conv_id", F.col("segment_id").alias("id"), "speaker", "confidence", "answered")
 
 
 @query("SELECT conv_id, 'g' || turn AS id, CASE WHEN turn % 3 = 0 THEN 'man' ELSE 'unknown' END AS category, CAST(CASE WHEN turn % 3 = 2 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM conversations")
 def parsed_categories(spark, d):
     turn = F.col("turn")
     entry = F.when(turn % 3 != 2, F.struct(F.col("id").alias("speaker_id"), F.when(turn % 3 == 0, " Man ").otherwise("alien").alias("category"), F.lit(0.5).alias("confidence")))
-    read = lambda r: [{"conv_id": r["conv_id"], "id": i, "category": c, "confidence": x} for i, (c, x) in attribute.parse_categories(r["answer"], r["wanted"]).items()]
-    return each_row(_answers(spark, d, entry, "classifications"), read, [("conv_id", pa.int64()), ("id", pa.string()), ("category", pa.string()), ("confidence", pa.float64())], "conv_id long, id string, category string, confidence double")
+    return attribute.read_categories(_answers(spark, d, entry, "classifications")).select("conv_id", F.col("speaker_id").alias("id"), "category", "confidence")
 
 
 _PCM = "list_transform({0}, lambda s: trunc(greatest(least(s, 1.0), -1.0) * 32767))"

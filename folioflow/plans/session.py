@@ -178,8 +178,9 @@ class Corpus:
         reached = attribute.windows(lines).join(broken, "project_id", "left").filter(F.col("end").isNull() | (F.struct("chapter_pos", "window") < F.col("end")))
         new = new.join(reached.select(*segment.KEY), list(segment.KEY), "left_semi")
         wanted = new.filter("review_status = 'needs_review'").select("project_id", "segment_id")
-        told = attribute.with_defaults(wanted, answers.filter("answered"))
-        order = answers.filter("segment_id is not null").select("project_id", "segment_id", F.col("seq").alias("pos"))
+        said = attribute.told(answers)
+        told = attribute.with_defaults(wanted, said.filter("answered"))
+        order = said.select("project_id", "segment_id", F.col("seq").alias("pos"))
         named, every = resolve.resolve_names(told.join(order, ["project_id", "segment_id"], "left"), speakers)
         made = attribute.apply_attributions(new, named)
         every = self.kept(attribute.classify_speakers(every, t["segments"].unionByName(made.select(*t["segments"].columns)), self.providers.language))

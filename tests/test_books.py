@@ -307,8 +307,10 @@ def test_actions(spark):
     for change in (lambda ids: actions.reject_suggestions(sug, ids), lambda ids: actions.accept_suggestions(sug, ln, s, ids)):
         with pytest.raises(ValueError, match="suggestion_id"):
             change(["x", "nobody's"])
-    with pytest.raises(ValueError, match="segment_id"):
-        actions.approve_audio(s, spark.createDataFrame([("s0",), ("s9",)], "segment_id string"))
+    with pytest.raises(Exception, match="no segment_id 's9'"):
+        actions.approve_audio(s, spark.createDataFrame([("s0",), ("s9",)], "segment_id string")).collect()
+    with pytest.raises(Exception, match="no segment_id 's9'"):
+        actions.approve_audio(s, spark.createDataFrame([("s0",), ("s9",)], "segment_id string")).select("text").count()
     moved, who = actions.reassign_to_new_speaker(s, cast(spark), ["s0"], "p", "Dora")
     dora = who.filter("name = 'Dora'").first()
     assert moved.orderBy("seg_pos").first()["speaker_id"] == dora["speaker_id"] and dora["role"] == "character" and who.count() == 4

@@ -240,3 +240,31 @@ def test_another_segmenter(spark):
     got = segment.line_segments(lines, narr, segmenter=dashes).orderBy("seg_pos").collect()
     assert [(r["text"], r["review_status"]) for r in got] == [("He said", "approved"), ('"Come" here', "needs_review"), ("and left.", "approved")]
     assert len(segment.line_segments(lines, narr).collect()) == 3
+
+
+def test_answers_are_read_alike(spark):
+    """On the JVM by the declared schema, and in a task where the next window needs the names."""
+    import json
+
+    from folioflow.operators import attribute
+
+    entry = lambda i, **x: {"segment_id": i, **x}
+    answers = [
+        {"attributions": [entry("a", speaker="Ann", confidence=0.5, rationale="r"), entry("b", speaker="The Narrator")]}, {"attributions": [entry("a", speaker="Ann"), entry("a", speaker="Bob", confidence="0.25")]}, {"attributions": []}, {"attributions": [entry("zz", speaker="x")]},
+        {"attributions": [entry("a", speaker=None, confidence="much")]}, {"attributions": [entry("b", speaker=7, confidence=None)]}, {"attributions": 3}, {}, {"other": []}, {"attributions": [{"speaker": "x"}]}, {"attributions": [entry("a", speaker="Ann"), {"speaker": "x"}]}, {"attributions": None}, [1], 5, "text",
+    ]
+    raw = [json.dumps(a) for a in answers] + ["", "no JSON", '{"attributions": [', "null"]
+    frame = spark.createDataFrame([(i, r, ["a", "b"]) for i, r in enumerate(raw)] + [(99, None, ["a", "b"]), (98, raw[0], [])], "k int, answer string, candidates array<string>")
+    got = collections.defaultdict(list)
+    for r in attribute.read_attributions(frame).orderBy("k", "at").collect():
+        got[r["k"]].append(r)
+    for i, text in enumerate(raw):
+        try:
+            want = [(a.segment_id, a.speaker, a.confidence, a.rationale != "missing") for a in attribute.parse_attributions(text, ["a", "b"])]
+            assert [tuple(r[c] for c in ("segment_id", "speaker", "confidence", "answered")) for r in got[i]] == want and not got[i][0]["malformed"], text
+        except LanguageProviderError:
+            assert all(r["malformed"] and not r["answered"] and r["speaker"] is None for r in got[i]) and len(got[i]) == 2, text
+    assert [(r["answered"], r["malformed"]) for r in got[99]] == [(False, False)] * 2 and not got[98]
+    told = [{"classifications": [{"speaker_id": "s", "category": " BOY ", "confidence": 1}]}, {"classifications": [{"speaker_id": "s", "category": 3}]}, {"classifications": [{"category": "boy"}]}, {}]
+    frame = spark.createDataFrame([(i, json.dumps(t), ["s", "t"]) for i, t in enumerate(told)], "k int, answer string, wanted array<string>")
+    assert sorted(tuple(r) for r in attribute.read_categories(frame).collect()) == [(0, "s", "boy", 1.0), (0, "t", "unknown", 0.0), (1, "s", "unknown", 0.0), (1, "t", "unknown", 0.0)]
