@@ -44,6 +44,11 @@ def _chosen(ids: DataFrame | list[str], column: str, df: DataFrame) -> DataFrame
     return both.filter(F.when(F.col("__row"), True).otherwise(lost)).withColumn("__hit", F.col("__asked").isNotNull()).drop("__row", "__asked")
 
 
+def missing(ids: DataFrame, column: str, df: DataFrame) -> DataFrame:
+    """The ids, each once, that no row of df has."""
+    return ids.select(column).distinct().join(df.select(column), column, "left_anti")
+
+
 def require(df: DataFrame, column: str, value: str) -> None:
     if df.filter(F.col(column) == value).isEmpty():
         raise ValueError(f"no {column} {value!r}")

@@ -25,6 +25,23 @@ def project_blockers(segments, suggestions, speakers, clips, files, projects) ->
     return blockers(segments, suggestions, unresolved_voices(segments, speakers, clips, files), projects)
 
 
+def open_counts(segments: DataFrame, suggestions: DataFrame, voices: DataFrame, projects: DataFrame) -> DataFrame:
+    """project_id, n_attributions, n_suggestions, unassigned_voices (names in reading order): what blocks a review, counted where it is
+    and not gathered. voices: of unresolved_voices."""
+    n = lambda df, name: df.groupBy("project_id").agg(F.count(F.lit(1)).cast("int").alias(name))
+    v = voices.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("first", "name"))).alias("s")).select("project_id", F.col("s.name").alias("unassigned_voices"))
+    out = projects.select("project_id").join(n(segments.filter("review_status = 'needs_review'"), "n_attributions"), "project_id", "left")
+    out = out.join(n(suggestions.filter("status = 'pending'"), "n_suggestions"), "project_id", "left").join(v, "project_id", "left")
+    return out.select("project_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_attributions", "n_suggestions")], F.coalesce("unassigned_voices", F.array().cast("array<string>")).alias("unassigned_voices"))
+
+
+def review_state(segments, suggestions, speakers, clips, files, projects) -> DataFrame:
+    """As summary(), from counts."""
+    c = open_counts(segments, suggestions, unresolved_voices(segments, speakers, clips, files), projects)
+    a, s, v = F.col("n_attributions"), F.col("n_suggestions"), F.size("unassigned_voices")
+    return c.select("project_id", a, s, v.alias("n_voices"), (a + s + v == 0).alias("complete"), X.describe_blockers(a, s, F.col("unassigned_voices")).alias("summary"))
+
+
 def summary(blocked: DataFrame) -> DataFrame:
     """project_id, n_attributions, n_suggestions, n_voices, complete, summary."""
     a, s, v = F.size("needs_attribution"), F.size("pending_suggestions"), F.size("unassigned_voices")

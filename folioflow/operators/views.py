@@ -57,6 +57,12 @@ def category_options(spark) -> DataFrame:
     return spark.createDataFrame([(i, c, c.capitalize()) for i, c in enumerate(CATEGORIES)], "position int, value string, display string")
 
 
+def category_choices(speakers: DataFrame) -> DataFrame:
+    """project_id, speaker_id, position, value, display, chosen: what each speaker can be given; chosen: what it has."""
+    all_ = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("value"), F.lit(c.capitalize()).alias("display")) for i, c in enumerate(CATEGORIES)])
+    return speakers.select("project_id", "speaker_id", "category", F.inline(all_)).select("project_id", "speaker_id", "position", "value", "display", (F.col("value") == F.col("category")).alias("chosen"))
+
+
 def flagged_neighbours(rows: DataFrame, flag: str, id_: str, order: tuple[str, ...], by: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """rows with next_flagged and prev_flagged: the nearest flagged row after and before, going round at the ends."""
     w = Window.partitionBy(*by).orderBy(*order)

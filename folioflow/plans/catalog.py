@@ -127,7 +127,10 @@ def cast(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query(f"WITH {LINES_SQL} SELECT * FROM lines")
 def parse_lines(spark, d):
-    return lines(spark, d)
+    """Documents as parsed chapters of their sources, with the lines that book_tables makes of them."""
+    docs = table(spark, d, "documents")
+    books = docs.select(F.col("source").alias("project_id"), F.col("doc_id").cast("int").alias("chapter_pos"), F.lit("t").alias("chapter_title"), F.split("text", "\n", -1).alias("lines"))
+    return epub.book_tables(books)[1].select("project_id", "chapter_pos", "line_pos", "text")
 
 
 @query(f"SELECT doc_id, {TOKEN_SQL.format('text')} AS tokens FROM documents")
@@ -364,11 +367,6 @@ def bulk_voice_plan(spark, d):
     return plan.groupBy("project_id", "category", "clip_path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SEG_SQL}, {CAST_SQL} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY role = 'narrator' DESC, speaker_pos) - 1 AS position, speaker_id, name, role FROM speakers")
-def speaker_options(spark, d):
-    return views.speaker_options(cast(spark)[0]).withColumn("position", F.col("position").cast("long"))
-
-
 # --- review, rendering, timeline ----------------------------------------------------------------------------------------------------
 
 _SUGGEST = """suggestions AS (SELECT CAST(doc_id % 7 AS VARCHAR) AS project_id, CAST(doc_id AS INTEGER) AS chapter_pos, 0 AS line_pos, 0 AS sug_pos, 's' || doc_id AS suggestion_id, CASE WHEN quality = 0 THEN 'pending' WHEN toxic = 1 THEN 'rejected' ELSE 'approved' END AS status FROM labels)"""
@@ -398,7 +396,8 @@ def review_blockers(spark, d):
 SELECT project_id, n_attributions, n_suggestions, n_voices, n_attributions + n_suggestions + n_voices = 0 AS complete, coalesce(nullif(concat_ws(', ', CASE WHEN n_attributions > 0 THEN n_attributions || ' attribution' || CASE WHEN n_attributions <> 1 THEN 's' ELSE '' END END,
 CASE WHEN n_suggestions > 0 THEN n_suggestions || ' text suggestion' || CASE WHEN n_suggestions <> 1 THEN 's' ELSE '' END END, CASE WHEN n_voices > 0 THEN 'voices needed for: ' || array_to_string(unassigned_voices, ', ') END), ''), 'review complete') AS summary FROM n""")
 def gate_summary(spark, d):
-    return gate.summary(blocked(spark, d))
+    speakers, clips, files = cast(spark)
+    return gate.review_state(segments(spark, d), suggestions(spark, d), speakers, clips, files, projects(spark))
 
 
 PARAMS = X.canonical_params({"seed": 7, "exaggeration": 0.5})

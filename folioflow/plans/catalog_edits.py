@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import actions, attribute, correct, render, resolve, segment, views, voice
-from ..schema import CATEGORIES, STORED
+from ..operators import actions, attribute, correct, render, resolve, segment, voice
+from ..schema import STORED
 from ..sources import audio, workspace
 from .catalog import _WORK, DICT_SQL, LINES_SQL, OCR_SQL, PARAMS, SEG_SQL, SPELL_SQL, TOKEN_SQL, _PAIRS, cast, chapters, dictionary, distance_sql, lines, offered, params, projects, query, rep, segments, stored, table
 
@@ -145,11 +145,6 @@ def fail_audio(spark, d):
     return actions.fail_audio(s, s.filter("line_pos % 3 = 0").select("segment_id")).select("segment_id", "audio_cache_key", "audio_status")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{c}', '{c.capitalize()}')" for i, c in enumerate(CATEGORIES)) + ") v(position, value, display)")
-def category_options(spark, d):
-    return views.category_options(spark)
-
-
 # --- correction -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -110,7 +110,7 @@ def run(corpus: Corpus, args) -> int:
 
 def status(corpus: Corpus, args) -> int:
     t = corpus.tables()
-    blocked = gate.summary(corpus.blockers(t)).select("project_id", F.col("summary").alias("blocked"))
+    blocked = corpus.review_state(t).select("project_id", F.col("summary").alias("blocked"))
     told = t["stage_results"].select("project_id", "stage", F.col("status").alias("last"), "message")
     rows = gate.stage_rows(t["projects"]).join(told, ["project_id", "stage"], "left").join(blocked, "project_id", "left")
     for r in rows.orderBy("project_id", "stage_pos").limit(SHOWN * len(STAGES)).collect():

@@ -192,11 +192,16 @@ class Corpus:
         t = t or self.tables()
         return gate.project_blockers(t["segments"], t["suggestions"], t["speakers"], t["voice_clips"], self.clip_files(), t["projects"])
 
+    def review_state(self, t: dict[str, DataFrame] | None = None) -> DataFrame:
+        """How many blockers of each kind a project has, and in a line."""
+        t = t or self.tables()
+        return gate.review_state(t["segments"], t["suggestions"], t["speakers"], t["voice_clips"], self.clip_files(), t["projects"])
+
     def clip_files(self) -> DataFrame:
         return self.providers.clip_files if self.providers.clip_files is not None else self.spark.createDataFrame([], "path string")
 
     def _review(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
-        told = gate.summary(self.blockers(t)).join(todo, "project_id", "left_semi")
+        told = self.review_state(t).join(todo, "project_id", "left_semi")
         return Changes(told.select("project_id", F.when(F.col("complete"), "completed").otherwise("needs_review").alias("status"), F.when(F.col("complete"), "review complete").otherwise(F.col("summary")).alias("message")))
 
     def _synthesize(self, t: dict[str, DataFrame], todo: DataFrame) -> Changes:
