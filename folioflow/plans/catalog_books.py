@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
-from ..operators import actions, attribute, gate, views, voice
+from ..operators import actions, attribute, correct, gate, views, voice
 from ..schema import CATEGORIES, SEGMENTS, STAGES
-from ..sources import audio, epub, m4b, store, workspace
+from ..sources import audio, book_source, epub, m4b, store, workspace
 from .catalog import SEG_SQL, query, segments, table
-from .catalog_edits import AGAIN, ONCE, each_row, people
+from .catalog import DICT_SQL, LINES_SQL, dictionary, rep
+from .catalog_edits import _OCR, _SPELL_LAST, AGAIN, KEY, ONCE, each_row, people
 
 # --- EPUBs: a book for each document, its lines dealt to two chapters -----------------------------------------------------------------
 
@@ -89,6 +90,32 @@ def parsed_epubs(spark, d):
     return epub.parsed_books(epubs(spark, d), strict=False).select("path", "chapter_pos", "chapter_title", "lines", "title", "author", F.col("error").isNotNull().alias("broken"))
 
 
+def _written_out(folder: str):
+    """A function that puts the books of a batch below a folder, and counts them."""
+
+    def put(batches):
+        fs, top = m4b.open_filesystem(folder)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                name = path.rsplit("/", 1)[1]
+                fs.create_dir(f"{top}/{len(name)}")
+                with fs.open_output_stream(f"{top}/{len(name)}/{name}") as f:
+                    f.write(content.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    return put
+
+
+@query(f"WITH {_EPUBS} SELECT parse_filename(path) AS file, chapter_pos, chapter_title, lines, title, author, broken FROM b")
+def books_by_format(spark, d):
+    """The same books written below a folder and read back by the data source, in partitions of a bounded size."""
+    folder = store.scratch(spark)
+    epubs(spark, d).mapInArrow(_written_out(folder), "n long").agg(F.sum("n")).collect()
+    book_source.register(spark)
+    read = spark.read.format("books").option("partitionBytes", 200_000).load(folder)
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "chapter_pos", "chapter_title", "lines", "title", "author", F.col("error").isNotNull().alias("broken"))
+
+
 def parsed(spark, d) -> DataFrame:
     return epub.parsed_books(epubs(spark, d), strict=False).withColumn("project_id", epub.make_id("prj", "path"))
 
@@ -115,6 +142,21 @@ def parse_results(spark, d):
     return told.withColumn("message", F.when(F.col("message").contains("not a zip file"), "broken").otherwise(F.col("message")))
 
 
+# --- all correctors at once -----------------------------------------------------------------------------------------------------------------
+
+_ALL = _OCR.replace(LINES_SQL, f"{SEG_SQL}, lines AS (SELECT {KEY}, text FROM segments)") + ", x AS (SELECT " + KEY + ", {0} AS ts FROM b), ".format(_SPELL_LAST[0]) + _SPELL_LAST[1]
+
+
+@query(f"""WITH {_ALL}, every AS (SELECT {KEY}, kind, pos, original, suggested FROM k UNION ALL SELECT {KEY}, 3, pos, token, other FROM u JOIN r USING (word) WHERE k = 1 AND other <> word)
+SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY kind, pos, original) - 1 AS sug_pos, original, suggested, CASE kind WHEN 3 THEN 'spellcheck' ELSE 'ocr-artifact' END AS reason,
+CAST([0.99, 0.5, 0.4, 0.7][kind + 1] AS DOUBLE) AS confidence, CASE kind WHEN 0 THEN 'auto_applied' ELSE 'pending' END AS status FROM every""")
+def corrected_talks(spark, d):
+    """What the four default correctors find in turns of talk with faults put in."""
+    said = segments(spark, d).select(*correct.KEY, rep(rep(rep(F.col("text"), ", ", " ,  "), "tion", "ti- on"), "nd", "ncl").alias("text"))
+    made = correct.apply_candidates(said, correct.candidates(said, dictionary(spark, d), correct.protected_words(said)))[1]
+    return made.select(*correct.KEY, F.col("sug_pos").cast("long").alias("sug_pos"), "original", "suggested", "reason", "confidence", "status")
+
+
 # --- stored projects of all versions, and versions of a store ----------------------------------------------------------------------------
 
 

@@ -202,11 +202,15 @@ def ocr_fixed_lines(spark, d):
     return ocr_applied(spark, d)[0]
 
 
-@query(f"""WITH {SEG_SQL}, {DICT_SQL}, x AS (SELECT {KEY}, {SPELL_SQL.format('text')} AS ts FROM segments), t AS (SELECT {KEY}, i AS pos, ts[i] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM x)),
-f AS (SELECT {KEY}, lower(token) AS word, arg_min(token, pos) AS token FROM t GROUP BY ALL),
-u AS (SELECT * FROM f WHERE length(token) >= 3 AND NOT regexp_matches(token, '[0-9]') AND NOT (upper(token) = token AND lower(token) <> token) AND word NOT IN (SELECT word FROM dict)), w AS (SELECT DISTINCT word FROM u),
+#: The tokens to be checked, and from x, lines with their tokens ts, the nearest words r of unprotected unknown words u.
+_SPELL_LAST = (SPELL_SQL.format("text"), f"""t AS (SELECT {KEY}, i - 1 AS pos, ts[i] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM x)),
+f AS (SELECT {KEY}, lower(token) AS word, arg_min(token, pos) AS token, min(pos) AS pos FROM t GROUP BY ALL),
+u AS (SELECT * FROM f WHERE length(token) >= 3 AND NOT regexp_matches(token, '[0-9]') AND NOT (upper(token) = token AND lower(token) <> token) AND word NOT IN (SELECT word FROM dict) AND (project_id, word) NOT IN (SELECT (project_id, word) FROM prot)), w AS (SELECT DISTINCT word FROM u),
 n AS (SELECT w.word, g.word AS other, {distance_sql('w.word', 'g.word')} AS dist, freq FROM w JOIN dict g ON abs(length(w.word) - length(g.word)) <= 2 AND {distance_sql('w.word', 'g.word')} <= 2),
-r AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, other DESC) AS k FROM n)
+r AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, other DESC) AS k FROM n)""")
+
+
+@query(f"""WITH {SEG_SQL}, {DICT_SQL}, prot AS (SELECT '' AS project_id, '' AS word), x AS (SELECT {KEY}, {_SPELL_LAST[0]} AS ts FROM segments), {_SPELL_LAST[1]}
 SELECT {KEY}, token AS original, other AS suggested FROM u JOIN r USING (word) WHERE k = 1 AND other <> word""")
 def spelling_suggestions(spark, d):
     said = segments(spark, d).select(*correct.KEY, "text")

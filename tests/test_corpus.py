@@ -268,3 +268,34 @@ def test_answers_are_read_alike(spark):
     told = [{"classifications": [{"speaker_id": "s", "category": " BOY ", "confidence": 1}]}, {"classifications": [{"speaker_id": "s", "category": 3}]}, {"classifications": [{"category": "boy"}]}, {}]
     frame = spark.createDataFrame([(i, json.dumps(t), ["s", "t"]) for i, t in enumerate(told)], "k int, answer string, wanted array<string>")
     assert sorted(tuple(r) for r in attribute.read_categories(frame).collect()) == [(0, "s", "boy", 1.0), (0, "t", "unknown", 0.0), (1, "s", "unknown", 0.0), (1, "t", "unknown", 0.0)]
+
+
+def short_book(data, stem):
+    """A parser of another format: a chapter a line."""
+    from folioflow.errors import EbookParseError
+    from folioflow.sources.epub import Book, Chapter
+
+    if not data:
+        raise EbookParseError("empty")
+    return Book(stem.upper(), "nobody", [Chapter(i, "", f"Line {i}", [x]) for i, x in enumerate(data.decode().splitlines(), 1)])
+
+
+def test_books_as_a_data_source(spark, tmp_path):
+    from folioflow.sources import book_source
+
+    book_source.register(spark)
+    (tmp_path / "deep").mkdir()
+    for name, data in (("a.epub", book(SAMPLE)), ("deep/b.EPUB", book(SAMPLE, "Deep")), ("c.epub", b"broken"), ("d.epub", book([])), ("e.lines", b"one\ntwo"), ("f.lines", b""), ("g.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    read = spark.read.format("books").option("partitionBytes", 1).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 4
+    rows = {(r["path"].rsplit("/", 1)[1], r["chapter_pos"]): r for r in read.collect()}
+    assert rows.keys() == {("a.epub", 0), ("a.epub", 1), ("b.EPUB", 0), ("b.EPUB", 1), ("c.epub", None), ("d.epub", None)}
+    assert rows["b.EPUB", 1]["title"] == "Deep" and rows["c.epub", None]["error"] and rows["d.epub", None]["error"] is None and rows["c.epub", None]["size"] == 6
+    assert spark.read.format("books").load(f"{tmp_path}/a.epub").select("chapter_title").count() == 2
+    other = spark.read.format("books").option("suffix", ".lines").option("parser", f"{__name__}:short_book").load(str(tmp_path))
+    assert sorted((r["title"], r["chapter_title"], r["lines"], r["error"]) for r in other.filter("error is null").collect()) == [("E", "Line 1", ["one"], None), ("E", "Line 2", ["two"], None)]
+    assert other.filter("error is not null").count() == 1
+    for bad in (spark.read.format("books").option("mode", "failfast").load(str(tmp_path)), spark.read.format("books").load(f"{tmp_path}/none")):
+        with pytest.raises(Exception, match="zip|FileNotFound|none"):
+            bad.collect()
