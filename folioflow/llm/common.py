@@ -104,6 +104,14 @@ def crc_mod(column: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with as many underscores after it as no name taken has in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     r"""Runs of [^\x20\x09-\x0D] of the text in UTF-8, A-Z lower-cased. bytes.split() cuts at exactly those six characters."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

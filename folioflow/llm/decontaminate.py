@@ -1,12 +1,15 @@
 r"""Benchmark decontamination: a hash set of the benchmark's normalised n-grams is sent to every task, which scans the windows of its
 training words, verifies each hit word by word and marks, cuts out or drops what it found.
 
-The set goes out as a broadcast only up to `most_windows` windows; a larger benchmark is scanned in blocks of items of that size, one
-after another, each over a written table with the marks so far, so a task holds one block at a time.
+The set goes out as a broadcast only up to `most_windows` windows, which Spark counts first. A larger benchmark stays a table: a bitmap of
+its windows' hashes, of bounded size, goes out instead, and the windows of the training words that it doesn't rule out meet those of the
+benchmark in one join by hash and words. Either way the corpus is scanned once for windows; the second way writes it down first, with a
+number for each row, so that rows that repeat an id, or have none, stay apart.
 
 Words: A-Z lower-cased, runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] (letters, digits, everything beyond ASCII). A window is 10 consecutive
 words of an item; an item with fewer, but at least one, is one window. Null texts have no words; an item with a null id counts as
-named ''. Repeated items count once by id. An empty benchmark leaves all documents clean; an empty table gives an empty result.
+named ''. Repeated items count once by id. Very long texts are batches of their own. Columns of docs called as marked()'s are replaced there,
+and pass through decontaminate() untouched. An empty benchmark leaves all documents clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chain, columns, slices, small_batches, spans, tidy, written
+from .common import batch, chain, columns, few, free_name, mix, slices, small_batches, spans, tidy, written
+from .jaccard import Hashes
+from .trees import partition_states, tree
 
 WINDOW = 10
-#: Windows that one broadcast may hold: some 500 MB at the most, in the form below.
-MOST_WINDOWS = 1_000_000
+#: Windows that one broadcast may hold, some 50 MB in each worker; bits of the bitmap for more of them.
+MOST_WINDOWS, MOST_BITS = 100_000, 1 << 29
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -101,18 +106,11 @@ def cut(text: str, runs: list[int]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of at most `most`, but an item's together; texts stream to the driver one at a time."""
-    held: list[tuple[str, str | None]] = []
-    size = 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").toLocalIterator(prefetchPartitions=True):
-        held.append((r["name"], r["text"]))
-        size += max(1, len(plain_words(r["text"])) - window + 1)
-        if size >= most:
-            yield Windows(held, window)
-            held, size = [], 0
-    if held:
-        yield Windows(held, window)
+def window_counts(benchmark: DataFrame, window: int) -> int:
+    """How many windows the benchmark has, counted by Spark."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    each = F.when(words > 0, F.greatest(words - window + 1, F.lit(1))).otherwise(0)
+    return benchmark.agg(F.sum(each.cast("long")).alias("n")).first()["n"] or 0
 
 
 MARKS = "n_words long, runs array<int>, items array<string>"
@@ -120,29 +118,115 @@ MARKS = "n_words long, runs array<int>, items array<string>"
 
 def marked(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """All columns of docs with n_words, runs (word positions: start, end, start, end ...) and items (sorted); a column of docs of one of these names gives way."""
-    return _joined(docs, [c for c in docs.columns if c not in ("n_words", "runs", "items")], benchmark, window, most_windows)
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_words", "runs", "items")])
+    small_batches(docs.sparkSession)
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
+    if window_counts(benchmark, window) > most_windows:
+        return _joined(docs, named, window)
+    items = [(r["name"], r["text"]) for r in named.toLocalIterator()]
+    return _scan(docs, docs.sparkSession.sparkContext.broadcast(Windows(items, window)))
 
 
-def _joined(docs: DataFrame, keep: list[str], benchmark: DataFrame, window: int, most: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(*keep, F.lit(0).cast("long").alias("__n"), F.array().cast("array<int>").alias("__runs"), F.array().cast("array<string>").alias("__items"))
-    first, sent = True, None
-    for w in blocks(benchmark, window, most):
-        if sent is not None:  # one block of windows at a time is out
-            out = written(out, "marked")
-            sent.destroy()
-        sent = sc.broadcast(w)
-        out = _scan(out, sent, first)
-        first = False
-    if first:
-        out = _scan(out, sc.broadcast(Windows([], window)), True)
-    return out.withColumnsRenamed({"__n": "n_words", "__runs": "runs", "__items": "items"})
-
-
-def _scan(docs: DataFrame, windows, first: bool) -> DataFrame:
-    """Unites what this block of windows finds with what the former found."""
-    schema = docs.schema
+def hashed(tokens: list[bytes], n: int, hashes: Hashes) -> np.ndarray:
+    """A hash of each n consecutive words."""
+    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    return mix(out)
+
+
+def _windows(named: DataFrame, window: int) -> DataFrame:
+    """n, hash, words, name of each window of the benchmark, once for each item."""
+    schema = pa.schema([("n", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("name", pa.string())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            for name, text in zip(*columns(b, "name", "text"), strict=True):
+                tokens = plain_words(text)
+                n = min(window, len(tokens))
+                if n:
+                    h = hashed(tokens, n, hashes).view(np.int64)
+                    yield batch(schema, [n] * len(h), h, [b" ".join(tokens[i : i + n]) for i in range(len(h))], [name] * len(h))
+
+    return written(named.mapInArrow(tidy(task), "n int, hash long, words binary, name string").distinct(), "windows")
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash modulo the number of bits, as bytes."""
+
+    def step(state: np.ndarray | None, b: pa.RecordBatch) -> np.ndarray:
+        state = np.zeros(bits // 8, np.uint8) if state is None else state
+        at = b.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        np.bitwise_or.at(state, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        return state
+
+    def merge(states: list[bytes]) -> bytes:
+        out = np.frombuffer(states[0], np.uint8).copy()
+        for s in states[1:]:
+            out |= np.frombuffer(s, np.uint8)
+        return out.tobytes()
+
+    return np.frombuffer(tree(partition_states(hashes.select("hash"), step, lambda s: s.tobytes()), merge, 4), np.uint8)
+
+
+def _joined(docs: DataFrame, named: DataFrame, window: int) -> DataFrame:
+    """What marked() gives, by a join of windows."""
+    spark = docs.sparkSession
+    ours = _windows(named, window)
+    lengths = sorted(r["n"] for r in ours.select("n").distinct().collect())  # at most `window`
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * ours.count()).bit_length()))
+    sent = spark.sparkContext.broadcast(bitmap(ours, bits))
+    names = docs.columns
+    number = free_name(names, "row_")
+    whole = written(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("words", pa.binary())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = Hashes(), sent.value
+        for whole in batches:
+            for b in slices(whole, "text"):
+                for row, text in zip(*columns(b, number, "text"), strict=True):
+                    tokens = plain_words(text)
+                    for n in lengths:
+                        if len(tokens) >= n:
+                            h = hashed(tokens, n, hashes)
+                            bit = h & np.uint64(bits - 1)
+                            at = np.flatnonzero(seen[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                            if len(at):
+                                yield batch(schema, [row] * len(at), at, [n] * len(at), h[at].view(np.int64), [b" ".join(tokens[i : i + n]) for i in at.tolist()])
+
+    likely = whole.select(number, "text").mapInArrow(tidy(find), "row long, at int, n int, hash long, words binary")
+    # Both sides are tables, so that adaptive execution can split a passage that very many documents share.
+    hits = written(likely, "likely").join(ours, ["hash", "n", "words"]).select("row", "at", "n", "name")
+    found = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.array_sort(F.collect_set("name")).alias("items"))
+    found = written(found.select(F.col("row").alias(f"{number}_"), F.col("hits.at").alias(f"{number}at"), F.col("hits.n").alias(f"{number}n"), F.col("items").alias(f"{number}items")), "hits")
+    both = whole.join(few(found), F.col(number) == F.col(f"{number}_"), "left").select(*names, f"{number}at", f"{number}n", f"{number}items")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts, ats, ns, items = columns(b, "text", f"{number}at", f"{number}n", f"{number}items")
+                counts, runs = [], []
+                for text, at, n in zip(texts, ats, ns, strict=True):
+                    counts.append(len(plain_words(text)))
+                    edges = np.zeros(counts[-1] + 1, np.int64)
+                    np.add.at(edges, np.array(at or [], np.int64), 1)
+                    np.add.at(edges, np.array(at or [], np.int64) + np.array(n or [], np.int64), -1)
+                    runs.append(ranges(np.cumsum(edges[:-1]) > 0))
+                kept = [b.column(i) for i in range(b.num_columns - 3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array([x or [] for x in items], pa.list_(pa.string()))], names=[*names, "n_words", "runs", "items"])
+
+    return both.mapInArrow(tidy(mark), _with_marks(docs).schema)
+
+
+def _with_marks(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
+
+
+def _scan(docs: DataFrame, windows) -> DataFrame:
+    """What marked() gives, by a broadcast set of windows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,21 +235,9 @@ def _scan(docs: DataFrame, windows, first: bool) -> DataFrame:
                 starts = spans(counts + 1)
                 runs = [ranges(hit[i : i + n]) for i, n in zip(starts[:-1].tolist(), counts.tolist(), strict=True)] if hit.any() else [np.zeros(0, np.int64)] * len(counts)
                 names = [sorted(x) for x in items]
-                if not first:
-                    was_runs, was_items = columns(b, "__runs", "__items")
-                    for i, (r, x) in enumerate(zip(was_runs, was_items, strict=True)):
-                        if len(r):
-                            both = np.zeros(counts[i], dtype=bool)
-                            for p in (r, runs[i].tolist()):
-                                for lo, hi in zip(p[::2], p[1::2], strict=True):
-                                    both[lo:hi] = True
-                            runs[i] = ranges(both)
-                        names[i] = sorted({*x, *names[i]})
-                n = b.num_columns
-                kept = [b.column(i) for i in range(n - 3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=b.schema.names)
-
-    return docs.mapInArrow(tidy(task), schema)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "runs", "items"])
+
+    return docs.mapInArrow(tidy(task), _with_marks(docs).schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 #: Marks of prefix, suffix and middle.
 SENTINELS = ("<P>", "<S>", "<M>")
@@ -37,13 +39,6 @@ def draw(digest: Column, k: int) -> Column:
     return F.conv(F.substring(digest, 8 * k - 7, 8), 16, 10).cast("long")
 
 
-def free_name(taken: list[str], name: str) -> str:
-    have = {c.lower() for c in taken}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def fill_in_middle(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: str = "1", sentinels: tuple[str, str, str] = SENTINELS, rearranged: int = REARRANGED, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
     """docs with n (units), form (plain, psm or spm), prefix_chars, middle_chars (null where plain) and output (the rearranged text)."""
     check_sentinels(sentinels)

@@ -17,21 +17,21 @@ turned among themselves. Columns other than the id and the vector aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, discard, tidy, written
+from .common import batch, tidy, written
+from .trees import partition_states, tree
 
 COMPONENTS = 32
 SCALE, SHIFT, BOUND = 64, 1_000_000, float(1 << 56)
-#: States that one task merges; rows that go into a QR step together with the R so far, as a multiple of the dimension, and at least.
-FAN, TIMES, LEAST = 16, 4, 2048
+#: Rows that go into a QR step together with the R so far, as a multiple of the dimension, and at least.
+TIMES, LEAST = 4, 2048
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -90,39 +90,6 @@ class Centre:
         return [int(v) for v in (z * z).sum(1)]
 
 
-def tree(states: DataFrame, merge: Callable[[list[bytes]], bytes]) -> bytes | None:
-    """One state of all rows (node, state) by merging FAN neighbours in a task, again and again."""
-    table = written(states, "states")
-    schema = pa.schema([("node", pa.int64()), ("state", pa.binary())])
-
-    def task(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("node")
-        return pa.table({"node": [rows["node"][0].as_py() // FAN], "state": [merge(rows["state"].to_pylist())]}, schema=schema)
-
-    while table.count() > 1:
-        up = table.groupBy(F.floor(F.col("node") / FAN).alias("up")).applyInArrow(lambda t: task(t.select(["node", "state"])), "node long, state binary")
-        before, table = table, written(up, "states")
-        discard(before)
-    row = table.first()
-    discard(table)
-    return bytes(row["state"]) if row else None
-
-
-def partition_states(rows: DataFrame, step: Callable, finish: Callable[[object], bytes]) -> DataFrame:
-    """node (the partition), state: step(state so far, record batch) over each partition that has rows."""
-    schema = pa.schema([("node", pa.int64()), ("state", pa.binary())])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for b in batches:
-            if b.num_rows:
-                state = step(state, b)
-        if state is not None:
-            yield batch(schema, [TaskContext.get().partitionId()], [finish(state)])
-
-    return rows.mapInArrow(tidy(task), "node long, state binary")
-
-
 def triangle(*parts: np.ndarray) -> np.ndarray:
     return np.linalg.qr(np.vstack(parts), mode="r")
 

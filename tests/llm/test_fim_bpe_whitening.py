@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, fim, forced_bpe, whitening
+from folioflow.llm import encoding, fim, forced_bpe, trees, whitening
 
 RNG = random.Random(11)
 ALPHABET = "ab cdEZ\n\t  .,'<PSM>0129é漢😀  \x1c"
@@ -184,7 +184,7 @@ def test_whitening_equals_brute_force(spark, tmp_path):
 
 
 def test_whitening_merges_many_states(spark, monkeypatch):
-    monkeypatch.setattr(whitening, "FAN", 2)
+    monkeypatch.setattr(whitening, "tree", lambda states, merge: trees.tree(states, merge, 2))
     frame, data = vectors(spark, 90, 6)
     rows = whitening.usable(frame.repartition(11), "vec_id", "embedding")
     n, total = whitening.sums(rows)

@@ -217,9 +217,19 @@ def test_decontamination_of_and_by_nothing(spark):
 def test_marks_take_the_place_of_columns_of_their_names(spark):
     bench = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
     docs = spark.createDataFrame([(1, "say one two three", 9, "x", "y")], "doc_id long, text string, n_words int, runs string, items string")
-    (got,) = decontaminate.marked(docs, bench).collect()
-    assert (got["n_words"], got["runs"], got["items"]) == (4, [1, 4], ["a"])
-    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    for most in (10, 0):
+        (got,) = decontaminate.marked(docs, bench, most_windows=most).collect()
+        assert (got["n_words"], got["runs"], got["items"]) == (4, [1, 4], ["a"])
+        assert decontaminate.decontaminate(docs, bench, most_windows=most).columns == docs.columns
+
+
+def test_decontamination_of_rows_that_repeat_an_id(spark):
+    bench = spark.createDataFrame([(i, f"common passage of five words {i % 2}") for i in range(40)], "item_id long, text string")
+    data = [(1, "common passage of five words 0"), (1, "nothing"), (1, None), (None, "x common passage of five words 1 y"), (None, "x common passage of five words 1 y")] + [(7, "common passage of five words 1")] * 500
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for most in (10_000, 0):
+        got = collections.Counter((r["doc_id"], r["n_words"], tuple(r["runs"]), len(r["items"])) for r in decontaminate.marked(docs, bench, most_windows=most).collect())
+        assert got == {(1, 6, (0, 6), 20): 1, (1, 1, (), 0): 1, (1, 0, (), 0): 1, (None, 8, (1, 7), 20): 2, (7, 6, (0, 6), 20): 500}
 
 
 def test_mixing_with_any_column_names_and_repeated_ids(spark):
