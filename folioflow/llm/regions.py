@@ -34,8 +34,8 @@ from .components import local_groups
 BLOCK_SHINGLES, BLOCK_SETS, TILE = 1_000_000, 4096, 768
 #: Pairs a hash makes up to which they are counted one by one, and pairs counted at once.
 RARE, PAIRS = 2000, 8_000_000
-#: The shingles beyond which a region is parted.
-OWN_BLOCK = 1_000_000
+#: The shingles beyond which a region is parted: those of a few hundred sets.
+OWN_BLOCK = 100_000
 #: Pivots of a region: half drawn by the weight of what is linked to them, half evenly; levels of the recursion.
 PIVOTS, LEVELS = 16, 8
 #: A region is parted if its parts together need at most this share of its work.
