@@ -4,12 +4,14 @@ A file holds shards one after another, each self-describing: header, Elias-Fano
 of the document ids (ascending, less the first), ids of 2 or 4 bytes. An Elias-Fano sequence of n values up to u takes about
 2 + log2(u / n) bits a value; select samples give any value without decoding the others.
 
-Documents are dealt to tasks by ranges of doc_id and sorted there, so file order is id order; a shard is cut when it holds
+Documents are dealt to tasks by ranges of doc_id, among rows of one id by the beginnings of their texts, a hash, and where they came
+from, and sorted there, so file order is id order and an id that very many rows share fills several files; a shard is cut when it holds
 `shard_ids` ids, so a task never holds more than that and one document. Spark's text writer writes the files (see warc.py on why) and
 the separator after each shard is part of the format. Offsets before each shard come from a table with one row per shard, in the order
 of the partitions that wrote the files; offsets within a shard come from select.
 
-Columns of docs other than doc_id and text aren't read and may have any name. A null text has no ids but its end id. Rows with equal ids are kept, ordered by text. A null id sorts first and reads back as null. An
+Columns of docs other than doc_id and text aren't read and may have any name. A null text has no ids but its end id. Rows with equal ids are kept, ordered by the first 64 characters of
+their texts and then by a hash. Very long texts are batches of their own. A null id sorts first and reads back as null. An
 empty table gives no files and no rows.
 """
 
@@ -31,6 +33,8 @@ MAGIC = b"EFTOKEN1"
 SEPARATOR = "\n"
 #: Bytes of text for each file, about.
 FILE_BYTES = 32 << 20
+#: Characters of a text that order rows of one id.
+HEAD = 64
 #: Every this many-th value has its place in the high bits noted.
 STEP = 256
 
@@ -142,7 +146,10 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     small_batches(spark)
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = partitions or max(spark.sparkContext.defaultParallelism * 2, -(-total // FILE_BYTES))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # Rows of one id, and equal rows, can be dealt to several tasks; the keys are short, for Spark draws a sample of them.
+    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_")).withColumns({"head_": F.substring("text", 1, HEAD), "hash_": F.xxhash64("text")})
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("head_"), F.asc("hash_"), F.asc("row_")]
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = pa.schema([("shard", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

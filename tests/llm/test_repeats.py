@@ -5,7 +5,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import embeddings, jaccard, mixing
+from folioflow.llm import embeddings, jaccard, mixing, token_store
+from folioflow.llm.common import shared_dir
 
 from .test_operators import docs_frame, prose
 
@@ -57,3 +58,17 @@ def test_each_row_is_a_vector(spark):
     got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out)
     want = [(None, 2, 1, False), (None, 2, 1, False), (1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, None, True), (None, 1, None, False), (None, 0, None, True), (4, 0, 4, True), (4, 0, 4, True)]
     assert got == collections.Counter(want)
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    """Equal rows without an id and rows that share one, each a third of a table."""
+    data = [(None, "the same words")] * 400 + [(7, f"text {i}") for i in range(400)] + [(i, "x") for i in range(400)]
+    path = shared_dir(spark) + "/t"
+    token_store.write_store(spark.createDataFrame(data, "doc_id long, text string").repartition(5), path, partitions=8, shard_ids=200)
+    got = token_store.read_store(spark, path).orderBy("start").collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in data)
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    each = [collections.Counter(i for s in token_store.shards(f["content"]) for i in s.doc_ids()) for f in files]
+    assert sum(c[None] > 0 for c in each) > 1 and sum(c[7] > 0 for c in each) > 1 and max(sum(c.values()) for c in each) < 500
