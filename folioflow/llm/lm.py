@@ -13,7 +13,9 @@ the chunk's own order. So a frequent word costs one number a chunk, whatever its
 histogram for the weights (bounded by its grid) reaches the driver. Statistics cover every token of every training document.
 
 A null text is empty: one end. A null id counts as the empty text in the fold rule. Rows that repeat an id are documents of their own.
-Without training documents base_score and score are those of an untrained uniform model. An empty table gives an empty result.
+Without training documents base_score and score are those of an untrained uniform model. An empty table gives an empty result. A very
+long text is one document of its chunk, which then exceeds its usual size by that text. Columns other than doc_id and text aren't read
+and may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ chunk; mean, minimum and maximum of the chunk scores make one logit. Filters, de
 Training takes a bounded sample of labelled rows: at most `sample_rows` of the training fold, lowest hash of doc_id first, none longer
 than `sample_longest` characters. Scoring takes every text whole, block by block, so memory doesn't grow with a text's length beyond
 its own bytes. A null or empty text is one block of zeros. Rows with a null label aren't learned from; without labels of two kinds the
-score is the share of label 1 (0.5 without any). Repeated rows score alike; an empty table gives an empty result.
+score is the share of label 1 (0.5 without any). Repeated rows score alike, and a score that equals the threshold is kept; an empty
+table gives an empty result. Columns other than doc_id and text are never read; keep_good() passes them through under any name, while
+scored() adds `__score` and takes no frame that has such a column. A labelled text longer than `sample_longest` isn't learned from, but
+is scored whole.
 """
 
 from __future__ import annotations

@@ -4,11 +4,14 @@ A document is cut into runs of some 160 characters, before spaces with other tha
 always cuts. Leaves hold a run and its token count; inner nodes hold the sums of characters and tokens below. An edit (start, end,
 replacement, in characters of the text as it then is) descends to the leaves it touches and takes one more run on either side as
 boundary context, whose outer ends are old, safe cuts. Their text is cut and encoded anew and the sums above are updated, in time
-logarithmic in the length of the document; when a tree has grown or emptied by half, it is built afresh from its runs without encoding.
+logarithmic in the length of the document; when an edit makes more than twice the runs of the leaves it took, or empties all of
+them, the tree is built afresh from its runs without encoding the others.
 
 Edits are an array of structs (start, end, text) beside the text, applied in order; places beyond the text count as its end, an end
 before its start as the start, negative ones as 0, nulls as 0 and empty text. A null text is empty; no or null edits leave it as it is.
-Texts and edits pass through one map over the rows, each whole; a row with many edits costs no other row anything.
+Texts and edits pass through one map over the rows, each whole; a row with many edits costs no other row anything. Very long texts are
+batches of their own; rows that repeat an id, or have none, are rows of their own; an empty table gives an empty result. Columns other
+than those named aren't read and may have any name.
 """
 
 from __future__ import annotations

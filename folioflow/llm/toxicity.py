@@ -7,7 +7,9 @@ the features that stand in toxic documents only those remain that tell them apar
 Training takes a bounded sample: at most `sample_rows` labelled rows of the training fold, lowest hash of doc_id first, none longer
 than `sample_longest` characters, and at most `most_words` candidate features, those whose presence tells most. Scoring takes every text
 whole. Words: runs of letters, lower-cased; beginnings: their first 3 to 8 letters. Sentences end at . ! ? or a line break. A null or empty text counts as one sentence
-without words. Null labels aren't learned from; without labels of two kinds the score is the share of label 1 (0 without any).
+without words. Null labels aren't learned from; without labels of two kinds the score is the share of label 1 (0 without any). Repeated
+rows score alike, a score that equals the threshold counts as toxic, and an empty table gives an empty result. Columns other than doc_id
+and text are never read and may have any name. A labelled text longer than `sample_longest` isn't learned from, but is scored whole.
 """
 
 from __future__ import annotations

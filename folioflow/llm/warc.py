@@ -7,7 +7,9 @@ archive: each row is one frame, and the line separator is itself an empty skippa
 Each task makes one archive from the rows it holds, streaming; only the sample for the dictionary (at most `sample_bytes`) is kept.
 Of rows with equal payloads (same SHA-1 and length), the one with the largest id is a response and the others revisit it; payloads
 under `revisit_from` bytes are always responses. A null payload is empty; a null id is written as such, and revisits or is revisited
-only as the smallest of ids. Rows repeated with the largest id are all responses. An empty table gives no archive and no rows.
+only as the smallest of ids. Rows repeated with the largest id are all responses. An empty table gives no archive and no rows. Columns
+other than page_id, url and html aren't read and may have any name. An archive is as large as its task's rows and is read back as one
+value, so a partition has to hold less than 2 GB of compressed records; Spark's default of 128 MB of input for each is well below.
 """
 
 from __future__ import annotations
