@@ -68,6 +68,11 @@ def escape_ffmetadata(x: Column | str) -> Column:
     return F.regexp_replace(c(x), r"([\\=;#\n])", r"\\$1")
 
 
+def without_fragment(x: Column | str) -> Column:
+    """A link's file: what stands before its first `#`."""
+    return F.substring_index(c(x), "#", 1)
+
+
 def coerce_category(x: Column | str) -> Column:
     """A provider's word for a voice category; anything else is unknown."""
     known = fold(strip(x))

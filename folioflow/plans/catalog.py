@@ -255,7 +255,7 @@ def sanitize_filename(spark, d):
 
 @query(r"SELECT page_id, regexp_replace(url, '([\\=;#\n])', '\\\1', 'g') AS escaped, CASE WHEN length(url) > 30 THEN substr(url, 1, 29) || '…' ELSE url END AS short, split_part(url, '#', 1) AS plain FROM pages")
 def escape_ffmetadata(spark, d):
-    return table(spark, d, "pages").select("page_id", X.escape_ffmetadata("url").alias("escaped"), X.shortened("url", 30).alias("short"), F.substring_index("url", "#", 1).alias("plain"))
+    return table(spark, d, "pages").select("page_id", X.escape_ffmetadata("url").alias("escaped"), X.shortened("url", 30).alias("short"), X.without_fragment("url").alias("plain"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Label ' || doc_id WHEN doc_id % 3 = 1 AND trim(split_part(text, chr(10), 1)) <> '' THEN trim(split_part(text, chr(10), 1)) ELSE 'Chapter ' || (doc_id + 1) END AS title FROM documents")
