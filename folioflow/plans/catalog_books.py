@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
-from ..operators import actions, attribute, correct, gate, views, voice
+from ..operators import actions, attribute, correct, gate, render, views, voice
 from ..schema import CATEGORIES, SEGMENTS, STAGES
 from ..sources import audio, book_source, epub, m4b, store, workspace
-from .catalog import SEG_SQL, query, segments, table
+from .catalog import PARAMS, SEG_SQL, cast, params, query, segments, table
 from .catalog import DICT_SQL, LINES_SQL, dictionary, rep
-from .catalog_edits import _OCR, _SPELL_LAST, AGAIN, KEY, ONCE, each_row, people
+from .catalog_edits import _OCR, _SPELL_LAST, AGAIN, KEY, ONCE, _speech, each_row, people
+from .session import Corpus
 
 # --- EPUBs: a book for each document, its lines dealt to two chapters -----------------------------------------------------------------
 
@@ -142,6 +143,38 @@ def parse_results(spark, d):
     return told.withColumn("message", F.when(F.col("message").contains("not a zip file"), "broken").otherwise(F.col("message")))
 
 
+# --- a corpus from its files on ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_EPUBS}, n AS (SELECT CAST(doc_id AS VARCHAR) AS name, any_value(title) AS title, any_value(author) AS author, count(chapter_pos) AS chapters, sum(coalesce(len(lines), 0)) AS lines FROM i GROUP BY 1)
+SELECT name, CASE WHEN lines > 0 THEN 'correct' ELSE 'parse' END AS stage, CASE WHEN lines > 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN lines > 0 THEN title ELSE name END AS title, CASE WHEN lines > 0 THEN author END AS author,
+CASE WHEN lines > 0 THEN chapters ELSE 0 END AS chapters, CAST(CASE WHEN lines > 0 THEN lines ELSE 0 END AS BIGINT) AS lines FROM n""")
+def corpus_run(spark, d):
+    """The books' files made projects and run up to correction: where each project is, and what is stored of it."""
+    top = store.scratch(spark)
+    epubs(spark, d).mapInArrow(_written_out(f"{top}/in"), "n long").agg(F.sum("n")).collect()
+    corpus = Corpus(spark, f"{top}/ws")
+    corpus.create(f"{top}/in")
+    ends = corpus.run("correct").projects
+    t = corpus.tables()
+    n = lambda table, name: t[table].groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
+    out = t["projects"].join(ends, "project_id").join(n("chapters", "chapters"), "project_id", "left").join(n("lines", "lines"), "project_id", "left")
+    return out.select("name", "stage", "status", "title", "author", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chapters", "lines")])
+
+
+@query(f"""WITH {SEG_SQL}, one AS (SELECT min(segment_id) AS id FROM segments WHERE speaker_id = 'user' AND length(text) % 5 <> 0)
+SELECT segment_id, CASE WHEN id IS NOT NULL THEN 'completed' ELSE audio_status END AS audio_status, CASE WHEN id IS NOT NULL THEN audio_cache_key <> sha256(text || chr(0) || 'clip1' || chr(0) || '{PARAMS}' || CASE WHEN audio_seed IS NOT NULL THEN chr(0) || 'seed' || chr(0) || audio_seed ELSE '' END) ELSE false END AS changed
+FROM segments LEFT JOIN one ON id = segment_id""")
+def rendered_one(spark, d):
+    """One segment rendered on request; the others stay as they are."""
+    s = segments(spark, d)
+    chosen = s.filter("speaker_id = 'user' and length(text) % 5 <> 0").agg(F.min("segment_id")).first()[0]
+    made, _ = render.render_segment(s, chosen, *cast(spark), params(spark), _speech)
+    old = s.select("segment_id", F.col("audio_cache_key").alias("old"))
+    changed = F.when(F.col("segment_id") == chosen, F.col("audio_cache_key") != F.col("old")).otherwise(F.lit(False))
+    return made.join(old, "segment_id").select("segment_id", "audio_status", changed.alias("changed"))
+
+
 # --- all correctors at once -----------------------------------------------------------------------------------------------------------------
 
 _ALL = _OCR.replace(LINES_SQL, f"{SEG_SQL}, lines AS (SELECT {KEY}, text FROM segments)") + ", x AS (SELECT " + KEY + ", {0} AS ts FROM b), ".format(_SPELL_LAST[0]) + _SPELL_LAST[1]
