@@ -44,7 +44,7 @@ def test_parts_are_put_together(spark, tmp_path, monkeypatch):
 
 
 def test_two_writers(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/s", SCHEMAS)
+    s = store.Store(spark, f"{tmp_path}/s", SCHEMAS)
     rows = lambda *x: spark.createDataFrame([(i, str(i)) for i in x], SCHEMAS["a"])
     base = s.commit(s.current(), {"a": rows(1), "b": rows(1).select("k")})
     s.commit(base, {"a": rows(2)})
