@@ -25,7 +25,7 @@ def talks(texts):
     return pa.table({"conv_id": pa.array([i // 4 for i in n], pa.int64()), "turn": pa.array([i % 4 for i in n], pa.int64()), "role": ["user"] * len(texts), "text": texts})
 
 
-@pytest.mark.parametrize("name", ["accept_suggestion"])
+@pytest.mark.parametrize("name", ["accept_suggestion", "speaker_resolution"])
 def test_capitals_letter_by_letter(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, conversations=talks(["ßa und", "äßk so", "Straße", "ﬁn ŉa", "ᾳx", "", "aß", "öß e ẞ", "ǰ", "plain words"]))
     assert got == want
