@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import actions, attribute, correct, render, resolve, segment, voice
 from ..schema import STORED
 from ..sources import audio, workspace
@@ -314,7 +315,7 @@ def _vectors(spark, d) -> DataFrame:
 def levelled_samples(spark, d):
     read = lambda r: [{"vec_id": r["vec_id"], "samples": audio.normalize(r["embedding"], 16000, audio.Loudness())}]
     made = each_row(_vectors(spark, d), read, [("vec_id", pa.int64()), ("samples", pa.list_(pa.float64()))], "vec_id long, samples array<double>")
-    return made.select("vec_id", F.transform("samples", lambda s: F.round(s, 6)).alias("samples"))
+    return made.select("vec_id", F.transform("samples", lambda s: X.rounded(s, 6)).alias("samples"))
 
 
 @query(f"""WITH x AS (SELECT vec_id, {_PCM.format('list_transform(embedding, lambda q: CAST(q AS DOUBLE))')} AS pcm FROM embeddings) SELECT vec_id, list_transform(pcm, lambda s: CAST(s AS BIGINT)) AS pcm, len(pcm) / 8000.0 AS seconds FROM x""")

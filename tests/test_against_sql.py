@@ -1,10 +1,13 @@
 """Queries of the catalogue on tables of odd values, row by row against their SQL."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as e
+from folioflow.functions import text as X
+from folioflow.sources import audio
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -29,3 +32,20 @@ def talks(texts):
 def test_capitals_letter_by_letter(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, conversations=talks(["ßa und", "äßk so", "Straße", "ﬁn ŉa", "ᾳx", "", "aß", "öß e ẞ", "ǰ", "plain words"]))
     assert got == want
+
+
+def test_levels_have_the_bits_of_their_sql():
+    v = np.random.default_rng(3).normal(size=(200, 64)).astype(np.float32)
+    from folioflow.plans.catalog_edits import _LEVEL
+
+    db = duckdb.connect()
+    db.register("embeddings", pa.table({"vec_id": list(range(200)), "embedding": pa.array(list(v), pa.list_(pa.float32()))}))
+    want = db.execute(f"WITH x AS (SELECT vec_id, list_transform(embedding, lambda s: CAST(s AS DOUBLE)) AS v FROM embeddings), {_LEVEL} SELECT list_transform(v, lambda s: s * factor) FROM y ORDER BY vec_id").fetchall()
+    assert all((audio.normalize(x, 16000, audio.Loudness()) == np.array(w[0])).all() for x, w in zip(v, want, strict=True))
+
+
+def test_halves_are_rounded_as_scaled_numbers(spark):
+    z = [(2 * i + 1) / 2e6 for i in range(400_000, 400_500)] + [-0.5195015, 0.0, float("nan")]
+    want = [r[0] for r in duckdb.execute("SELECT round(z, 6) FROM (SELECT unnest(?) AS z)", [z]).fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(X.rounded("z", 6)).collect()]
+    assert repr(got) == repr(want)
