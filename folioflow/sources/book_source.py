@@ -11,7 +11,9 @@ need no change here.
 from __future__ import annotations
 
 import importlib
+import json
 import posixpath
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -30,10 +32,14 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<s
 
 
 class Files(InputPartition):
-    """Paths, within their file system, and sizes."""
+    """Paths, within their file system, and sizes, packed: the planner holds all partitions at once."""
 
     def __init__(self, files: Sequence[tuple[str, int]]):
-        self.files = list(files)
+        self.packed = zlib.compress(json.dumps(list(files)).encode())
+
+    @property
+    def files(self) -> list[tuple[str, int]]:
+        return [(path, size) for path, size in json.loads(zlib.decompress(self.packed))]
 
 
 class BookReader(DataSourceReader):
@@ -48,19 +54,25 @@ class BookReader(DataSourceReader):
         if self.mode not in MODES:
             raise ValueError(f"mode can't be {self.mode!r}")
 
-    def partitions(self) -> list[InputPartition]:
+    def _listed(self) -> Iterator[tuple[str, int]]:
+        """Paths and sizes of the files, in order within a folder; one folder is listed at a time."""
         fs, top = open_filesystem(self.uri)
         found = fs.get_file_info(top)
-        if found.type == pa.fs.FileType.Directory:
-            found = fs.get_file_info(pa.fs.FileSelector(top, recursive=True))
-        elif found.type == pa.fs.FileType.File:
-            found = [found]
-        else:
+        if found.type == pa.fs.FileType.NotFound:
             raise FileNotFoundError(self.uri)
-        files = sorted((f.path, f.size) for f in found if f.type == pa.fs.FileType.File and f.path.lower().endswith(self.suffix) and not f.base_name.startswith("."))
+        folders = [top] if found.type == pa.fs.FileType.Directory else []
+        here = [] if folders else [found]
+        while here or folders:
+            if not here:
+                here = fs.get_file_info(pa.fs.FileSelector(folders.pop()))
+            folders += sorted((f.path for f in here if f.type == pa.fs.FileType.Directory), reverse=True)
+            yield from sorted((f.path, f.size) for f in here if f.type == pa.fs.FileType.File and f.path.lower().endswith(self.suffix) and not f.base_name.startswith("."))
+            here = []
+
+    def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         held, size = [], 0
-        for path, n in files:
+        for path, n in self._listed():
             if held and size + n > self.bytes:
                 out.append(Files(held))
                 held, size = [], 0
