@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from folioflow.plans import catalog_books
+from folioflow.plans.session import Corpus
 from folioflow.sources.book_source import BookReader
 from folioflow.sources.epub import BOOK_ROWS
 from pyspark.sql.types import StructType
@@ -25,3 +26,16 @@ def test_listing_is_packed(spark, tmp_path):
     found = [f for p in parts for f in p.files]
     assert sorted(path for path, _ in found) == sorted(map(str, top.rglob("*.epub"))) and all(sum(n for _, n in p.files) <= 200_000 for p in parts)
     assert len(pickle.dumps(parts)) < 25 * len(found)
+
+
+def test_small_books_share_tasks(spark, tmp_path):
+    top = written(spark, tmp_path, range(0, 400))
+    corpus = Corpus(spark, f"file://{tmp_path}/ws")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    corpus.create(f"file://{top}")
+    corpus.parse()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    t = corpus.tables()
+    assert t["projects"].count() == 400 and t["chapters"].select("project_id").distinct().count() == 300
+    folders = [f for f in (tmp_path / "ws" / "tables" / "lines").iterdir()]
+    assert sum(len(list(f.glob("part-*.parquet"))) for f in folders) <= 4
