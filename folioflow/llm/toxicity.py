@@ -14,6 +14,7 @@ and text are never read and may have any name. A labelled text longer than `samp
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from .quality import labelled_sample, sigmoid
 
 THRESHOLD = 0.7
 SAMPLE_ROWS, SAMPLE_LONGEST, MOST_WORDS = 5000, 20_000, 4000
+#: Words that scoring remembers.
+MOST_SEEN = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,27 +54,37 @@ class NoisyOr:
         self.starts: set[str] = set()
         self.bias = -9.0
         self.prior: float | None = None
+        #: Words that were looked at, and those of them that have features with a weight, with these.
+        self.seen: set[str] = set()
+        self.marks: dict[str, set[str]] = {}
 
     def telling(self, text: str) -> set[str]:
-        starts = self.starts
-        return self.weights.keys() & features({w for w in words_of(text) if w[:3] in starts})
+        """Features with a weight; a word is looked at closely once, as long as there are no more than MOST_SEEN."""
+        words = words_of(text)
+        if new := words - self.seen:
+            if len(self.seen) > MOST_SEEN:
+                self.seen, self.marks, new = set(), {}, words
+            self.seen |= new
+            for w in new:
+                if w[:3] in self.starts and (found := self.weights.keys() & features({w})):
+                    self.marks[w] = found
+        hits = self.marks.keys() & words
+        return set().union(*map(self.marks.get, hits)) if hits else hits
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """Start, end and probability of each sentence."""
-        out = []
+        out, plain = [], float(sigmoid(self.bias))
         for m in _SENTENCE.finditer(text or ""):
-            z = self.bias + sum(map(self.weights.get, self.telling(m[0])))
-            out.append((*m.span(), float(sigmoid(z))))
+            found = self.telling(m[0])
+            p = float(sigmoid(self.bias + math.fsum(map(self.weights.get, found)))) if found else plain
+            out.append((*m.span(), p))
         return out
 
     def score(self, text: str | None) -> float:
         if self.prior is not None:
             return self.prior
-        text = text or ""
-        if not self.telling(text):
-            n = max(1, sum(1 for _ in _SENTENCE.finditer(text)))
-            return float(-np.expm1(n * np.log1p(-sigmoid(self.bias))))
-        return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text))))
+        each = [p for _, _, p in self.sentences(text)] or [float(sigmoid(self.bias))]
+        return -math.expm1(math.fsum(math.log1p(-min(p, 1 - 1e-12)) for p in each))
 
     def fit(self, texts: list[str | None], labels: list[int], *, steps: int = 500, rate: float = 0.06, l1: float = 3e-5, most_words: int = MOST_WORDS) -> NoisyOr:
         y = np.asarray(labels, dtype=float)
@@ -120,6 +133,7 @@ class NoisyOr:
         self.bias = float(b)
         self.weights = {x: float(w[i]) for x, i in known.items() if w[i]}
         self.starts = {x.removesuffix("+")[:3] for x in self.weights}
+        self.seen, self.marks = set(), {}
         return self
 
 
