@@ -106,6 +106,15 @@ def cut(text: str, runs: list[int]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
+def without_runs(b: pa.RecordBatch, runs: list[np.ndarray]) -> pa.RecordBatch:
+    """The batch, with the words of each row's runs cut out of its text."""
+    if not any(map(len, runs)):
+        return b
+    at = b.schema.get_field_index("text")
+    fixed = [cut(t, r.tolist()) if len(r) else t for t, r in zip(b.column(at).to_pylist(), runs, strict=True)]
+    return b.set_column(at, "text", pa.array(fixed, b.column(at).type))
+
+
 def window_counts(benchmark: DataFrame, window: int) -> int:
     """How many windows the benchmark has, counted by Spark."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
@@ -116,15 +125,16 @@ def window_counts(benchmark: DataFrame, window: int) -> int:
 MARKS = "n_words long, runs array<int>, items array<string>"
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """All columns of docs with n_words, runs (word positions: start, end, start, end ...) and items (sorted); a column of docs of one of these names gives way."""
+def marked(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_windows: int = MOST_WINDOWS, cut_out: bool = False) -> DataFrame:
+    """All columns of docs with n_words, runs (word positions: start, end, start, end ...) and items (sorted); a column of docs of one of these names gives way.
+    With cut_out the texts come without their runs, cut in the same pass: a second one would keep a second Python worker for each task."""
     docs = docs.select(*[c for c in docs.columns if c not in ("n_words", "runs", "items")])
     small_batches(docs.sparkSession)
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
     if window_counts(benchmark, window) > most_windows:
-        return _joined(docs, named, window)
+        return _joined(docs, named, window, cut_out)
     items = [(r["name"], r["text"]) for r in named.toLocalIterator()]
-    return _scan(docs, docs.sparkSession.sparkContext.broadcast(Windows(items, window)))
+    return _scan(docs, docs.sparkSession.sparkContext.broadcast(Windows(items, window)), cut_out)
 
 
 def hashed(tokens: list[bytes], n: int, hashes: Hashes) -> np.ndarray:
@@ -171,7 +181,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return np.frombuffer(tree(partition_states(hashes.select("hash"), step, lambda s: s.tobytes()), merge, 4), np.uint8)
 
 
-def _joined(docs: DataFrame, named: DataFrame, window: int) -> DataFrame:
+def _joined(docs: DataFrame, named: DataFrame, window: int, cut_out: bool) -> DataFrame:
     """What marked() gives, by a join of windows."""
     spark = docs.sparkSession
     ours = _windows(named, window)
@@ -215,7 +225,7 @@ def _joined(docs: DataFrame, named: DataFrame, window: int) -> DataFrame:
                     np.add.at(edges, np.array(at or [], np.int64), 1)
                     np.add.at(edges, np.array(at or [], np.int64) + np.array(n or [], np.int64), -1)
                     runs.append(ranges(np.cumsum(edges[:-1]) > 0))
-                kept = [b.column(i) for i in range(b.num_columns - 3)]
+                kept = (without_runs(b, runs) if cut_out else b).columns[:-3]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array([x or [] for x in items], pa.list_(pa.string()))], names=[*names, "n_words", "runs", "items"])
 
     return both.mapInArrow(tidy(mark), _with_marks(docs).schema)
@@ -225,7 +235,7 @@ def _with_marks(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
 
 
-def _scan(docs: DataFrame, windows) -> DataFrame:
+def _scan(docs: DataFrame, windows, cut_out: bool) -> DataFrame:
     """What marked() gives, by a broadcast set of windows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +245,7 @@ def _scan(docs: DataFrame, windows) -> DataFrame:
                 starts = spans(counts + 1)
                 runs = [ranges(hit[i : i + n]) for i, n in zip(starts[:-1].tolist(), counts.tolist(), strict=True)] if hit.any() else [np.zeros(0, np.int64)] * len(counts)
                 names = [sorted(x) for x in items]
+                b = without_runs(b, runs) if cut_out else b
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "runs", "items"])
 
     return docs.mapInArrow(tidy(task), _with_marks(docs).schema)
@@ -253,21 +264,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans", **options) -> DataFrame:
     """The documents, all columns kept. remove="spans" cuts the hit words out of the texts, "documents" drops the contaminated."""
     names = docs.columns
-    found = marked(docs.withColumnsRenamed({c: f"c{i}_" for i, c in enumerate(names) if c != "text"}), benchmark, **options)
+    found = marked(docs.withColumnsRenamed({c: f"c{i}_" for i, c in enumerate(names) if c != "text"}), benchmark, cut_out=remove == "spans", **options)
     back = {f"c{i}_": c for i, c in enumerate(names) if c != "text"}  # so no column can clash with the marks
     if remove == "documents":
         return found.filter(F.size("runs") == 0).drop("n_words", "runs", "items").withColumnsRenamed(back).select(*names)
-    at = found.columns.index("text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, runs = columns(b, "text", "runs")
-            if any(runs):
-                fixed = pa.array([cut(t, r) if r else t for t, r in zip(texts, runs, strict=True)], b.column(at).type)
-                b = b.set_column(at, "text", fixed)
-            yield b
-
-    return found.mapInArrow(tidy(task), found.schema).drop("n_words", "runs", "items").withColumnsRenamed(back).select(*names)
+    return found.drop("n_words", "runs", "items").withColumnsRenamed(back).select(*names)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -134,12 +134,10 @@ class Encoder:
         at[starts[:-1]] = len(parts) + np.arange(len(column))  # the first piece of a text has no space before it
         heads = cut.values.take(pa.array(starts[:-1])).to_pylist() if len(column) else []
         parts += [x.tobytes() for x in self.ids(self.tokenizer, heads)]
-        each = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
-        where = np.cumsum(each) - each
-        counts = each[at]
-        ends = np.cumsum(counts)
-        out = np.frombuffer(b"".join(parts), self.dtype)[np.repeat(where[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        bounds = (np.concatenate(([0], ends))[starts] * self.dtype.itemsize).tolist()
+        joined = pa.array(parts, pa.large_binary()).take(pa.array(at))
+        out = joined.buffers()[2]
+        out = out.to_pybytes() if out else b""
+        bounds = np.frombuffer(joined.buffers()[1], np.int64)[starts].tolist() if len(column) else [0]
         result = [out[i:j] for i, j in itertools.pairwise(bounds)]
         for i, x in zip(odd, self.ids(self.tokenizer, whole), strict=True):
             result[i] = x.tobytes()

@@ -33,6 +33,8 @@ MAGIC = b"EFTOKEN1"
 SEPARATOR = "\n"
 #: Bytes of text for each file, about.
 FILE_BYTES = 32 << 20
+#: Bytes of text that a task encodes at a time; a worker needs some 30 times as much beside the tokenizer.
+ENCODED = 2_000_000
 #: Characters of a text that order rows of one id.
 HEAD = 64
 #: Every this many-th value has its place in the high bits noted.
@@ -158,7 +160,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
         names: list[int | None] = []
         held: list[bytes] = []
         size = 0
-        for part in gathered(batches, "text", 4_000_000):
+        for part in gathered(batches, "text", ENCODED):
             for d, ids in zip(columns(part, "doc_id")[0], enc.many(part.column(1)), strict=True):
                 names.append(d)
                 held.append(ids + end)
