@@ -3,37 +3,43 @@
 The tokenizer cuts a text before each space that is followed by a character other than white space, or preceded by one, and around a
 line break between two such characters, and no token crosses a cut; so a text may be cut there and the ids of its pieces joined. Texts
 with three characters of white space together, or with two at the end, and texts that hold one of the tokenizer's added tokens, as
-<|endoftext|>, are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after
-them; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the whole
-tokenizer. A worker keeps the ids of the first pieces it meets, up to a bound in number: frequent pieces come early. The other pieces
-of a batch are encoded once for that batch.
+<|endoftext|>, are encoded whole. Likewise letters after a space are a word of their own, and so are ASCII marks after them up to the
+next space; such words go to the library's merges directly, as byte-level words, many in one text; all other pieces go through the
+whole tokenizer. Pieces, their ids and the places of both stay in Arrow arrays. A worker keeps the ids of the first pieces it meets,
+up to a bound in number: frequent pieces come early. The other pieces of a batch are encoded once for that batch.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps, at most some 30 MB, and the longest of them in characters.
+#: Pieces that a worker keeps, some 4 MB of them, and the longest of them in characters.
 KEPT, LONGEST = 120_000, 64
-#: Words that are encoded as one text.
-RUN = 2000
-
-#: Stands for a line break before a piece; a text that has this private-use character is encoded whole.
-_BREAK = "\ue000"
-_ODD = re.compile(rf"\s\s\s|\s\s\Z|{_BREAK}")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
-#: The same in Arrow's syntax, where white space has to be spelled out.
+#: Words that are encoded as one text, and such texts at a time.
+RUN, RUNS = 2000, 8
+
+#: Stand for a line break before a piece, and for marks right after the piece before; texts that have these private-use characters
+#: are encoded whole.
+_BREAK, _MARKS = "\ue000", "\ue001"
+#: In Arrow's syntax, where white space has to be spelled out.
 _WHITE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
-_ODD_ARROW = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z|\x{{e000}}"
+_ODD = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z|[\x{{e000}}\x{{e001}}]"
+#: A letter and the ASCII marks between it and a space or the end.
+_MARKED = r"(\pL)([!-/:-@\[-^`{-~]+)( |\z)"
 _open: dict[str, "Encoder"] = {}
 
 
+def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Binary values from their bytes and where each ends."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -55,105 +61,101 @@ class Encoder:
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.line = self.ids(self.tokenizer, ["\n"])[0].tobytes()
-        #: The ids of marks after a word.
-        self.ends: dict[str, bytes] = {}
-        #: The ids, as bytes, of a piece after a space.
-        self.after: dict[str, bytes] = {}
+        #: Pieces and their ids, as bytes.
+        self.kept, self.kept_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def ids(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def word_ids(self, words: list[str], space: str) -> dict[str, bytes]:
+    def word_ids(self, words: pa.LargeStringArray, space: str) -> pa.LargeBinaryArray:
         """The ids of words of letters after `space`: the letter of a space, or nothing."""
-        out: dict[str, bytes] = {}
-        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
-        width = self.dtype.itemsize
-        for i in range(0, len(runs), 8):
-            raw = [" ".join(r).encode() for r in runs[i : i + 8]]
-            texts = [space + r.decode("latin-1").replace(" ", "\0").translate(self.letters | {0: " " + space}) for r in raw]
-            for run, r, ids in zip(runs[i : i + 8], raw, self.ids(self.words, texts), strict=True):
-                gaps = np.append(np.flatnonzero(np.frombuffer(r, np.uint8) == 32), len(r))
-                ends = gaps + 1 if space else gaps - np.arange(len(gaps))
-                at = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * width).tolist()
-                body = ids.tobytes()
-                out.update(zip(run, [body[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
-        return out
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
+        table = {**self.letters, 32: f" {space}"}
+        sizes = pc.binary_length(words).to_numpy() + len(space)
+        out = [pa.array([], pa.large_binary())]
+        for i in range(0, len(words), RUN * RUNS):
+            part = words.slice(i, RUN * RUNS)
+            runs = pa.ListArray.from_arrays(pa.array([*range(0, len(part), RUN), len(part)], pa.int32()), part)
+            texts = [space + r.decode("latin-1").translate(table) for r in pc.binary_join(runs, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()]
+            ids = np.concatenate(self.ids(self.words, texts))
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[i : i + len(part)])) + 1
+            out.append(_blobs(ids, ends * self.dtype.itemsize))
+        return pa.concat_arrays(out)
+
+    def learn(self, new: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """The ids of these pieces after a space; keeps what there is room for."""
-        plain, marked, other, broken = [], [], [], []
-        for p in new:
-            if p.isalpha() and p[0] != _BREAK:
-                plain.append(p)
-            elif p[:1] == _BREAK:
-                broken.append(p)
-            elif (stem := p.rstrip(_MARKS)).isalpha():
-                marked.append((p, stem, p[len(stem) :]))
-            else:
-                other.append(p)
-        kept = self.after
-        stems = ({m[1] for m in marked} - kept.keys()).difference(plain)
-        found = self.word_ids([*plain, *stems], self.letters[32])
-        if broken:
-            split = [(p, p[1:].rstrip(_MARKS)) for p in broken]
-            first = self.word_ids(list({q for _, q in split if q.isalpha()}), "")
-            tails = list({p[1 + len(q) :] if q in first else p[1:] for p, q in split})
-            tail_ids = dict(zip(tails, [x.tobytes() for x in self.ids(self.tokenizer, tails)], strict=True))
-            for p, q in split:
-                found[p] = self.line + (first[q] + tail_ids[p[1 + len(q) :]] if q in first else tail_ids[p[1:]])
-        ends = list({m[2] for m in marked} - self.ends.keys())
-        end_ids = dict(zip(ends, [x.tobytes() for x in self.ids(self.tokenizer, ends)], strict=True))
-        if len(self.ends) < 1000:
-            self.ends.update(end_ids)
-        for p, stem, end in marked:
-            found[p] = (found.get(stem) or kept[stem]) + (end_ids.get(end) or self.ends[end])
-        found.update(zip(other, [x.tobytes() for x in self.ids(self.tokenizer, [f" {p}" for p in other])], strict=True))
-        if (room := KEPT - len(kept)) > 0:
-            kept.update(itertools.islice(((p, x) for p, x in found.items() if len(p) <= LONGEST), room))
+        plain = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        broken = pc.starts_with(new, _BREAK).to_numpy(zero_copy_only=False)
+        bare = pc.utf8_slice_codeunits(new.filter(pa.array(broken)), 1)
+        letters = pc.utf8_is_alpha(bare)
+        broken[broken] = letters.to_numpy(zero_copy_only=False)
+        other = ~(plain | broken)
+        texts = [p if p[:1] == _BREAK else p[1:] if p[:1] == _MARKS else f" {p}" for p in new.filter(pa.array(other)).to_pylist()]
+        coded = self.ids(self.tokenizer, [t[1:] if t[:1] == _BREAK else t for t in texts])
+        groups = [
+            self.word_ids(new.filter(pa.array(plain)), self.letters[32]),
+            pc.binary_join_element_wise(pa.scalar(self.line, pa.large_binary()), self.word_ids(bare.filter(letters), ""), pa.scalar(b"", pa.large_binary())),
+            pa.array([self.line * (t[:1] == _BREAK) + x.tobytes() for t, x in zip(texts, coded, strict=True)], pa.large_binary()),
+        ]
+        place = np.empty(len(new), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(g) for g in (plain, broken, other)])] = np.arange(len(new))
+        found = pa.concat_arrays(groups).take(pa.array(place))
+        if (room := KEPT - len(self.kept)) > 0:
+            short = pc.less_equal(pc.utf8_length(new), LONGEST)
+            self.kept, self.kept_ids = (pa.concat_arrays([old, more.filter(short).slice(0, room)]) for old, more in ((self.kept, new), (self.kept_ids, found)))
         return found
 
-    def many(self, texts: list[str | None] | pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
+    def _coded(self, texts: list[str | None] | pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """The ids of different pieces, which of them the texts hold, where each text's begin (and the end), and the ids of texts encoded whole."""
         column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()), "")
-        strange = pc.match_substring_regex(column, _ODD_ARROW)
+        strange = pc.match_substring_regex(column, _ODD)
         for token in self.added:
             strange = pc.or_(strange, pc.match_substring(column, token))
         odd = np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()
-        whole = column.take(pa.array(odd, pa.int64())).to_pylist()
+        whole = dict(zip(odd, self.ids(self.tokenizer, column.take(pa.array(odd, pa.int64())).to_pylist()), strict=True))
         if odd:
-            mask = np.zeros(len(column), dtype=bool)
-            mask[odd] = True
-            column = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), column)
-        cut = pc.split_pattern(pc.replace_substring(column, "\n", f" {_BREAK}"), " ")
+            column = pc.if_else(strange, pa.scalar("", pa.large_string()), column)
+        column = pc.replace_substring(column, "\n", f" {_BREAK}")
+        column = pc.replace_substring_regex(column, _MARKED, rf"\1 {_MARKS}\2\3")
+        cut = pc.split_pattern(column, " ")
         starts = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
-        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        kept = self.after
-        found = self.learn([p for p in pieces if p not in kept])
-        parts = [found[p] if p in found else kept[p] for p in pieces]
-        at[starts[:-1]] = len(parts) + np.arange(len(column))  # the first piece of a text has no space before it
-        heads = cut.values.take(pa.array(starts[:-1])).to_pylist() if len(column) else []
-        parts += [x.tobytes() for x in self.ids(self.tokenizer, heads)]
-        joined = pa.array(parts, pa.large_binary()).take(pa.array(at))
+        heads = cut.values.take(pa.array(starts[:-1])).dictionary_encode()  # the first piece of a text has no space before it
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        del column, cut, coded
+        place = pc.index_in(pieces, self.kept)
+        known, ids = place.is_valid().to_numpy(zero_copy_only=False), self.kept_ids
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        place[~known] = len(ids) + np.arange(len(known) - known.sum())
+        found = self.learn(pieces.filter(pa.array(~known)))
+        first = pa.array([x.tobytes() for x in self.ids(self.tokenizer, heads.dictionary.to_pylist())], pa.large_binary())
+        at = place[at]
+        at[starts[:-1]] = len(ids) + len(found) + heads.indices.to_numpy()
+        return pa.concat_arrays([ids, found, first]), at, starts, whole
+
+    def many(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.dtype; of a null text, none."""
+        table, at, starts, whole = self._coded(texts)
+        joined = table.take(pa.array(at))
         out = joined.buffers()[2]
         out = out.to_pybytes() if out else b""
-        bounds = np.frombuffer(joined.buffers()[1], np.int64)[starts].tolist() if len(column) else [0]
+        bounds = np.frombuffer(joined.buffers()[1], np.int64)[starts].tolist() if len(starts) > 1 else [0]
         result = [out[i:j] for i, j in itertools.pairwise(bounds)]
-        for i, x in zip(odd, self.ids(self.tokenizer, whole), strict=True):
+        for i, x in whole.items():
             result[i] = x.tobytes()
         return result
 
+    def counts(self, texts: list[str | None] | pa.Array) -> list[int]:
+        """The number of ids of each text."""
+        table, at, starts, whole = self._coded(texts)
+        sizes = pc.binary_length(table).to_numpy() // self.dtype.itemsize
+        result = np.diff(np.concatenate(([0], np.cumsum(sizes[at])))[starts]).tolist()
+        for i, x in whole.items():
+            result[i] = len(x)
+        return result
+
     def count(self, text: str) -> int:
-        """The number of ids of a short text, from the pieces kept where they are."""
-        if _ODD.search(text) or any(t in text for t in self.added):
-            return len(self.ids(self.tokenizer, [text])[0])
-        if "\n" in text:
-            text = text.replace("\n", f" {_BREAK}")
-        head, *rest = text.split(" ")
-        kept = self.after
-        new = [f"\n{p[1:]}" if p[:1] == _BREAK else f" {p}" for p in rest if p not in kept]
-        known = sum(len(kept[p]) for p in rest if p in kept) // self.dtype.itemsize
-        return known + sum(map(len, self.ids(self.tokenizer, [head, *new] if head else new)))
+        """The number of ids of a short text, by the library alone."""
+        return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
 
 
 def encoder(path: str) -> Encoder:
