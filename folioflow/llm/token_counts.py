@@ -9,13 +9,15 @@ them, the tree is built afresh from its runs without encoding the others.
 
 Edits are an array of structs (start, end, text) beside the text, applied in order; places beyond the text count as its end, an end
 before its start as the start, negative ones as 0, nulls as 0 and empty text. A null text is empty; no or null edits leave it as it is.
-Texts and edits pass through one map over the rows, each whole; a row with many edits costs no other row anything. Very long texts are
-batches of their own; rows that repeat an id, or have none, are rows of their own; an empty table gives an empty result. Columns other
-than those named aren't read and may have any name.
+Texts and edits pass through one map over the rows, each whole. The first edits of up to `ROWS` texts of a batch are encoded together, then
+their second ones, and so on; a row with many edits costs no other row anything. Very long texts are batches of their own; rows that repeat
+an id, or have none, are rows of their own; an empty table gives an empty result. Columns other than those named aren't read and may have
+any name.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import batch, columns, gathered, small_batches, tidy
 from .encoding import Encoder, default_path, encoder
 
-#: Characters of a run, about, and those up to which an edit's text is counted piece by piece.
-RUN, SHORT = 160, 20_000
+#: Characters of a run, about, those up to which runs are counted by the library alone, and those of edits that are encoded at a time.
+RUN, SHORT, ENCODED = 160, 20_000, 2_000_000
+#: Trees that a task holds at a time.
+ROWS = 2000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -46,18 +50,13 @@ def runs(text: str, size: int = RUN) -> list[str]:
 class TokenTree:
     """A text with its token count, kept up to date under edits."""
 
-    def __init__(self, text: str, enc: Encoder, counts: list[int] | None = None):
+    def __init__(self, text: str | list[str], enc: Encoder, counts: list[int] | None = None):
+        """Of a text, or of its runs."""
         self.enc = enc
-        self.encoded = 0
-        pieces = runs(text)
-        self._build(pieces, self.count(pieces) if counts is None else counts)
-
-    def count(self, pieces: list[str]) -> list[int]:
-        size = sum(map(len, pieces))
-        self.encoded += size
-        if size <= SHORT:
-            return [self.enc.count(p) for p in pieces]
-        return [len(x) // self.enc.dtype.itemsize for x in self.enc.many(pieces)]
+        pieces = runs(text) if isinstance(text, str) else text
+        self.encoded = 0 if counts is not None else sum(map(len, pieces))
+        self.open: tuple[int, int, list[str]] = 0, 0, []
+        self._build(pieces, count(enc, pieces) if counts is None else counts)
 
     def _build(self, pieces: list[str], counts: list[int]) -> None:
         self.leaves = 1
@@ -96,22 +95,33 @@ class TokenTree:
         return i - self.leaves, before
 
     def edit(self, start: int | None, end: int | None, text: str | None) -> None:
+        self.close(count(self.enc, self.begin(start, end, text)))
+
+    def begin(self, start: int | None, end: int | None, text: str | None) -> list[str]:
+        """The runs that an edit makes, to be encoded; close() takes their counts and is to follow."""
         start = min(max(start or 0, 0), self.n_chars)
         end = min(max(end or 0, start), self.n_chars)
         if not self.used:
-            pieces = runs(text or "")
-            self._build(pieces, self.count(pieces))
-            return
+            return self._opened(0, -1, text or "")
         first, before = self.find(start)
         last = first if end == start else self.find(end - 1)[0]
         first = self._beside(first, -1)
         last = self._beside(last, 1)
         old = "".join(self.text[first : last + 1])
         before = self._before(first)
-        new = old[: start - before] + (text or "") + old[end - before :]
-        pieces = runs(new)
-        counts = self.count(pieces)
+        return self._opened(first, last, old[: start - before] + (text or "") + old[end - before :])
+
+    def _opened(self, first: int, last: int, new: str) -> list[str]:
+        self.open = first, last, runs(new)
+        self.encoded += len(new)
+        return self.open[2]
+
+    def close(self, counts: list[int]) -> None:
+        first, last, pieces = self.open
         room = last - first + 1
+        if not self.used:
+            self._build(pieces, counts)
+            return
         if len(pieces) > 2 * room + 2 or not pieces and room == self.used:
             kept = [(self.text[i], self.tokens[self.leaves + i]) for i in range(self.used) if self.text[i] and not first <= i <= last]
             low = sum(1 for i in range(first) if self.text[i])
@@ -151,6 +161,37 @@ class TokenTree:
         return "".join(self.text[: self.used])
 
 
+def count(enc: Encoder, pieces: list[str]) -> list[int]:
+    """The tokens of each run."""
+    return [enc.count(p) for p in pieces] if sum(map(len, pieces)) <= SHORT else enc.counts(pieces)
+
+
+def edit_all(enc: Encoder, trees: list[TokenTree], edits: list[list[dict | None] | None]) -> None:
+    """Edits each text: the first edits of all texts together, then the second ones, and so on."""
+    left = [(t, iter(todo)) for t, todo in zip(trees, edits, strict=True) if todo]
+    while left:
+        held, size, more = [], 0, []
+        for tree, todo in left:
+            try:
+                e = next(todo) or {}
+            except StopIteration:
+                continue
+            more.append((tree, todo))
+            held.append((tree, tree.begin(e.get("start"), e.get("end"), e.get("text"))))
+            size += sum(map(len, held[-1][1]))
+            if size >= ENCODED:
+                _close(enc, held)
+                held, size = [], 0
+        _close(enc, held)
+        left = more
+
+
+def _close(enc: Encoder, held: list[tuple[TokenTree, list[str]]]) -> None:
+    counts = iter(count(enc, [p for _, pieces in held for p in pieces]))
+    for tree, pieces in held:
+        tree.close(list(itertools.islice(counts, len(pieces))))
+
+
 def edited_counts(docs: DataFrame, edits: str = "edits", *, tokenizer: str | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_edits, n_tokens_before, n_tokens, n_chars, chars_encoded (after the first count) and, if asked for, text."""
     tokenizer = tokenizer or default_path()
@@ -160,18 +201,15 @@ def edited_counts(docs: DataFrame, edits: str = "edits", *, tokenizer: str | Non
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for part in gathered(batches, "text", 4_000_000):
-            out = []
-            ids, whole, changes = columns(part, "doc_id", "text", "edits")
-            cut = [runs(t or "") for t in whole]
-            counts = iter([len(x) // enc.dtype.itemsize for x in enc.many([p for c in cut for p in c])])
-            for d, t, c, todo in zip(ids, whole, cut, changes, strict=True):
-                tree = TokenTree(t or "", enc, [next(counts) for _ in c])
-                first = tree.n_tokens
-                for e in todo or []:
-                    e = e or {}
-                    tree.edit(e.get("start"), e.get("end"), e.get("text"))
-                out.append((d, len(todo or []), first, tree.n_tokens, tree.n_chars, tree.encoded, *[tree.whole()] * texts))
-            yield batch(schema, *zip(*out, strict=True))
+            for i in range(0, len(part), ROWS):
+                ids, whole, changes = columns(part.slice(i, ROWS), "doc_id", "text", "edits")
+                cut = [runs(t or "") for t in whole]
+                counts = iter(enc.counts([p for c in cut for p in c]))
+                trees = [TokenTree(c, enc, list(itertools.islice(counts, len(c)))) for c in cut]
+                first = [t.n_tokens for t in trees]
+                edit_all(enc, trees, changes)
+                out = [(d, len(todo or []), n, t.n_tokens, t.n_chars, t.encoded, *[t.whole()] * texts) for d, todo, n, t in zip(ids, changes, first, trees, strict=True)]
+                yield batch(schema, *zip(*out, strict=True))
 
     rows = docs.select("doc_id", "text", F.col(edits).alias("edits"))
     return rows.mapInArrow(tidy(task), "doc_id long, n_edits long, n_tokens_before long, n_tokens long, n_chars long, chars_encoded long" + ", text string" * texts)
