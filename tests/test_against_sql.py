@@ -1,5 +1,7 @@
 """Queries of the catalogue on tables of odd values, row by row against their SQL."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -51,6 +53,19 @@ def test_halves_are_rounded_as_scaled_numbers(spark):
     assert repr(got) == repr(want)
 
 
+def test_levels_of_small_negative_numbers(spark, tmp_path):
+    v = np.random.default_rng(5).normal(size=(300, 64)).astype(np.float32)
+    v[:, 0] = np.where(np.arange(300) % 2, -2e-7, 2e-7)
+    v[:, 1] = -0.0
+    got, want = both(spark, tmp_path, "levelled_samples", embeddings=pa.table({"vec_id": pa.array(range(300), pa.int64()), "embedding": pa.array(list(v), pa.list_(pa.float32()))}))
+    assert got == want and any("-0.0," in r for r in want)
+
+
+def test_levels_by_the_logarithm_of_the_c_library():
+    for x in np.random.default_rng(7).normal(size=(300, 64)):
+        assert audio.gain_db(x, 16000, audio.Loudness())[2] == min(-18.0 - 20 * math.log10(math.sqrt(np.cumsum(x * x)[-1] / 64)), 30.0)
+
+
 def test_look_alikes_of_repeated_keys(spark, tmp_path):
     texts = ["find Find ring\nThe ring find, mind", "the mind and the find", "mind find ring ring mind"] * 2
     docs = pa.table({"doc_id": pa.array([0, 1, 2] * 2, pa.int64()), "source": ["a"] * 6, "text": texts})
