@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as e
 from folioflow.functions import text as X
+from folioflow.operators import correct
 from folioflow.sources import audio
 
 duckdb = pytest.importorskip("duckdb")
@@ -73,3 +74,31 @@ def test_look_alikes_of_repeated_keys(spark, tmp_path):
     assert got == want and got
     plan = e.queries()["confusion"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan  # tokens aren't put in order before it is known which of them have a fix
+
+
+@pytest.mark.parametrize("name", ["ocr_suggestions"])
+def test_tokens_without_a_fix_stay_in_place(spark, tmp_path, name):
+    texts = ["find Find ring\nThe ring find, mind", "the mind and the find, hand", "mind find ring ring mind fimd", "hand ring, and the rimg"] * 3
+    docs = pa.table({"doc_id": pa.array(range(12), pa.int64()), "source": ["a", "b", None] * 4, "text": texts})
+    pq.write_table(docs, f"{tmp_path}/documents.parquet")
+    df = e.queries()[name](spark, str(tmp_path))
+    assert df.count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # Before each shuffle of the words of all lines, a broadcast of bits takes out those that aren't sought; lines are compared by digest.
+    assert plan.count("getbit") >= (1 if name == "ocr_suggestions" else 3) and "sha2(" in plan
+
+
+def test_bits_leave_nothing_out(spark):
+    rows = spark.range(5000).selectExpr("concat('p', id % 7) as project_id", "concat('Word', id) as token")
+    words = spark.range(0, 5000, 3).selectExpr("concat('p', id % 7) as project_id", "concat('word', id) as word")
+    got = {r["token"].lower() for r in correct.maybe_of(rows, words, ["project_id"]).collect()}
+    want = {r["word"] for r in words.collect()}
+    assert want <= got and len(got) < len(want) + 100
+
+
+def test_a_line_changed_since_keeps_its_text(spark):
+    now = spark.createDataFrame([("p", 0, 0, "a , b"), ("p", 0, 1, "c  d"), ("p", 0, 2, None)], "project_id string, chapter_pos int, line_pos int, text string")
+    was = spark.createDataFrame([("p", 0, 0, "a , b"), ("p", 0, 1, "c , d"), ("p", 0, 2, "e , f")], now.schema)
+    fixed, made = correct.apply_candidates(now, correct.candidates(was, spark.createDataFrame([("a", 1)], "word string, freq long"), correctors=correct.default_correctors()[:1]))
+    assert [r["text"] for r in fixed.orderBy("line_pos").collect()] == ["a, b", "c  d", None]
+    assert [r["status"] for r in made.orderBy("line_pos").collect()] == ["auto_applied", "pending", "pending"]
