@@ -76,7 +76,7 @@ def test_look_alikes_of_repeated_keys(spark, tmp_path):
     assert "array_sort" not in plan  # tokens aren't put in order before it is known which of them have a fix
 
 
-@pytest.mark.parametrize("name", ["ocr_suggestions"])
+@pytest.mark.parametrize("name", ["ocr_suggestions", "correct_lines"])
 def test_tokens_without_a_fix_stay_in_place(spark, tmp_path, name):
     texts = ["find Find ring\nThe ring find, mind", "the mind and the find, hand", "mind find ring ring mind fimd", "hand ring, and the rimg"] * 3
     docs = pa.table({"doc_id": pa.array(range(12), pa.int64()), "source": ["a", "b", None] * 4, "text": texts})
